@@ -1,32 +1,41 @@
-"""Rounding and guarded division."""
+"""Rounding and guarded division, as SQL expression text.
 
-from __future__ import annotations
+Formulas are written as SQL text throughout the library: one expression is one call into the
+JVM, where the same formula built from Column objects is dozens.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
-INF = float("inf")
-_EXACT = "decimal(38,12)"
+INF = "double('inf')"
 
 
-def half_even(value: Column, places: int) -> Column:
+def half_even(value: str, places: int) -> str:
     """Round half to even, as a double. Infinite or oversized values pass through unrounded."""
-    return F.coalesce(
-        F.bround(value.try_cast(_EXACT), places).cast("double"), value.cast("double")
+    return (
+        f"coalesce(cast(bround(try_cast({value} AS DECIMAL(38,12)), {places}) AS DOUBLE), "
+        f"cast({value} AS DOUBLE))"
     )
 
 
-def half_up(value: Column, places: int) -> Column:
+def half_up(value: str, places: int) -> str:
     """Round half away from zero, as a double."""
-    return F.coalesce(
-        F.round(value.try_cast(_EXACT), places).cast("double"), value.cast("double")
+    return (
+        f"coalesce(cast(round(try_cast({value} AS DECIMAL(38,12)), {places}) AS DOUBLE), "
+        f"cast({value} AS DOUBLE))"
     )
 
 
-def ratio(numerator: Column, denominator: Column, otherwise=None) -> Column:
+def ratio(numerator: str, denominator: str, otherwise: str = "NULL") -> str:
     """numerator / denominator where the denominator is positive, else ``otherwise``."""
-    quotient = numerator.cast("double") / denominator.cast("double")
-    return F.when(denominator > 0, quotient).otherwise(F.lit(otherwise).cast("double"))
+    return (
+        f"CASE WHEN ({denominator}) > 0 THEN cast({numerator} AS DOUBLE) / "
+        f"cast({denominator} AS DOUBLE) ELSE cast({otherwise} AS DOUBLE) END"
+    )
+
+
+def quoted(names) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
-def zero_if_null(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0))
+def listed(names) -> str:
+    return ", ".join(quoted(names))

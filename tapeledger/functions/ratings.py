@@ -2,43 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-# Metric -> (good bound, warning bound, comparison)
+# Metric -> (condition for good, condition for warn or None)
 BANDS = {
-    "win_rate_pct": (50, 40, ">="),
-    "profit_factor": (1.5, 1, ">="),
-    "max_drawdown_pct": (10, 20, "<"),
-    "sharpe_ratio": (1, 0, ">"),
-    "sortino_ratio": (1, 0, ">"),
-    "recovery_factor": (1, None, ">"),
+    "win_rate_pct": (">= 50", ">= 40"),
+    "profit_factor": (">= 1.5", ">= 1"),
+    "max_drawdown_pct": ("< 10", "< 20"),
+    "sharpe_ratio": ("> 1", "> 0"),
+    "sortino_ratio": ("> 1", "> 0"),
+    "recovery_factor": ("> 1", None),
 }
 SIGNED = ["total_net_profit", "expectancy"]
 
 
-def _passes(value: Column, bound: float, comparison: str) -> Column:
-    if comparison == ">=":
-        return value >= bound
-    return value > bound if comparison == ">" else value < bound
-
-
-def band(metric: str) -> Column:
-    good, warn, comparison = BANDS[metric]
-    value = F.col(metric)
-    if warn is None:
-        return F.when(_passes(value, good, comparison), "good").otherwise("neutral")
-    return (
-        F.when(_passes(value, good, comparison), "good")
-        .when(_passes(value, warn, comparison), "warn")
-        .otherwise("bad")
-    )
+def band(metric: str) -> str:
+    good, warn = BANDS[metric]
+    rest = f"WHEN {metric} {warn} THEN 'warn' ELSE 'bad'" if warn else "ELSE 'neutral'"
+    return f"CASE WHEN {metric} {good} THEN 'good' {rest} END"
 
 
-def sign_band(metric: str) -> Column:
-    value = F.col(metric)
-    return F.when(value > 0, "good").when(value < 0, "bad").otherwise("neutral")
+def sign_band(metric: str) -> str:
+    return f"CASE WHEN {metric} > 0 THEN 'good' WHEN {metric} < 0 THEN 'bad' ELSE 'neutral' END"
 
 
-def rating_columns() -> list[Column]:
-    banded = [band(m).alias(f"{m}_rating") for m in BANDS]
-    return banded + [sign_band(m).alias(f"{m}_rating") for m in SIGNED]
+def rating_columns() -> list[str]:
+    return [f"{band(m)} AS {m}_rating" for m in BANDS] + [
+        f"{sign_band(m)} AS {m}_rating" for m in SIGNED
+    ]

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tapeledger.functions.numeric import half_up, ratio, zero_if_null
-from tapeledger.operators.enrich import account_badge, is_closed, live_net
+from tapeledger.functions.numeric import half_up, ratio
+from tapeledger.operators.enrich import BADGE_CLASS, BADGE_LABEL, IS_CLOSED, LIVE_NET
 from tapeledger.operators.ordered import DEFAULT_POLICY, ChunkPolicy, running_total_by_time
 from tapeledger.schema import ACCOUNT_DEFAULTS
 
 ACCOUNT_COLUMNS = [
     "id", "name", "broker", "type", "platform", "phase", "initial_balance", "created_at",
 ]
+# live win rate: a win is a positive gross profit
+_WIN_RATE = ratio("wins * 100D", "total_trades", "0")
+
+
+def _agg(grouped, *expressions: str) -> DataFrame:
+    return grouped.agg(*[F.expr(e) for e in expressions])
 
 
 def active_accounts(accounts: DataFrame, account_id: int | None = None) -> DataFrame:
@@ -19,114 +25,111 @@ def active_accounts(accounts: DataFrame, account_id: int | None = None) -> DataF
     return out if account_id is None else out.where(F.col("id") == account_id)
 
 
-def _gross_win_rate() -> Column:
-    """Live win rate: a win is a positive gross profit."""
-    return half_up(ratio(F.col("wins") * F.lit(100.0), F.col("total_trades"), 0.0), 2)
-
-
 def account_overview(accounts: DataFrame, trades: DataFrame) -> DataFrame:
     """Active accounts with live figures; accounts without trades stay, with zeros.
 
     Trades are aggregated before the join, so the join moves one row per account.
     """
-    profit = F.col("profit")
-    per_account = trades.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("total_trades"),
-        F.sum("profit").alias("total_profit"),
-        F.sum(live_net()).alias("net_profit"),
-        F.count_if(profit > 0).alias("wins"),
-        F.sum(F.when(profit > 0, profit)).alias("up"),
-        F.sum(F.when(profit < 0, -profit)).alias("down"),
+    per_account = _agg(
+        trades.groupBy("account_id"),
+        "count(1) AS n",
+        "sum(profit) AS gross",
+        f"sum({LIVE_NET}) AS net",
+        "count_if(profit > 0) AS wins",
+        "coalesce(sum(CASE WHEN profit > 0 THEN profit END), 0) AS rise",
+        "sum(CASE WHEN profit < 0 THEN -profit END) AS fall",
     )
-    joined = active_accounts(accounts).join(
-        per_account, F.col("id") == F.col("account_id"), "left"
-    ).fillna(0, ["total_trades", "wins"])
-    factor = ratio(zero_if_null(F.col("up")), F.col("down"))
-    return joined.select(
-        *ACCOUNT_COLUMNS,
-        "total_trades",
-        zero_if_null(F.col("total_profit")).alias("total_profit"),
-        zero_if_null(F.col("net_profit")).alias("net_profit"),
-        _gross_win_rate().alias("winrate"),
-        half_up(factor, 2).alias("profit_factor"),
+    return (
+        active_accounts(accounts)
+        .join(per_account, F.expr("id = account_id"), "left")
+        .selectExpr(
+            "*",
+            "coalesce(n, 0L) AS total_trades",
+            "coalesce(gross, 0) AS total_profit",
+            "coalesce(net, 0) AS net_profit",
+            f"{ratio('rise', 'fall')} AS factor",
+        )
+        .selectExpr(
+            *ACCOUNT_COLUMNS,
+            "total_trades",
+            "total_profit",
+            "net_profit",
+            f"{half_up(_WIN_RATE, 2)} AS winrate",
+            f"{half_up('factor', 2)} AS profit_factor",
+        )
     )
 
 
 def account_strategies(trades: DataFrame) -> DataFrame:
     """Live figures per strategy of an account; trades without a strategy form a group."""
-    return (
-        trades.groupBy("account_id", "magic_number")
-        .agg(
-            F.count(F.lit(1)).alias("total_trades"),
-            zero_if_null(F.sum("profit")).alias("total_profit"),
-            F.count_if(F.col("profit") > 0).alias("wins"),
-        )
-        .select(
-            "account_id", "magic_number", "total_trades", "total_profit",
-            _gross_win_rate().alias("winrate"),
-        )
+    return _agg(
+        trades.groupBy("account_id", "magic_number"),
+        "count(1) AS total_trades",
+        "coalesce(sum(profit), 0) AS total_profit",
+        "count_if(profit > 0) AS wins",
+    ).selectExpr(
+        "account_id", "magic_number", "total_trades", "total_profit",
+        f"{half_up(_WIN_RATE, 2)} AS winrate",
     )
 
 
 def strategy_totals(strategies: DataFrame) -> DataFrame:
     """Account page: totals and the unweighted mean win rate over its strategies."""
-    mean = F.sum(F.col("winrate").cast("decimal(9,2)")).cast("double") / F.count(F.lit(1))
-    return strategies.groupBy("account_id").agg(
-        F.sum("total_profit").alias("total_profit"),
-        F.sum("total_trades").alias("total_trades"),
-        half_up(mean, 1).alias("avg_winrate"),
-        F.count(F.lit(1)).alias("strategies"),
+    mean = "cast(sum(cast(winrate AS DECIMAL(9,2))) AS DOUBLE) / count(1)"
+    return _agg(
+        strategies.groupBy("account_id"),
+        "sum(total_profit) AS total_profit",
+        "sum(total_trades) AS total_trades",
+        f"{half_up(mean, 1)} AS avg_winrate",
+        "count(1) AS strategies",
     )
 
 
 def dashboard_totals(overview: DataFrame) -> DataFrame:
     """Dashboard: totals over accounts. The mean win rate counts accounts without trades as 0,
     the mean profit factor skips accounts that have none."""
-    accounts = F.count(F.lit(1))
-    winrate = F.when(
-        accounts > 0, F.sum(F.col("winrate").cast("decimal(9,2)")).cast("double") / accounts
+    totals = _agg(
+        overview.groupBy(),
+        "coalesce(sum(net_profit), 0) AS total_pnl",
+        "coalesce(sum(total_trades), 0L) AS total_trades",
+        "sum(cast(winrate AS DECIMAL(9,2))) AS rates",
+        "count(1) AS accounts",
+        "sum(cast(profit_factor AS DECIMAL(28,2))) AS factors",
+        "count(profit_factor) AS with_factor",
     )
-    with_factor = F.count("profit_factor")
-    factor = F.when(
-        with_factor > 0,
-        F.sum(F.col("profit_factor").cast("decimal(28,2)")).cast("double") / with_factor,
-    )
-    return overview.agg(
-        zero_if_null(F.sum("net_profit")).alias("total_pnl"),
-        zero_if_null(F.sum("total_trades")).alias("total_trades"),
-        half_up(winrate, 1).alias("avg_winrate"),
-        half_up(factor, 2).alias("avg_profit_factor"),
+    return totals.selectExpr(
+        "total_pnl",
+        "total_trades",
+        f"{half_up(ratio('rates', 'accounts'), 1)} AS avg_winrate",
+        f"{half_up(ratio('factors', 'with_factor'), 2)} AS avg_profit_factor",
     )
 
 
-def account_equity_curve(
-    trades: DataFrame, policy: ChunkPolicy = DEFAULT_POLICY
-) -> DataFrame:
+def account_equity_curve(trades: DataFrame, policy: ChunkPolicy = DEFAULT_POLICY) -> DataFrame:
     """Cumulative gross profit per account; trades closing at the same time share a value."""
     rows = trades.select("account_id", "close_time", "id", "profit")
-    return running_total_by_time(rows, ["account_id"], "profit", policy=policy).select(
-        "account_id", F.col("close_time").alias("date"), "profit",
-        F.col("cumulative").alias("cumulative_profit"),
+    return running_total_by_time(rows, ["account_id"], "profit", policy=policy).selectExpr(
+        "account_id", "close_time AS date", "profit", "cumulative AS cumulative_profit"
     )
 
 
 def curve_range(curve: DataFrame) -> DataFrame:
     """Axis range of each account's curve: extremes with a margin of 5 %."""
-    margin = F.lit("0.05").cast("decimal(3,2)")
-    low, high = F.min("cumulative_profit"), F.max("cumulative_profit")
-    return curve.groupBy("account_id").agg(
-        (low - F.abs(low) * margin).alias("range_low"),
-        (high + F.abs(high) * margin).alias("range_high"),
+    return _agg(
+        curve.groupBy("account_id"),
+        "min(cumulative_profit) - abs(min(cumulative_profit)) * 0.05 AS range_low",
+        "max(cumulative_profit) + abs(max(cumulative_profit)) * 0.05 AS range_high",
     )
 
 
 def strategy_catalog(trades: DataFrame) -> DataFrame:
     """Every strategy with closed trades, and the group of trades without one."""
-    return trades.where(is_closed()).groupBy("magic_number").agg(
-        F.count(F.lit(1)).alias("total_trades"),
-        F.min("close_time").alias("first_trade"),
-        F.max("close_time").alias("last_trade"),
-        F.sum(live_net()).alias("net_profit"),
+    return _agg(
+        trades.where(IS_CLOSED).groupBy("magic_number"),
+        "count(1) AS total_trades",
+        "min(close_time) AS first_trade",
+        "max(close_time) AS last_trade",
+        f"sum({LIVE_NET}) AS net_profit",
     )
 
 
@@ -142,8 +145,7 @@ def strategy_symbols(trades: DataFrame) -> DataFrame:
 
 
 def badges(accounts: DataFrame) -> DataFrame:
-    label, badge = account_badge(F.col("phase"), F.col("type"))
-    return accounts.select("id", label.alias("label"), badge.alias("badge"))
+    return accounts.selectExpr("id", f"{BADGE_LABEL} AS label", f"{BADGE_CLASS} AS badge")
 
 
 def new_accounts(records: DataFrame) -> DataFrame:
@@ -151,12 +153,11 @@ def new_accounts(records: DataFrame) -> DataFrame:
 
     The caller supplies id, api_key and created_at.
     """
+    platform, opening = ACCOUNT_DEFAULTS["platform"], ACCOUNT_DEFAULTS["initial_balance"]
     return records.withColumns(
         {
-            "platform": F.coalesce("platform", F.lit(ACCOUNT_DEFAULTS["platform"])),
-            "initial_balance": F.coalesce(
-                "initial_balance", F.lit(ACCOUNT_DEFAULTS["initial_balance"]).cast("decimal(18,4)")
-            ),
+            "platform": F.expr(f"coalesce(platform, '{platform}')"),
+            "initial_balance": F.expr(f"coalesce(initial_balance, cast({opening} AS DECIMAL(18,4)))"),
             "is_active": F.lit(True),
         }
     )
@@ -164,17 +165,18 @@ def new_accounts(records: DataFrame) -> DataFrame:
 
 def append_accounts(accounts: DataFrame, records: DataFrame) -> DataFrame:
     """Accounts plus the valid new records (a name, and a known type or none)."""
-    known = F.col("type").isNull() | F.col("type").rlike("^(Propfirm|Broker|Personal)$")
-    valid = records.where(F.col("name").isNotNull() & known)
+    valid = records.where(
+        "name IS NOT NULL AND (type IS NULL OR type RLIKE '^(Propfirm|Broker|Personal)$')"
+    )
     return accounts.unionByName(new_accounts(valid).select(*accounts.columns))
 
 
 def deactivate(accounts: DataFrame, ids: DataFrame) -> DataFrame:
     """Soft delete: is_active becomes false for the given ids."""
-    hit = ids.select(F.col("id").alias("__hit")).distinct()
+    hit = ids.selectExpr("id AS __hit").distinct()
     return (
-        accounts.join(hit, F.col("id") == F.col("__hit"), "left")
-        .withColumn("is_active", F.when(F.col("__hit").isNotNull(), False).otherwise(F.col("is_active")))
+        accounts.join(hit, F.expr("id = __hit"), "left")
+        .withColumn("is_active", F.expr("CASE WHEN __hit IS NOT NULL THEN false ELSE is_active END"))
         .drop("__hit")
     )
 

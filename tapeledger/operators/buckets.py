@@ -2,63 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tapeledger.functions.numeric import half_even, ratio, zero_if_null
-from tapeledger.operators.enrich import day_key, weekday_name
-
-
-def _sums() -> list[Column]:
-    return [
-        F.count("net_profit").alias("trades"),
-        F.sum("net_profit").alias("net"),
-        F.count_if("is_win").alias("wins"),
-        F.count(F.lit(1)).alias("rows"),
-    ]
-
-
-def _bucket_columns() -> list[Column]:
-    mean = F.when(F.col("trades") > 0, F.col("net").cast("double") / F.col("trades"))
-    return [
-        F.col("trades"),
-        half_even(zero_if_null(F.col("net")), 2).alias("profit"),
-        half_even(mean, 2).alias("avg"),
-    ]
+from tapeledger.functions.numeric import half_even, listed, quoted, ratio
+from tapeledger.operators.enrich import DAY_KEY, weekday_name
 
+_SUMS = [
+    "count(net_profit) AS trades",
+    "coalesce(sum(net_profit), 0) AS net",
+    "count_if(is_win) AS wins",
+    "count(1) AS rows",
+]
+_MEAN = ratio("net", "trades")
+BUCKET = ["trades", f"{half_even('net', 2)} AS profit", f"{half_even(_MEAN, 2)} AS avg"]
 
 # Buckets are grouped by cheap integers and named only after the aggregation.
-def _weekday_no() -> Column:
-    return F.weekday("close_time").alias("weekday_no")
-
+_WEEKDAY_NO = "weekday(close_time) AS weekday_no"
+_MONTH_START = "trunc(to_date(close_time), 'month') AS month_start"
+_WEEKDAY = f"{weekday_name('weekday_no')} AS weekday"
+_MONTH = "date_format(month_start, 'yyyy-MM') AS month"
 
-def _month_start() -> Column:
-    return F.trunc(F.col("close_time").cast("date"), "month").alias("month_start")
 
-
-def _month_name() -> Column:
-    return F.date_format("month_start", "yyyy-MM").alias("month")
+def _sums(grouped) -> DataFrame:
+    return grouped.agg(*[F.expr(e) for e in _SUMS])
 
 
 def by_hour(prepared: DataFrame, keys: list[str]) -> DataFrame:
-    return prepared.groupBy(*keys, "hour").agg(*_sums()).select(*keys, "hour", *_bucket_columns())
+    return _sums(prepared.groupBy(*keys, "hour")).selectExpr(*quoted(keys), "hour", *BUCKET)
 
 
 def by_weekday(prepared: DataFrame, keys: list[str]) -> DataFrame:
     """weekday_no runs from 0 (Monday) to 6 (Sunday)."""
-    return (
-        prepared.groupBy(*keys, _weekday_no())
-        .agg(*_sums())
-        .select(*keys, weekday_name("weekday_no").alias("weekday"), "weekday_no", *_bucket_columns())
+    return _sums(prepared.groupBy(*keys, F.expr(_WEEKDAY_NO))).selectExpr(
+        *quoted(keys), _WEEKDAY, "weekday_no", *BUCKET
     )
 
 
 def by_month(prepared: DataFrame, keys: list[str]) -> DataFrame:
     """Also the month's win rate, which the strategy page shows."""
-    win_rate = half_even(ratio(F.col("wins") * F.lit(100.0), F.col("rows"), 0.0), 2)
-    return (
-        prepared.groupBy(*keys, _month_start())
-        .agg(*_sums())
-        .select(*keys, _month_name(), *_bucket_columns(), win_rate.alias("win_rate"))
+    win_rate = ratio("wins * 100D", "rows", "0")
+    return _sums(prepared.groupBy(*keys, F.expr(_MONTH_START))).selectExpr(
+        *quoted(keys), _MONTH, *BUCKET, f"{half_even(win_rate, 2)} AS win_rate"
     )
 
 
@@ -70,42 +54,39 @@ def bucket_table(prepared: DataFrame, keys: list[str]) -> DataFrame:
     """
     by = [F.col(k) for k in keys]
     parts = [F.col("hour"), F.col("weekday_no"), F.col("month_start")]
-    return (
-        prepared.select(*keys, "hour", _weekday_no(), _month_start(), "net_profit", "is_win")
-        .groupingSets([by + [p] for p in parts], *by, *parts)
-        .agg(*_sums())
-        .withColumn("weekday", weekday_name("weekday_no"))
-        .withColumn("month", _month_name())
+    rows = prepared.selectExpr(
+        *quoted(keys), "hour", _WEEKDAY_NO, _MONTH_START, "net_profit", "is_win"
+    )
+    return _sums(rows.groupingSets([by + [p] for p in parts], *by, *parts)).selectExpr(
+        "*", _WEEKDAY, _MONTH
     )
 
 
 def best_worst(buckets: DataFrame, keys: list[str]) -> DataFrame:
     """Best and worst hour, weekday and month by total net; ties go to the smallest key."""
-    net = zero_if_null(F.col("net"))
     out = []
     for name in ("hour", "weekday", "month"):
-        key = F.col(name)
-        for label, rank in (("best", -net), ("worst", net)):
-            order = F.when(key.isNotNull(), F.struct(rank, key))
-            out.append(F.min_by(key, order).alias(f"{label}_{name}"))
+        for label, rank in (("best", "-net"), ("worst", "net")):
+            order = f"CASE WHEN {name} IS NOT NULL THEN struct({rank}, {name}) END"
+            out.append(F.expr(f"min_by({name}, {order}) AS {label}_{name}"))
     return buckets.groupBy(*keys).agg(*out)
 
 
 def first_months(prepared: DataFrame, keys: list[str], limit: int = 6) -> DataFrame:
     """The first months of every key, with their profit."""
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("month"))
+    nth = f"row_number() OVER (PARTITION BY {listed(keys)} ORDER BY month)"
     return (
         by_month(prepared, keys)
-        .withColumn("nth", nth)
-        .where(F.col("nth") <= limit)
-        .select(*keys, "month", "profit")
+        .selectExpr(*quoted(keys), "month", "profit", f"{nth} AS nth")
+        .where(f"nth <= {limit}")
+        .drop("nth")
     )
 
 
 def daily_calendar(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Profit and number of trades per day, with the cell class of the calendar."""
     return (
-        trades.groupBy(*keys, day_key().alias("day"))
-        .agg(zero_if_null(F.sum("profit")).alias("profit"), F.count(F.lit(1)).alias("trades"))
-        .withColumn("cell", F.when(F.col("profit") >= 0, "profit").otherwise("loss"))
+        trades.groupBy(*keys, F.expr(f"{DAY_KEY} AS day"))
+        .agg(F.expr("coalesce(sum(profit), 0) AS profit"), F.expr("count(1) AS trades"))
+        .selectExpr("*", "CASE WHEN profit >= 0 THEN 'profit' ELSE 'loss' END AS cell")
     )

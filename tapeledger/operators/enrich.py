@@ -1,81 +1,55 @@
-"""Row-level filters and derived columns of a trade."""
+"""Row-level filters and derived columns of a trade, as SQL expressions over its columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tapeledger.schema import WEEKDAYS
 
+IS_CLOSED = "close_time IS NOT NULL AND close_price > 0"
+HAS_STRATEGY = "magic_number IS NOT NULL"
 
-def is_closed() -> Column:
-    return F.col("close_time").isNotNull() & (F.col("close_price") > 0)
+# one missing fee makes the strict net missing; the live net reads missing fees as zero
+STRICT_NET = "profit + commission + swap"
+LIVE_NET = "profit + coalesce(commission, 0) + coalesce(swap, 0)"
 
+# only a non-missing, non-zero magic number triggers a recompute
+RECOMPUTE_GATE = "coalesce(magic_number <> 0, false)"
 
-def strict_net() -> Column:
-    """Net with missing fees left missing: one NULL fee makes the net NULL."""
-    return F.col("profit") + F.col("commission") + F.col("swap")
+DAY_KEY = "to_date(coalesce(close_time, open_time))"
 
+BADGE_LABEL = "coalesce(nullif(phase, ''), nullif(type, ''), '—')"
+BADGE_CLASS = """CASE WHEN phase = 'Fondeada' THEN 'badge-funded'
+    WHEN startswith(phase, 'Fase') THEN 'badge-phase'
+    WHEN type = 'Propfirm' THEN 'badge-propfirm' ELSE 'badge-default' END"""
 
-def live_net() -> Column:
-    """Net with missing fees read as zero."""
-    zero = F.lit(0)
-    return (
-        F.col("profit") + F.coalesce(F.col("commission"), zero) + F.coalesce(F.col("swap"), zero)
-    )
-
-
-def prepare(trades: DataFrame) -> DataFrame:
-    """Add net_profit, is_win, duration_min, weekday, hour and month."""
-    return (
-        trades.withColumn("net_profit", strict_net())
-        .withColumn("is_win", F.coalesce(F.col("net_profit") > 0, F.lit(False)))
-        .withColumn(
-            "duration_min",
-            F.expr("timestampdiff(MICROSECOND, open_time, close_time)") / F.lit(6e7),
-        )
-        .withColumn("weekday", weekday_name(F.weekday("close_time")))
-        .withColumn("hour", F.hour("close_time"))
-        .withColumn("month", F.date_format("close_time", "yyyy-MM"))
-    )
 
-
-def weekday_name(number) -> Column:
+def weekday_name(number: str) -> str:
     """Name of a weekday number, 0 for Monday."""
-    number = F.col(number) if isinstance(number, str) else number
-    return F.get(F.array(*[F.lit(d) for d in WEEKDAYS]), number)
+    names = ", ".join(f"'{d}'" for d in WEEKDAYS)
+    return f"get(array({names}), {number})"
 
 
-def day_key() -> Column:
-    return F.to_date(F.coalesce(F.col("close_time"), F.col("open_time")))
+def iso_time(column: str) -> str:
+    return f"date_format({column}, \"yyyy-MM-dd'T'HH:mm:ss\")"
 
 
-def iso_time(column) -> Column:
-    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
+def iso_day(column: str) -> str:
+    return f"date_format({column}, 'yyyy-MM-dd')"
 
 
-def iso_day(column) -> Column:
-    return F.date_format(column, "yyyy-MM-dd")
+def prepare(trades: DataFrame) -> DataFrame:
+    """Add net_profit, is_win, duration_min, weekday, hour and month."""
+    return trades.selectExpr("*", f"{STRICT_NET} AS net_profit").selectExpr(
+        "*",
+        "coalesce(net_profit > 0, false) AS is_win",
+        "timestampdiff(MICROSECOND, open_time, close_time) / 6e7D AS duration_min",
+        f"{weekday_name('weekday(close_time)')} AS weekday",
+        "hour(close_time) AS hour",
+        "date_format(close_time, 'yyyy-MM') AS month",
+    )
 
 
 def with_strategy(trades: DataFrame) -> DataFrame:
     """Trades that belong to a strategy; those without a magic number are left out."""
-    return trades.where(F.col("magic_number").isNotNull())
-
-
-def recompute_gate() -> Column:
-    """Only a non-missing, non-zero magic number triggers a recompute."""
-    return F.coalesce(F.col("magic_number") != 0, F.lit(False))
-
-
-def account_badge(phase: Column, kind: Column) -> tuple[Column, Column]:
-    """(label, badge class) of an account."""
-    phase = F.nullif(phase, F.lit(""))
-    kind = F.nullif(kind, F.lit(""))
-    label = F.coalesce(phase, kind, F.lit("—"))
-    badge = (
-        F.when(phase == "Fondeada", "badge-funded")
-        .when(phase.startswith("Fase"), "badge-phase")
-        .when(kind == "Propfirm", "badge-propfirm")
-        .otherwise("badge-default")
-    )
-    return label, badge
+    return trades.where(HAS_STRATEGY)

@@ -2,65 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tapeledger.operators.enrich import recompute_gate
-from tapeledger.operators.joins import BROADCAST_ROWS
+from tapeledger.functions.numeric import listed, quoted
+from tapeledger.operators.enrich import RECOMPUTE_GATE
+from tapeledger.operators.joins import broadcast_if_small
 from tapeledger.schema import INBOUND_FIELDS, INBOUND_REQUIRED
 
 TRADE_KEY = ["account_id", "ticket"]
 STORED_COLUMNS = ["account_id", *INBOUND_FIELDS, "received_at"]
 
+# reject wording by type
+_KIND = {"bigint": "whole number", "timestamp_ntz": "time"}
 
-def _problem(name: str) -> Column:
-    """Reject reason of one field, NULL where it is fine. Empty comments become NULL."""
-    raw = F.col(name)
-    kind = INBOUND_FIELDS[name]
-    reasons = []
+
+def _problem(name: str) -> str:
+    """Reject reason of one field, NULL where it is fine."""
+    kind = INBOUND_FIELDS[name].simpleString()
+    cases = []
     if name in INBOUND_REQUIRED:
-        reasons.append(F.when(raw.isNull(), f"{name}: missing"))
-    if kind.typeName() != "string":
-        bad = raw.isNotNull() & raw.try_cast(kind).isNull()
-        reasons.append(F.when(bad, f"{name}: not a {_label(kind.typeName())}"))
+        cases.append(f"WHEN `__raw_{name}` IS NULL THEN '{name}: missing'")
+    if kind != "string":
+        wording = _KIND.get(kind, "number")
+        cases.append(
+            f"WHEN `__raw_{name}` IS NOT NULL AND `{name}` IS NULL THEN '{name}: not a {wording}'"
+        )
     if name == "order_type":
-        known = F.upper(raw).rlike("^(BUY|SELL)$")
-        reasons.append(F.when(~known, "order_type: neither BUY nor SELL"))
-    return F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
+        cases.append(f"WHEN NOT {name} RLIKE '^(BUY|SELL)$' THEN '{name}: neither BUY nor SELL'")
+    return f"CASE {' '.join(cases)} END" if cases else ""
 
 
-def _label(type_name: str) -> str:
-    return {"long": "whole number", "bigint": "whole number", "decimal": "number"}.get(
-        type_name, "time"
-    )
+def _typed(name: str) -> str:
+    if name == "order_type":
+        return "upper(order_type)"
+    if name == "comment":
+        return "nullif(comment, '')"
+    kind = INBOUND_FIELDS[name].simpleString()
+    return f"`{name}`" if kind == "string" else f"try_cast(`{name}` AS {kind})"
 
 
 def validate(inbound: DataFrame) -> DataFrame:
     """Typed record plus ``reject_reason``: an array, empty for a valid record."""
-    typed = [
-        F.col(name).try_cast(kind).alias(name)
-        if kind.typeName() != "string"
-        else F.col(name)
-        for name, kind in INBOUND_FIELDS.items()
-    ]
-    reasons = F.filter(F.array(*[_problem(n) for n in INBOUND_FIELDS]), lambda r: r.isNotNull())
-    others = [c for c in inbound.columns if c not in INBOUND_FIELDS]
-    return (
-        inbound.select(*others, *typed, reasons.alias("reject_reason"))
-        .withColumn("order_type", F.upper("order_type"))
-        .withColumn("comment", F.nullif("comment", F.lit("")))
+    problems = [p for p in map(_problem, INBOUND_FIELDS) if p]
+    others = quoted(c for c in inbound.columns if c not in INBOUND_FIELDS)
+    return inbound.selectExpr(
+        *others,
+        *[f"{_typed(n)} AS `{n}`" for n in INBOUND_FIELDS],
+        *[f"`{n}` AS `__raw_{n}`" for n in INBOUND_FIELDS],
+    ).selectExpr(
+        *others, *quoted(INBOUND_FIELDS), f"array_compact(array({', '.join(problems)})) AS reject_reason"
     )
 
 
 def valid(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("reject_reason") == 0).drop("reject_reason")
+    return checked.where("size(reject_reason) = 0").drop("reject_reason")
 
 
 def rejected(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("reject_reason") > 0)
+    return checked.where("size(reject_reason) > 0")
 
 
 def _active_keys(accounts: DataFrame) -> DataFrame:
-    return accounts.where("is_active").select("api_key", F.col("id").alias("account_id"))
+    return accounts.where("is_active").selectExpr("api_key", "id AS account_id")
 
 
 def resolve_account(records: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -77,66 +80,60 @@ def unknown_keys(records: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def first_arrivals(batch: DataFrame) -> DataFrame:
-    """One trade per (account, ticket): the first to arrive.
+    """One trade per (account, ticket): the first to arrive, then the smallest record.
 
     min over one struct is map-side combined, so a key repeated millions of times reaches the
     reducer as one row per map task.
     """
-    rest = [c for c in batch.columns if c not in TRADE_KEY]
-    ordered = ["received_at"] + [c for c in rest if c != "received_at"]
-    flags = []
-    for c in ordered:
-        flags += [F.col(c).isNull().alias(f"__null_{c}"), F.col(c)]
+    rest = [c for c in batch.columns if c not in TRADE_KEY + ["received_at"]]
+    record = f"min(struct({listed(['received_at', *rest])})) AS first"
     return (
         batch.groupBy(*TRADE_KEY)
-        .agg(F.min(F.struct(*flags)).alias("first"))
-        .select(*[F.col(c) if c in TRADE_KEY else F.col(f"first.{c}") for c in batch.columns])
+        .agg(F.expr(record))
+        .selectExpr(*[f"`{c}`" if c in TRADE_KEY else f"first.`{c}`" for c in batch.columns])
     )
 
 
-def stored_keys(batch: DataFrame, stored: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def stored_keys(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
     """Which (account, ticket) keys of the batch the store already holds, each once.
 
-    The rows of the batch bound the number of its keys. Up to max_rows the keys are broadcast
-    and the history is only filtered, not shuffled; a larger batch is joined by shuffle.
+    batch_rows is an upper bound of the rows of the batch. A batch small enough to broadcast
+    leaves the history unshuffled; a larger one is joined by shuffle.
     """
-    wanted = batch.select(*TRADE_KEY)
+    wanted = batch.select(*TRADE_KEY).distinct()
     keys = stored.select(*TRADE_KEY)
-    if wanted.limit(max_rows + 1).count() <= max_rows:
-        return keys.join(F.broadcast(wanted.distinct()), TRADE_KEY, "left_semi").distinct()
-    return wanted.distinct().join(keys, TRADE_KEY, "left_semi")
+    return keys.join(broadcast_if_small(wanted, batch_rows), TRADE_KEY, "left_semi").distinct()
 
 
-def new_trades(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def new_trades(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
     """Trades of the batch to append: first of their key, and the key not stored yet."""
-    return first_arrivals(batch).join(stored_keys(batch, stored), TRADE_KEY, "left_anti")
+    known = stored_keys(batch, stored, batch_rows)
+    return first_arrivals(batch).join(known, TRADE_KEY, "left_anti")
 
 
-def ingest_status(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def ingest_status(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
     """Per (account, ticket): how many records were stored (0 or 1) and how many were duplicates."""
-    per_key = batch.groupBy(*TRADE_KEY).agg(F.count(F.lit(1)).alias("received"))
-    known = stored_keys(batch, stored).withColumn("__known", F.lit(1))
-    saved = F.when(F.col("__known").isNull(), 1).otherwise(0)
-    return per_key.join(known, TRADE_KEY, "left").select(
-        *TRADE_KEY, "received", saved.cast("long").alias("ok"),
-        (F.col("received") - saved).alias("duplicate"),
+    per_key = batch.groupBy(*TRADE_KEY).agg(F.expr("count(1) AS received"))
+    known = stored_keys(batch, stored, batch_rows).selectExpr("*", "1L AS known")
+    return (
+        per_key.join(known, TRADE_KEY, "left")
+        .selectExpr(*TRADE_KEY, "received", "1 - coalesce(known, 0L) AS ok")
+        .selectExpr("*", "received - ok AS duplicate")
     )
 
 
 def ingest_totals(status: DataFrame) -> DataFrame:
-    zero = F.lit(0).cast("long")
     return status.agg(
-        F.coalesce(F.sum("received"), zero).alias("total"),
-        F.coalesce(F.sum("ok"), zero).alias("saved"),
-        F.coalesce(F.sum("duplicate"), zero).alias("duplicates"),
+        F.expr("coalesce(sum(received), 0L) AS total"),
+        F.expr("coalesce(sum(ok), 0L) AS saved"),
+        F.expr("coalesce(sum(duplicate), 0L) AS duplicates"),
     )
 
 
 def touched_strategies(new: DataFrame) -> DataFrame:
-    return new.where(recompute_gate()).select("magic_number").distinct()
+    return new.where(RECOMPUTE_GATE).select("magic_number").distinct()
 
 
-def restrict_to(history: DataFrame, touched: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Full history of the touched strategies only."""
-    small = touched.limit(max_rows + 1).count() <= max_rows
-    return history.join(F.broadcast(touched) if small else touched, "magic_number", "left_semi")
+def restrict_to(history: DataFrame, touched: DataFrame, touched_rows: int) -> DataFrame:
+    """Full history of the touched strategies only; touched_rows bounds their number."""
+    return history.join(broadcast_if_small(touched, touched_rows), "magic_number", "left_semi")

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from tapeledger.functions.numeric import listed, quoted
 from tapeledger.operators.joins import join_on_keys
 from tapeledger.schema import TRADE_ORDER
 from tapeledger.session import durable
@@ -53,24 +54,25 @@ class Chunked:
         return self.keys + [CHUNK] if self.split else list(self.keys)
 
     @property
-    def window(self):
-        return Window.partitionBy(*self.parts).orderBy(*sort_columns(self.order))
+    def whole(self) -> str:
+        return f"OVER (PARTITION BY {listed(self.parts)})"
 
     @property
-    def running(self):
-        return self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def ordered(self) -> str:
+        return f"OVER (PARTITION BY {listed(self.parts)} ORDER BY {ascending(self.order)})"
+
+    @property
+    def running(self) -> str:
+        return self.ordered[:-1] + " ROWS UNBOUNDED PRECEDING)"
 
 
-def sort_columns(order) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in order]
+def ascending(order) -> str:
+    return ", ".join(f"{name} ASC NULLS LAST" for name in quoted(order))
 
 
-def _position(order) -> Column:
-    """One comparable value per row, in the same order as sort_columns."""
-    flagged = []
-    for i, name in enumerate(order):
-        flagged += [F.col(name).isNull().alias(f"n{i}"), F.col(name).alias(f"v{i}")]
-    return F.struct(*flagged)
+def _position(order) -> str:
+    """One comparable value per row, in the same order as ``ascending``."""
+    return f"struct({', '.join(f'{c} IS NULL, {c}' for c in quoted(order))})"
 
 
 def _estimated_bytes(df: DataFrame) -> int | None:
@@ -87,15 +89,15 @@ def _cut_points(rows: DataFrame, keys: list[str], order, policy: ChunkPolicy) ->
     The sample is a function of the row itself, so recomputing it gives the same cuts. A key
     with fewer rows than one chunk has (almost always) no cut and stays whole.
     """
-    stride = max(1, policy.target_rows // policy.samples_per_chunk)
-    sampled = rows.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0).select(
-        *keys, _position(order).alias("position")
-    )
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("position"))
+    every = policy.samples_per_chunk
+    stride = max(1, policy.target_rows // every)
+    nth = f"row_number() OVER (PARTITION BY {listed(keys)} ORDER BY position)"
     return (
-        sampled.withColumn("nth", nth)
-        .where(F.col("nth") % policy.samples_per_chunk == 0)
-        .select(*keys, "position", (F.col("nth") / policy.samples_per_chunk).cast("long").alias("nth"))
+        rows.where(f"pmod(xxhash64({listed(order)}), {stride}) = 0")
+        .selectExpr(*quoted(keys), f"{_position(order)} AS position")
+        .selectExpr("*", f"{nth} AS sample")
+        .where(f"sample % {every} = 0")
+        .selectExpr(*quoted(keys), "position", f"sample div {every} AS nth")
     )
 
 
@@ -106,184 +108,161 @@ def chunk_rows(
     policy: ChunkPolicy = DEFAULT_POLICY,
 ) -> Chunked:
     """Number the chunks of each key; input that fits one task is left whole."""
+    order = tuple(order)
     size = _estimated_bytes(rows)
     if size is not None and size <= policy.small_input_bytes:
-        return Chunked(rows.withColumn(CHUNK, F.lit(0)), keys, tuple(order), False)
+        return Chunked(rows, keys, order, False)
 
     cuts = durable(_cut_points(rows, keys, order, policy))
-    total, longest = cuts.agg(F.count(F.lit(1)), F.max("nth")).first()
+    total, longest = cuts.agg(F.expr("count(1)"), F.expr("max(nth)")).first()
     if not total:
-        return Chunked(rows.withColumn(CHUNK, F.lit(0)), keys, tuple(order), False)
+        return Chunked(rows, keys, order, False)
 
     # The cut table is broadcast: keep it under max_cuts by widening the chunks, never by
     # dropping rows.
     keep_every = -(-total // policy.max_cuts)
-    cuts = cuts.where(F.col("nth") % keep_every == 0)
     longest //= keep_every
-    per_key = cuts.groupBy(*keys).agg(
-        F.array_sort(F.collect_list("position")).alias("__cuts")
+    per_key = (
+        cuts.where(f"nth % {keep_every} = 0")
+        .groupBy(*keys)
+        .agg(F.expr("array_sort(collect_list(position)) AS __cuts"))
+    )
+    located = join_on_keys(rows, F.broadcast(per_key), keys, "left").selectExpr(
+        "*", f"{_position(order)} AS __at", f"0 AS `{CHUNK}`"
     )
-    located = join_on_keys(rows, F.broadcast(per_key), keys, "left")
-    located = located.withColumn("__at", _position(order)).withColumn(CHUNK, F.lit(0))
     # binary search, one halving per step: chunk = number of cuts at or before the row
+    others = [c for c in located.columns if c != CHUNK]
     step = 1 << max(longest.bit_length() - 1, 0)
     while step:
-        probe = F.get("__cuts", F.col(CHUNK) + F.lit(step - 1))
-        hit = F.coalesce(probe <= F.col("__at"), F.lit(False))
-        located = located.withColumn(CHUNK, F.col(CHUNK) + F.when(hit, step).otherwise(0))
+        hit = f"coalesce(get(__cuts, `{CHUNK}` + {step - 1}) <= __at, false)"
+        located = located.selectExpr(
+            *quoted(others), f"`{CHUNK}` + CASE WHEN {hit} THEN {step} ELSE 0 END AS `{CHUNK}`"
+        )
         step >>= 1
-    return Chunked(located.drop("__cuts", "__at"), keys, tuple(order), True)
+    return Chunked(located.drop("__cuts", "__at"), keys, order, True)
 
 
 # --- one pass inside the chunks ------------------------------------------------------------
 
 
 def local_path(chunked: Chunked) -> DataFrame:
-    """Per row, inside its chunk: position, equity, peak and distance to the last win / loss.
+    """Per row, inside its chunk: position, equity, peak, position of the last loss and win.
 
     Equity is relative (no initial balance) and missing where the net is missing.
     """
     running = chunked.running
-    net = F.col("net_profit")
-    win = F.col("is_win")
-    placed = chunked.rows.withColumns(
-        {
-            "rn": F.row_number().over(chunked.window),
-            "eq": F.when(net.isNotNull(), F.sum(net).over(running)),
-        }
-    )
-    return placed.withColumns(
-        {
-            "pk": F.max("eq").over(running),
-            "at_loss": F.max(F.when(~win, F.col("rn"))).over(running),
-            "at_win": F.max(F.when(win, F.col("rn"))).over(running),
-        }
+    return chunked.rows.selectExpr(
+        "*",
+        f"row_number() {chunked.ordered} AS rn",
+        f"CASE WHEN net_profit IS NOT NULL THEN sum(net_profit) {running} END AS eq",
+    ).selectExpr(
+        "*",
+        f"max(eq) {running} AS pk",
+        f"max(CASE WHEN NOT is_win THEN rn END) {running} AS at_loss",
+        f"max(CASE WHEN is_win THEN rn END) {running} AS at_win",
     )
 
 
+_SUMMARY = [
+    "count(1) AS n",
+    "coalesce(sum(net_profit), 0) AS total",
+    "max(eq) AS hi",
+    "min(CASE WHEN eq IS NOT NULL THEN named_struct('eq', eq, 'rn', rn) END) AS lo",
+    "min(CASE WHEN eq IS NOT NULL THEN named_struct('dd', eq - pk, 'rn', rn, 'eq', eq) END) "
+    "AS deep",
+    "max_by(net_profit IS NULL, rn) AS last_missing",
+    "min(CASE WHEN NOT is_win THEN rn END) AS first_loss",
+    "max(CASE WHEN NOT is_win THEN rn END) AS last_loss",
+    "min(CASE WHEN is_win THEN rn END) AS first_win",
+    "max(CASE WHEN is_win THEN rn END) AS last_win",
+    "max(CASE WHEN is_win THEN rn - coalesce(at_loss, 0) ELSE 0 END) AS win_run",
+    "max(CASE WHEN NOT is_win THEN rn - coalesce(at_win, 0) ELSE 0 END) AS loss_run",
+]
+PATH_FIELDS = [text.rsplit(" ", 1)[1] for text in _SUMMARY]
+
+
 def chunk_summaries(chunked: Chunked, path: DataFrame) -> DataFrame:
     """One row per (key, chunk): all a later chunk or the final figures need."""
-    rn, eq = F.col("rn"), F.col("eq")
-    has_net = F.col("net_profit").isNotNull()
-    gap = eq - F.col("pk")
-    win_run = rn - F.coalesce(F.col("at_loss"), F.lit(0))
-    loss_run = rn - F.coalesce(F.col("at_win"), F.lit(0))
-    win = F.col("is_win")
-    out = path.groupBy(*chunked.parts).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum("net_profit"), F.lit(0)).alias("total"),
-        F.max("eq").alias("hi"),
-        F.min(F.when(has_net, F.struct(eq.alias("eq"), rn.alias("rn")))).alias("lo"),
-        F.min(
-            F.when(has_net, F.struct(gap.alias("dd"), rn.alias("rn"), eq.alias("eq")))
-        ).alias("deep"),
-        F.max_by(F.col("net_profit").isNull(), rn).alias("last_missing"),
-        F.min(F.when(~win, rn)).alias("first_loss"),
-        F.max(F.when(~win, rn)).alias("last_loss"),
-        F.min(F.when(win, rn)).alias("first_win"),
-        F.max(F.when(win, rn)).alias("last_win"),
-        F.max(F.when(win, win_run).otherwise(0)).alias("win_run"),
-        F.max(F.when(~win, loss_run).otherwise(0)).alias("loss_run"),
-    )
-    return out if chunked.split else out.withColumn(CHUNK, F.lit(0))
+    out = path.groupBy(*chunked.parts).agg(*[F.expr(e) for e in _SUMMARY])
+    return out if chunked.split else out.selectExpr("*", f"0 AS `{CHUNK}`")
 
 
 def with_history(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """Add to each chunk what came before it in its key."""
-    ordered = Window.partitionBy(*keys).orderBy(CHUNK)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-    placed = summaries.withColumns(
-        {
-            "off_n": F.coalesce(F.sum("n").over(before), zero),
-            "off_sum": F.coalesce(F.sum("total").over(before), zero),
-        }
+    before = (
+        f"OVER (PARTITION BY {listed(keys)} ORDER BY `{CHUNK}` "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
-    return placed.withColumns(
-        {
-            "prior_peak": F.max(F.col("off_sum") + F.col("hi")).over(before),
-            "prior_loss": F.max(F.col("off_n") + F.col("last_loss")).over(before),
-            "prior_win": F.max(F.col("off_n") + F.col("last_win")).over(before),
-        }
+    return summaries.selectExpr(
+        "*",
+        f"coalesce(sum(n) {before}, 0) AS off_n",
+        f"coalesce(sum(total) {before}, 0) AS off_sum",
+    ).selectExpr(
+        "*",
+        f"max(off_sum + hi) {before} AS prior_peak",
+        f"max(off_n + last_loss) {before} AS prior_loss",
+        f"max(off_n + last_win) {before} AS prior_win",
     )
 
 
+def _money(text: str) -> str:
+    return f"cast({text} AS DECIMAL(38,4))"
+
+
 def merge(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """Fold the chunks of a key, in chunk order, into one summary of the same shape.
 
     The deepest point of a chunk is either its own (peak inside the chunk) or its lowest equity
     measured from the peak before the chunk; of equal depths the earlier row counts.
     """
-    zero = F.lit(0)
-    off_n, off_sum = F.col("off_n"), F.col("off_sum")
-
-    def money(value):
-        return value.cast("decimal(38,4)")
-
-    inside = F.when(
-        F.col("deep").isNotNull(),
-        F.struct(
-            money(F.col("deep.dd")).alias("dd"),
-            (off_n + F.col("deep.rn")).alias("rn"),
-            money(off_sum + F.col("deep.eq")).alias("eq"),
-        ),
-    )
-    low = money(off_sum + F.col("lo.eq"))
-    low_at = off_n + F.col("lo.rn")
-    carried = F.when(
-        F.col("prior_peak").isNotNull() & F.col("lo").isNotNull(),
-        F.struct(
-            money(low - F.col("prior_peak")).alias("dd"), low_at.alias("rn"), low.alias("eq")
-        ),
-    )
-    # a run that reaches into this chunk exists only where the chunk starts with that outcome
-    lead_win = off_n + F.coalesce(F.col("first_loss") - 1, F.col("n")) - F.coalesce("prior_loss", zero)
-    lead_loss = off_n + F.coalesce(F.col("first_win") - 1, F.col("n")) - F.coalesce("prior_win", zero)
-    lead_win = F.when(F.coalesce(F.col("first_win"), zero) == 1, lead_win).otherwise(zero)
-    lead_loss = F.when(F.coalesce(F.col("first_loss"), zero) == 1, lead_loss).otherwise(zero)
-    return (
-        with_history(summaries, keys)
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("n"),
-            money(F.sum("total")).alias("total"),
-            money(F.max(off_sum + F.col("hi"))).alias("hi"),
-            F.min(
-                F.when(F.col("lo").isNotNull(), F.struct(low.alias("eq"), low_at.alias("rn")))
-            ).alias("lo"),
-            F.min(F.least(inside, carried)).alias("deep"),
-            F.max_by("last_missing", CHUNK).alias("last_missing"),
-            F.min(off_n + F.col("first_loss")).alias("first_loss"),
-            F.max(off_n + F.col("last_loss")).alias("last_loss"),
-            F.min(off_n + F.col("first_win")).alias("first_win"),
-            F.max(off_n + F.col("last_win")).alias("last_win"),
-            F.max(F.greatest("win_run", lead_win)).alias("win_run"),
-            F.max(F.greatest("loss_run", lead_loss)).alias("loss_run"),
-        )
+    placed = with_history(summaries, keys).selectExpr(
+        "*",
+        f"{_money('off_sum + lo.eq')} AS low",
+        "off_n + lo.rn AS low_at",
+        "CASE WHEN deep IS NOT NULL THEN named_struct("
+        f"'dd', {_money('deep.dd')}, 'rn', off_n + deep.rn, 'eq', {_money('off_sum + deep.eq')}"
+        ") END AS inside",
+        # a run that reaches into this chunk exists only where the chunk starts with that outcome
+        "CASE WHEN first_win = 1 THEN "
+        "off_n + coalesce(first_loss - 1, n) - coalesce(prior_loss, 0) ELSE 0 END AS lead_win",
+        "CASE WHEN first_loss = 1 THEN "
+        "off_n + coalesce(first_win - 1, n) - coalesce(prior_win, 0) ELSE 0 END AS lead_loss",
+    ).selectExpr(
+        "*",
+        "CASE WHEN prior_peak IS NOT NULL AND low IS NOT NULL THEN named_struct("
+        f"'dd', {_money('low - prior_peak')}, 'rn', low_at, 'eq', low) END AS carried",
     )
-
-
-PATH_FIELDS = [
-    "n", "total", "hi", "lo", "deep", "last_missing", "first_loss", "last_loss", "first_win",
-    "last_win", "win_run", "loss_run",
-]
+    folded = [
+        "sum(n) AS n",
+        f"{_money('sum(total)')} AS total",
+        f"{_money('max(off_sum + hi)')} AS hi",
+        "min(CASE WHEN low IS NOT NULL THEN named_struct('eq', low, 'rn', low_at) END) AS lo",
+        "min(least(inside, carried)) AS deep",
+        f"max_by(last_missing, `{CHUNK}`) AS last_missing",
+        "min(off_n + first_loss) AS first_loss",
+        "max(off_n + last_loss) AS last_loss",
+        "min(off_n + first_win) AS first_win",
+        "max(off_n + last_win) AS last_win",
+        "max(greatest(win_run, lead_win)) AS win_run",
+        "max(greatest(loss_run, lead_loss)) AS loss_run",
+    ]
+    return placed.groupBy(*keys).agg(*[F.expr(e) for e in folded])
 
 
 def figures(summary: DataFrame, keys: list[str]) -> DataFrame:
     """Path figures of a merged summary."""
-    ends_in_win = F.coalesce(F.col("last_win") == F.col("n"), F.lit(False))
-    other = F.when(ends_in_win, F.col("last_loss")).otherwise(F.col("last_win"))
-    return summary.select(
-        *keys,
+    ends_in_win = "coalesce(last_win = n, false)"
+    return summary.selectExpr(
+        *quoted(keys),
         "n",
         "total",
         "last_missing",
-        (-F.col("deep.dd")).alias("depth"),
-        (F.col("deep.eq") - F.col("deep.dd")).alias("peak_at_depth"),
-        F.col("win_run").alias("max_win_run"),
-        F.col("loss_run").alias("max_loss_run"),
-        (F.col("n") - F.coalesce(other, F.lit(0))).alias("current_run"),
-        F.when(ends_in_win, "win").otherwise("loss").alias("current_type"),
+        "-deep.dd AS depth",
+        "deep.eq - deep.dd AS peak_at_depth",
+        "win_run AS max_win_run",
+        "loss_run AS max_loss_run",
+        f"n - coalesce(CASE WHEN {ends_in_win} THEN last_loss ELSE last_win END, 0) AS current_run",
+        f"CASE WHEN {ends_in_win} THEN 'win' ELSE 'loss' END AS current_type",
     )
 
 
@@ -291,7 +270,7 @@ def path_summary(
     prepared: DataFrame, keys: list[str], policy: ChunkPolicy = DEFAULT_POLICY
 ) -> DataFrame:
     """The merged path summary of every key, one row each."""
-    rows = prepared.select(*keys, *TRADE_ORDER, "net_profit", "is_win")
+    rows = prepared.selectExpr(*quoted(keys), *quoted(TRADE_ORDER), "net_profit", "is_win")
     chunked = chunk_rows(rows, keys, policy=policy)
     return merge(chunk_summaries(chunked, local_path(chunked)), keys)
 
@@ -315,47 +294,38 @@ def path_rows(
     peak (relative to the initial balance), run_start (seq of the first trade of its run).
     """
     extra = [c for c in (carry or []) if c not in keys + list(TRADE_ORDER)]
-    rows = prepared.select(*keys, *TRADE_ORDER, "net_profit", "is_win", *extra)
-    chunked = chunk_rows(rows, keys, policy=policy)
+    base = [*quoted(keys), *quoted(TRADE_ORDER), *quoted(extra), "net_profit", "is_win"]
+    chunked = chunk_rows(prepared.selectExpr(*base), keys, policy=policy)
     path = local_path(chunked)
-    whole = Window.partitionBy(*chunked.parts)
-    size = F.count(F.lit(1)).over(whole)
+    sized = path.selectExpr("*", f"count(1) {chunked.whole} AS size")
     if chunked.split:
-        history = with_history(chunk_summaries(chunked, path), keys)
-        per_key = Window.partitionBy(*keys)
+        per_key = f"OVER (PARTITION BY {listed(keys)})"
         # chunks of cut keys only: at most two per cut point, hence bounded by max_cuts
         before = (
-            history.withColumn("key_n", F.sum("n").over(per_key))
-            .withColumn("chunks", F.count(F.lit(1)).over(per_key))
-            .where(F.col("chunks") > 1)
-            .select(*keys, CHUNK, "off_n", "off_sum", "prior_peak", "prior_loss", "prior_win", "key_n")
+            with_history(chunk_summaries(chunked, path), keys)
+            .selectExpr("*", f"sum(n) {per_key} AS key_n", f"count(1) {per_key} AS chunks")
+            .where("chunks > 1")
+            .selectExpr(
+                *quoted(keys), f"`{CHUNK}`", "off_n", "off_sum", "prior_peak", "prior_loss",
+                "prior_win", "key_n",
+            )
         )
-        path = join_on_keys(path.withColumn("size", size), F.broadcast(before), keys + [CHUNK], "left")
-        zero = F.lit(0)
-        off_n, off_sum = F.coalesce("off_n", zero), F.coalesce("off_sum", zero)
-        total = F.coalesce("key_n", "size")
+        sized = join_on_keys(sized, F.broadcast(before), keys + [CHUNK], "left")
+        off_n, off_sum = "coalesce(off_n, 0L)", "coalesce(off_sum, 0)"
+        total, prior = "coalesce(key_n, size)", ["prior_peak", "prior_loss", "prior_win"]
     else:
-        none = F.lit(None)
-        path = path.withColumn("size", size).withColumns(
-            {"prior_peak": none.cast("decimal(38,4)"), "prior_loss": none.cast("long"), "prior_win": none.cast("long")}
-        )
-        off_n, off_sum, total = F.lit(0).cast("long"), F.lit(0), F.col("size")
-    last_loss = F.coalesce(off_n + F.col("at_loss"), F.col("prior_loss"), F.lit(0))
-    last_win = F.coalesce(off_n + F.col("at_win"), F.col("prior_win"), F.lit(0))
-    return path.select(
-        *keys,
-        *TRADE_ORDER,
-        *extra,
-        "net_profit",
-        "is_win",
-        (off_n + F.col("rn")).alias("seq"),
-        total.alias("n_total"),
-        (off_sum + F.col("eq")).cast("decimal(38,4)").alias("equity"),
-        F.when(
-            F.col("eq").isNotNull(),
-            F.greatest(F.col("prior_peak"), (off_sum + F.col("pk")).cast("decimal(38,4)")),
-        ).alias("peak"),
-        (F.when(F.col("is_win"), last_loss).otherwise(last_win) + 1).alias("run_start"),
+        off_n, off_sum, total = "0L", "0", "size"
+        prior = ["cast(NULL AS DECIMAL(38,4))", "cast(NULL AS BIGINT)", "cast(NULL AS BIGINT)"]
+    last_loss = f"coalesce({off_n} + at_loss, {prior[1]}, 0)"
+    last_win = f"coalesce({off_n} + at_win, {prior[2]}, 0)"
+    return sized.selectExpr(
+        *base,
+        f"{off_n} + rn AS seq",
+        f"{total} AS n_total",
+        f"{_money(f'{off_sum} + eq')} AS equity",
+        f"CASE WHEN eq IS NOT NULL THEN greatest({_money(prior[0])}, {_money(f'{off_sum} + pk')}) "
+        "END AS peak",
+        f"CASE WHEN is_win THEN {last_loss} ELSE {last_win} END + 1 AS run_start",
     )
 
 
@@ -372,48 +342,50 @@ def running_total_by_time(
     Rows of one instant share their value, also where a cut falls inside the instant.
     """
     chunked = chunk_rows(rows, keys, (time, tiebreak), policy)
-    by_time = Window.partitionBy(*chunked.parts).orderBy(F.col(time).asc_nulls_last())
-    upto = by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    local = chunked.rows.withColumn("cumulative", F.sum(value).over(upto))
+    upto = f"OVER (PARTITION BY {listed(chunked.parts)} ORDER BY {ascending([time])} RANGE UNBOUNDED PRECEDING)"
+    local = chunked.rows.selectExpr("*", f"sum(`{value}`) {upto} AS cumulative")
     if not chunked.split:
-        return local.drop(CHUNK)
-
-    ends = F.struct(F.col(time).isNull().alias("n"), F.col(time).alias("v"))
-    summaries = (
-        local.withColumn("at", ends)
-        .groupBy(*chunked.parts)
-        .agg(
-            F.min("at").alias("first_at"),
-            F.max("at").alias("last_at"),
-            F.sum(value).alias("total"),
-            F.min_by("cumulative", "at").alias("lead"),
-        )
-    )
+        return local
+
+    at = f"struct(`{time}` IS NULL, `{time}`)"
+    spans = [
+        "min(at) AS first_at",
+        "max(at) AS last_at",
+        f"sum(`{value}`) AS total",
+        "min_by(cumulative, at) AS lead",
+    ]
     before = (
-        Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        f"OVER (PARTITION BY {listed(keys)} ORDER BY `{CHUNK}` "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     )
     history = (
-        summaries.withColumn("off_sum", F.sum("total").over(before))
-        .withColumn("chunks", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-        .where(F.col("chunks") > 1)
+        local.selectExpr("*", f"{at} AS at")
+        .groupBy(*chunked.parts)
+        .agg(*[F.expr(e) for e in spans])
+        .selectExpr(
+            "*",
+            f"sum(total) {before} AS off_sum",
+            f"count(1) OVER (PARTITION BY {listed(keys)}) AS chunks",
+        )
+        .where("chunks > 1")
     )
     # total up to the end of an instant at which some chunk begins: told by the last such chunk
-    zero = F.lit(0)
-    reached = F.coalesce("off_sum", zero) + F.coalesce("lead", zero)
-    same_start = Window.partitionBy(*keys, "first_at").orderBy(F.col(CHUNK).desc())
+    same_start = f"OVER (PARTITION BY {listed(keys)}, first_at ORDER BY `{CHUNK}` DESC)"
     starts = (
-        history.withColumn("back", F.row_number().over(same_start))
+        history.selectExpr("*", f"row_number() {same_start} AS back")
         .where("back = 1")
-        .select(*keys, F.col("first_at").alias("last_at"), reached.alias("instant_total"))
+        .selectExpr(
+            *quoted(keys),
+            "first_at AS last_at",
+            "coalesce(off_sum, 0) + coalesce(lead, 0) AS instant_total",
+        )
     )
-    info = join_on_keys(
-        history.select(*keys, CHUNK, "off_sum", "last_at"), starts, keys + ["last_at"], "left"
-    ).withColumnRenamed("last_at", "chunk_end")
+    spanned = history.selectExpr(*quoted(keys), f"`{CHUNK}`", "off_sum", "last_at")
+    info = join_on_keys(spanned, starts, keys + ["last_at"], "left")
     joined = join_on_keys(local, F.broadcast(info), keys + [CHUNK], "left")
-    at_end = F.col("instant_total").isNotNull() & (ends == F.col("chunk_end"))
-    moved = F.when(at_end, F.col("instant_total")).when(
-        F.col("off_sum").isNotNull(), F.col("off_sum") + F.coalesce("cumulative", zero)
-    )
-    return joined.withColumn("cumulative", F.coalesce(moved, F.col("cumulative"))).select(
-        *rows.columns, "cumulative"
+    return joined.selectExpr(
+        *quoted(rows.columns),
+        f"CASE WHEN instant_total IS NOT NULL AND {at} = last_at THEN instant_total "
+        "WHEN off_sum IS NOT NULL THEN off_sum + coalesce(cumulative, 0) "
+        "ELSE cumulative END AS cumulative",
     )

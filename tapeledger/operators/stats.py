@@ -1,233 +1,204 @@
-"""Order-free figures: one map-side combined aggregate per key, then column expressions."""
+"""Order-free figures: one map-side combined aggregate per key, then expressions over it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from tapeledger.functions.numeric import INF, half_even, ratio, zero_if_null
+from pyspark.sql import DataFrame, functions as F
+
+from tapeledger.functions.numeric import INF, half_even, listed, quoted, ratio
+
+# Every buffer is fixed width, so this hash-aggregates.
+_STATISTICS = [
+    "count(1) AS n",
+    "count(net_profit) AS n_net",
+    "count_if(is_win) AS n_win",
+    "count(CASE WHEN NOT is_win THEN net_profit END) AS n_loss_net",
+    "sum(net_profit) AS net",
+    "sum(CASE WHEN is_win THEN net_profit END) AS win_net",
+    "sum(CASE WHEN NOT is_win THEN net_profit END) AS loss_net",
+    "max(net_profit) AS best",
+    "min(net_profit) AS worst",
+    "sum(commission) AS commissions",
+    "sum(swap) AS swaps",
+    "count(duration_min) AS n_timed",
+    "avg(duration_min) AS duration",
+    "stddev_samp(cast(net_profit AS DOUBLE)) AS std",
+    "count_if(net_profit < 0) AS n_down",
+    "sum(CASE WHEN net_profit < 0 THEN net_profit END) AS down_net",
+    "stddev_samp(CASE WHEN net_profit < 0 THEN cast(net_profit AS DOUBLE) END) AS down_std",
+    "min(open_time) AS first_open",
+    "max(close_time) AS last_close",
+]
+STATS_FIELDS = [text.rsplit(" ", 1)[1] for text in _STATISTICS]
 
 
 def trade_stats(prepared: DataFrame, keys: list[str]) -> DataFrame:
-    """Sufficient statistics of a key. Every buffer is fixed width, so this hash-aggregates."""
-    net = F.col("net_profit")
-    win = F.col("is_win")
-    net_double = net.cast("double")
-    return prepared.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("net_profit").alias("n_net"),
-        F.count_if(win).alias("n_win"),
-        F.count(F.when(~win, net)).alias("n_loss_net"),
-        F.sum("net_profit").alias("net"),
-        F.sum(F.when(win, net)).alias("win_net"),
-        F.sum(F.when(~win, net)).alias("loss_net"),
-        F.max("net_profit").alias("best"),
-        F.min("net_profit").alias("worst"),
-        F.sum("commission").alias("commissions"),
-        F.sum("swap").alias("swaps"),
-        F.count("duration_min").alias("n_timed"),
-        F.avg("duration_min").alias("duration"),
-        F.stddev_samp(net_double).alias("std"),
-        F.count_if(net < 0).alias("n_down"),
-        F.sum(F.when(net < 0, net)).alias("down_net"),
-        F.stddev_samp(F.when(net < 0, net_double)).alias("down_std"),
-        F.min("open_time").alias("first_open"),
-        F.max("close_time").alias("last_close"),
-    )
+    """Sufficient statistics of a key."""
+    return prepared.groupBy(*keys).agg(*[F.expr(e) for e in _STATISTICS])
 
 
 def merge_stats(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Fold statistics of disjoint trade sets, rows of trade_stats, into one row per key."""
-    whole = Window.partitionBy(*keys)
-
-    def around_common_mean(count: str, total: str, std: str) -> Column:
-        own = F.col(total).cast("double") / F.nullif(F.col(count), F.lit(0))
-        shared = F.sum(total).over(whole).cast("double") / F.nullif(
-            F.sum(count).over(whole), F.lit(0)
+    whole = f"OVER (PARTITION BY {listed(keys)})"
+
+    def around_common_mean(count: str, total: str, std: str) -> str:
+        """Sum of squares around the mean of all parts."""
+        own = f"cast({total} AS DOUBLE) / nullif({count}, 0)"
+        shared = f"cast(sum({total}) {whole} AS DOUBLE) / nullif(sum({count}) {whole}, 0)"
+        return (
+            f"coalesce({std} * {std} * ({count} - 1), 0D) + "
+            f"coalesce({count} * pow({own} - {shared}, 2), 0D)"
         )
-        spread = F.coalesce(F.col(std) * F.col(std) * (F.col(count) - 1), F.lit(0.0))
-        return spread + F.coalesce(F.col(count) * F.pow(own - shared, 2), F.lit(0.0))
-
-    def std(count: str, squares: str) -> Column:
-        n = F.sum(count)
-        return F.when(n > 1, F.sqrt(F.sum(squares) / (n - 1)))
 
-    def total(name: str) -> Column:
-        return F.sum(name).cast("decimal(38,4)").alias(name)
-
-    timed = F.sum("n_timed")
+    def std(count: str, squares: str) -> str:
+        return f"CASE WHEN sum({count}) > 1 THEN sqrt(sum({squares}) / (sum({count}) - 1)) END"
+
+    counts = ["n", "n_net", "n_win", "n_loss_net", "n_down", "n_timed"]
+    sums = ["net", "win_net", "loss_net", "down_net", "commissions", "swaps"]
+    folded = [
+        *[f"sum({c}) AS {c}" for c in counts],
+        *[f"cast(sum({c}) AS DECIMAL(38,4)) AS {c}" for c in sums],
+        "max(best) AS best",
+        "min(worst) AS worst",
+        "CASE WHEN sum(n_timed) > 0 THEN sum(duration * n_timed) / sum(n_timed) END AS duration",
+        f"{std('n_net', 'squares')} AS std",
+        f"{std('n_down', 'down_squares')} AS down_std",
+        "min(first_open) AS first_open",
+        "max(last_close) AS last_close",
+    ]
     return (
-        parts.withColumns(
-            {
-                "squares": around_common_mean("n_net", "net", "std"),
-                "down_squares": around_common_mean("n_down", "down_net", "down_std"),
-                "minutes": F.col("duration") * F.col("n_timed"),
-            }
+        parts.selectExpr(
+            "*",
+            f"{around_common_mean('n_net', 'net', 'std')} AS squares",
+            f"{around_common_mean('n_down', 'down_net', 'down_std')} AS down_squares",
         )
         .groupBy(*keys)
-        .agg(
-            *[F.sum(c).alias(c) for c in ("n", "n_net", "n_win", "n_loss_net", "n_down", "n_timed")],
-            *[total(c) for c in ("net", "win_net", "loss_net", "down_net", "commissions", "swaps")],
-            F.max("best").alias("best"),
-            F.min("worst").alias("worst"),
-            F.when(timed > 0, F.sum("minutes") / timed).alias("duration"),
-            std("n_net", "squares").alias("std"),
-            std("n_down", "down_squares").alias("down_std"),
-            F.min("first_open").alias("first_open"),
-            F.max("last_close").alias("last_close"),
-        )
+        .agg(*[F.expr(e) for e in folded])
     )
 
 
-STATS_FIELDS = [
-    "n", "n_net", "n_win", "n_loss_net", "n_down", "n_timed", "net", "win_net", "loss_net",
-    "down_net", "commissions", "swaps", "best", "worst", "duration", "std", "down_std",
-    "first_open", "last_close",
-]
-
-
-# --- building blocks over the columns of trade_stats ---------------------------------------
-
-
-def _n_loss() -> Column:
-    return F.col("n") - F.col("n_win")
-
-
-def _mean() -> Column:
-    """Mean net of the trades that have one; NULL if none has."""
-    return F.when(F.col("n_net") > 0, F.col("net").cast("double") / F.col("n_net"))
-
-
-def _avg_win() -> Column:
-    return ratio(F.col("win_net"), F.col("n_win"), 0.0)
-
-
-def _avg_loss() -> Column:
-    """0 without losing trades; NULL if none of them has a net."""
-    mean = F.when(
-        F.col("n_loss_net") > 0, F.col("loss_net").cast("double") / F.col("n_loss_net")
-    )
-    return F.when(_n_loss() == 0, F.lit(0.0)).otherwise(mean)
+# --- expressions over the columns of trade_stats -------------------------------------------
 
-
-def _gross_profit() -> Column:
-    return zero_if_null(F.col("win_net"))
-
-
-def _gross_loss() -> Column:
-    return F.abs(zero_if_null(F.col("loss_net")))
-
-
-def _win_rate() -> Column:
-    return ratio(F.col("n_win") * F.lit(100.0), F.col("n"), 0.0)
-
-
-def _profit_factor() -> Column:
-    return ratio(_gross_profit(), _gross_loss(), INF)
-
-
-def _expectancy() -> Column:
-    n = F.col("n").cast("double")
-    return F.col("n_win") / n * _avg_win() + _n_loss() / n * _avg_loss()
-
-
-def basic_columns() -> list[Column]:
-    avg_win, avg_loss = _avg_win(), _avg_loss()
-    payoff = F.when(avg_loss == 0, F.lit(INF)).otherwise(F.abs(avg_win / avg_loss))
-    return [
-        F.col("n").alias("total_trades"),
-        F.col("n_win").alias("winning_trades"),
-        _n_loss().alias("losing_trades"),
-        half_even(_win_rate(), 2).alias("win_rate_pct"),
-        half_even(_profit_factor(), 4).alias("profit_factor"),
-        half_even(zero_if_null(F.col("net")), 2).alias("total_net_profit"),
-        half_even(_gross_profit(), 2).alias("gross_profit"),
-        half_even(_gross_loss(), 2).alias("gross_loss"),
-        half_even(avg_win, 2).alias("avg_win"),
-        half_even(avg_loss, 2).alias("avg_loss"),
-        half_even(_mean(), 2).alias("avg_trade"),
-        half_even(F.col("best"), 2).alias("best_trade"),
-        half_even(F.col("worst"), 2).alias("worst_trade"),
-        half_even(payoff, 4).alias("payoff_ratio"),
-        half_even(zero_if_null(F.col("commissions")), 2).alias("total_commissions"),
-        half_even(zero_if_null(F.col("swaps")), 2).alias("total_swaps"),
-        half_even(F.col("duration"), 2).alias("avg_duration_min"),
-    ]
+_MEANS = [
+    "n - n_win AS n_loss",
+    "coalesce(win_net, 0) AS gross_win",
+    "abs(coalesce(loss_net, 0)) AS gross_fall",
+    # NULL if no trade has a net
+    "CASE WHEN n_net > 0 THEN cast(net AS DOUBLE) / n_net END AS mean",
+    f"{ratio('win_net', 'n_win', '0')} AS mean_win",
+    # 0 without losing trades; NULL if none of them has a net
+    "CASE WHEN n = n_win THEN 0D WHEN n_loss_net > 0 "
+    "THEN cast(loss_net AS DOUBLE) / n_loss_net END AS mean_loss",
+]
 
 
-def risk_columns(risk_free_rate: float = 0.0) -> list[Column]:
-    """Per-trade Sharpe and Sortino. One missing net makes Sharpe 0, and Sortino undefined
-    unless its own denominator is 0."""
-    excess = _mean() - F.lit(float(risk_free_rate))
-    complete = F.col("n") == F.col("n_net")
-    enough = F.col("n") >= 2
-    sharpe = F.when(enough & complete & (F.col("std") > 0), excess / F.col("std")).otherwise(0.0)
-    downside = enough & (F.col("n_down") >= 2) & (F.col("down_std") > 0)
-    sortino = (
-        F.when(downside & complete, excess / F.col("down_std"))
-        .when(downside, F.lit(None))
-        .otherwise(0.0)
-    )
+def _raw(risk_free_rate: float) -> list[str]:
+    rate = f"cast({risk_free_rate!r} AS DOUBLE)"
+    downside = "n >= 2 AND n_down >= 2 AND down_std > 0"
     return [
-        half_even(sharpe, 4).alias("sharpe_ratio"),
-        half_even(sortino, 4).alias("sortino_ratio"),
+        f"{ratio('n_win * 100D', 'n', '0')} AS raw_win_rate",
+        f"{ratio('gross_win', 'gross_fall', INF)} AS raw_factor",
+        f"CASE WHEN mean_loss = 0 THEN {INF} ELSE abs(mean_win / mean_loss) END AS raw_payoff",
+        # one missing net makes Sharpe 0, and Sortino undefined unless its denominator is 0
+        f"CASE WHEN n >= 2 AND n = n_net AND std > 0 THEN (mean - {rate}) / std ELSE 0D END "
+        "AS raw_sharpe",
+        f"CASE WHEN {downside} AND n = n_net THEN (mean - {rate}) / down_std "
+        f"WHEN {downside} THEN NULL ELSE 0D END AS raw_sortino",
+        "cast(n_win AS DOUBLE) / n * mean_win + cast(n_loss AS DOUBLE) / n * mean_loss "
+        "AS raw_expectancy",
+        f"CASE WHEN mean = 0 THEN {INF} ELSE abs(std / mean) END AS raw_variation",
     ]
 
 
-def expectancy_columns() -> list[Column]:
-    expectancy, avg_loss, mean = _expectancy(), _avg_loss(), _mean()
-    per_unit = (
-        F.when(avg_loss.isNull(), F.lit(0.0))
-        .when(avg_loss == 0, expectancy)
-        .otherwise(expectancy / F.abs(avg_loss))
-    )
-    variation = F.when(mean == 0, F.lit(INF)).otherwise(F.abs(F.col("std") / mean))
-    return [
-        half_even(expectancy, 4).alias("expectancy"),
-        half_even(per_unit, 4).alias("expectancy_per_dollar"),
-        half_even(F.col("std"), 4).alias("profit_std_dev"),
-        half_even(variation, 4).alias("coefficient_of_variation"),
-    ]
+def with_ratios(stats: DataFrame, risk_free_rate: float = 0.0) -> DataFrame:
+    """Add the unrounded means and ratios the figures below are taken from."""
+    return stats.selectExpr("*", *_MEANS).selectExpr("*", *_raw(risk_free_rate))
+
+
+def _rounded(places: int, pairs: dict[str, str]) -> list[str]:
+    return [f"{half_even(value, places)} AS {name}" for name, value in pairs.items()]
+
+
+BASIC = [
+    "n AS total_trades",
+    "n_win AS winning_trades",
+    "n_loss AS losing_trades",
+    *_rounded(2, {"win_rate_pct": "raw_win_rate"}),
+    *_rounded(4, {"profit_factor": "raw_factor"}),
+    *_rounded(
+        2,
+        {
+            "total_net_profit": "coalesce(net, 0)",
+            "gross_profit": "gross_win",
+            "gross_loss": "gross_fall",
+            "avg_win": "mean_win",
+            "avg_loss": "mean_loss",
+            "avg_trade": "mean",
+            "best_trade": "best",
+            "worst_trade": "worst",
+        },
+    ),
+    *_rounded(4, {"payoff_ratio": "raw_payoff"}),
+    *_rounded(
+        2,
+        {
+            "total_commissions": "coalesce(commissions, 0)",
+            "total_swaps": "coalesce(swaps, 0)",
+            "avg_duration_min": "duration",
+        },
+    ),
+]
+RISK = _rounded(4, {"sharpe_ratio": "raw_sharpe", "sortino_ratio": "raw_sortino"})
+_PER_UNIT = (
+    "CASE WHEN mean_loss IS NULL THEN 0D WHEN mean_loss = 0 THEN raw_expectancy "
+    "ELSE raw_expectancy / abs(mean_loss) END"
+)
+EXPECTANCY = _rounded(
+    4,
+    {
+        "expectancy": "raw_expectancy",
+        "expectancy_per_dollar": _PER_UNIT,
+        "profit_std_dev": "std",
+        "coefficient_of_variation": "raw_variation",
+    },
+)
 
 
 def basic_metrics(prepared: DataFrame, keys: list[str]) -> DataFrame:
-    return trade_stats(prepared, keys).select(*keys, *basic_columns())
+    return with_ratios(trade_stats(prepared, keys)).selectExpr(*quoted(keys), *BASIC)
 
 
 def risk_ratios(prepared: DataFrame, keys: list[str], risk_free_rate: float = 0.0) -> DataFrame:
-    return trade_stats(prepared, keys).select(*keys, *risk_columns(risk_free_rate))
+    """Sharpe and Sortino per trade, not annualised."""
+    stats = with_ratios(trade_stats(prepared, keys), risk_free_rate)
+    return stats.selectExpr(*quoted(keys), *RISK)
 
 
 def expectancy(prepared: DataFrame, keys: list[str]) -> DataFrame:
-    return trade_stats(prepared, keys).select(*keys, *expectancy_columns())
+    return with_ratios(trade_stats(prepared, keys)).selectExpr(*quoted(keys), *EXPECTANCY)
 
 
 def date_range(prepared: DataFrame, keys: list[str]) -> DataFrame:
     return prepared.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("trade_count"),
-        F.min("open_time").alias("date_from"),
-        F.max("close_time").alias("date_to"),
+        F.expr("count(1) AS trade_count"),
+        F.expr("min(open_time) AS date_from"),
+        F.expr("max(close_time) AS date_to"),
     )
 
 
 def first_comment(prepared: DataFrame, keys: list[str]) -> DataFrame:
     """First non-missing comment in close order; keys without any are absent."""
     return (
-        prepared.where(F.col("comment").isNotNull())
+        prepared.where("comment IS NOT NULL")
         .groupBy(*keys)
-        .agg(F.min_by("comment", F.struct("close_time", "id")).alias("comment"))
+        .agg(F.expr("min_by(comment, struct(close_time, id)) AS comment"))
     )
 
 
 def strategy_labels(prepared: DataFrame) -> DataFrame:
     """magic_number, comment and display name ``EA <magic>`` where no comment exists."""
-    fallback = F.concat(F.lit("EA "), F.col("magic_number").cast("string"))
+    first = "min_by(comment, CASE WHEN comment IS NOT NULL THEN struct(close_time, id) END)"
     return (
         prepared.groupBy("magic_number")
-        .agg(
-            F.min_by(
-                F.when(F.col("comment").isNotNull(), F.col("comment")),
-                F.when(F.col("comment").isNotNull(), F.struct("close_time", "id")),
-            ).alias("comment")
-        )
-        .select("magic_number", "comment", F.coalesce("comment", fallback).alias("ea_name"))
+        .agg(F.expr(f"{first} AS comment"))
+        .selectExpr("*", "coalesce(comment, concat('EA ', magic_number)) AS ea_name")
     )

@@ -259,9 +259,9 @@ ok AS (SELECT * FROM i WHERE NOT (no_symbol OR bad_type OR bad_volume OR no_clos
 res AS (SELECT a.id AS account_id, ok.* EXCLUDE (api_key) FROM ok JOIN a USING (api_key) WHERE is_active),
 stored AS (SELECT DISTINCT account_id, ticket FROM t WHERE status = 'F'),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY account_id, ticket ORDER BY received_at, symbol NULLS LAST,
-         order_type, volume, open_m, close_m, open_time, close_time, profit, commission NULLS LAST,
-         swap, magic_number NULLS LAST, comment NULLS LAST) AS arrival FROM res)"""
+  SELECT *, row_number() OVER (PARTITION BY account_id, ticket ORDER BY received_at, symbol NULLS FIRST,
+         order_type, volume, open_m, close_m, open_time, close_time, profit, commission NULLS FIRST,
+         swap, magic_number NULLS FIRST, comment NULLS FIRST) AS arrival FROM res)"""
 
 REASON = """concat_ws('; ',
   CASE WHEN no_symbol THEN 'symbol: missing' END,

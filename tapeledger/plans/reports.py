@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tapeledger.functions.numeric import half_even, zero_if_null
+from tapeledger.functions.numeric import half_even, listed, quoted, ratio
 from tapeledger.functions.ratings import rating_columns
 from tapeledger.operators import buckets as B
 from tapeledger.operators import path as P
@@ -15,54 +15,60 @@ from tapeledger.operators.ordered import DEFAULT_POLICY, ChunkPolicy, path_figur
 
 EA = ["magic_number"]
 
+FULL = [
+    *S.BASIC,
+    *P.DRAWDOWN,
+    *S.RISK,
+    *S.EXPECTANCY,
+    *P.STREAKS,
+    "first_open AS date_from",
+    "last_close AS date_to",
+]
 
-def key_statistics(
-    prepared: DataFrame, keys: list[str], policy: ChunkPolicy = DEFAULT_POLICY
-) -> DataFrame:
-    """Order-free and path statistics of every key, side by side.
 
-    The order-free half is combined map-side and moves one row per key and task; only the
-    narrow path half (key, order, net) is shuffled row by row.
-    """
-    stats = S.trade_stats(prepared, keys)
-    path = path_figures(prepared, keys, policy).drop("n")
-    return join_on_keys(stats, path, keys)
+def with_metrics(
+    stats: DataFrame,
+    figures: DataFrame,
+    keys: list[str],
+    initial: float | str = P.INITIAL_BALANCE,
+    risk_free_rate: float = 0.0,
+) -> DataFrame:
+    """All summary and advanced figures, from statistics and path figures of the keys."""
+    both = join_on_keys(stats, figures.drop("n"), keys)
+    measured = P.with_drawdown(S.with_ratios(both, risk_free_rate), initial)
+    return measured.selectExpr(*quoted(keys), *FULL)
 
 
 def full_metrics(
     prepared: DataFrame,
     keys: list[str],
-    initial: float | Column = P.INITIAL_BALANCE,
+    initial: float | str = P.INITIAL_BALANCE,
     risk_free_rate: float = 0.0,
     policy: ChunkPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """All summary and advanced figures."""
-    return key_statistics(prepared, keys, policy).select(
-        *keys,
-        *S.basic_columns(),
-        *P.drawdown_columns(initial),
-        *S.risk_columns(risk_free_rate),
-        *S.expectancy_columns(),
-        *P.streak_columns(),
-        F.col("first_open").alias("date_from"),
-        F.col("last_close").alias("date_to"),
-    )
+    """All summary and advanced figures of every key.
+
+    The order-free half is combined map-side and moves one row per key and task; only the
+    narrow path half (key, order, net) is shuffled row by row.
+    """
+    stats = S.trade_stats(prepared, keys)
+    figures = path_figures(prepared, keys, policy)
+    return with_metrics(stats, figures, keys, initial, risk_free_rate)
 
 
 def strategy_summary(
     prepared: DataFrame,
-    initial: float | Column = P.INITIAL_BALANCE,
+    initial: float | str = P.INITIAL_BALANCE,
     policy: ChunkPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """One line per strategy: name, headline figures, date range."""
     metrics = full_metrics(prepared, EA, initial, policy=policy)
-    named = join_on_keys(metrics, S.first_comment(prepared, EA), EA, "left")
-    return named.select(
+    return join_on_keys(metrics, S.first_comment(prepared, EA), EA, "left").selectExpr(
         "magic_number",
         "comment",
         "total_trades",
-        F.col("total_net_profit").alias("net_profit"),
-        F.col("win_rate_pct").alias("win_rate"),
+        "total_net_profit AS net_profit",
+        "win_rate_pct AS win_rate",
         "profit_factor",
         "max_drawdown_pct",
         "sharpe_ratio",
@@ -73,16 +79,16 @@ def strategy_summary(
 
 def by_symbol(
     prepared: DataFrame,
-    initial: float | Column = P.INITIAL_BALANCE,
+    initial: float | str = P.INITIAL_BALANCE,
     policy: ChunkPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Headline figures per strategy and symbol, all in one plan."""
     keys = ["magic_number", "symbol"]
-    return full_metrics(prepared, keys, initial, policy=policy).select(
+    return full_metrics(prepared, keys, initial, policy=policy).selectExpr(
         *keys,
         "total_trades",
-        F.col("total_net_profit").alias("net_profit"),
-        F.col("win_rate_pct").alias("win_rate"),
+        "total_net_profit AS net_profit",
+        "win_rate_pct AS win_rate",
         "profit_factor",
         "max_drawdown_pct",
         "expectancy",
@@ -90,25 +96,16 @@ def by_symbol(
 
 
 def ratings(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    return metrics.select(*keys, *rating_columns())
+    return metrics.selectExpr(*quoted(keys), *rating_columns())
 
 
-def _bucket_map(order: str, key: str) -> Column:
+def _bucket_map(order: str, key: str) -> str:
     """Bucket rows of one kind as a map, key -> (trades, profit, avg), in bucket order."""
-    mean = F.when(F.col("trades") > 0, F.col("net").cast("double") / F.col("trades"))
-    entry = F.struct(
-        F.col(order).alias("place"),
-        F.col(key).alias("key"),
-        F.struct(
-            F.col("trades"),
-            half_even(zero_if_null(F.col("net")), 2).alias("profit"),
-            half_even(mean, 2).alias("avg"),
-        ).alias("value"),
-    )
-    gathered = F.array_sort(F.collect_list(F.when(F.col(order).isNotNull(), entry)))
-    return F.map_from_entries(
-        F.transform(gathered, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-    )
+    mean = half_even(ratio("net", "trades"), 2)
+    value = f"named_struct('trades', trades, 'profit', {half_even('net', 2)}, 'avg', {mean})"
+    entry = f"CASE WHEN {order} IS NOT NULL THEN struct({order}, {key} AS key, {value} AS value) END"
+    pairs = f"transform(array_sort(collect_list({entry})), e -> struct(e.key, e.value))"
+    return f"map_from_entries({pairs})"
 
 
 def time_analysis(prepared: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,14 +116,13 @@ def time_analysis(prepared: DataFrame, keys: list[str]) -> DataFrame:
     """
     table = B.bucket_table(prepared, keys)
     maps = table.groupBy(*keys).agg(
-        _bucket_map("hour", "hour").alias("by_hour"),
-        _bucket_map("weekday_no", "weekday").alias("by_weekday"),
-        _bucket_map("month_start", "month").alias("by_month"),
+        F.expr(f"{_bucket_map('hour', 'hour')} AS by_hour"),
+        F.expr(f"{_bucket_map('weekday_no', 'weekday')} AS by_weekday"),
+        F.expr(f"{_bucket_map('month_start', 'month')} AS by_month"),
     )
     joined = join_on_keys(maps, B.best_worst(table, keys), keys)
-    return joined.select(
-        *keys, F.struct(*[F.col(c) for c in joined.columns if c not in keys]).alias("time_analysis")
-    )
+    fields = [c for c in joined.columns if c not in keys]
+    return joined.selectExpr(*quoted(keys), f"struct({listed(fields)}) AS time_analysis")
 
 
 SUMMARY_FIELDS = [
@@ -156,37 +152,28 @@ def report_documents(
     metrics = full_metrics(prepared, EA, initial, policy=policy)
     named = join_on_keys(metrics, S.strategy_labels(prepared).drop("comment"), EA)
     whole = join_on_keys(named, time_analysis(prepared, EA), EA)
-    document = F.struct(
-        F.col("magic_number"),
-        F.col("ea_name"),
-        F.struct(*SUMMARY_FIELDS).alias("summary"),
-        F.struct(*ADVANCED_FIELDS).alias("advanced"),
-        F.col("time_analysis"),
-        F.col("total_trades").alias("trade_count"),
-        F.struct(
-            iso_time("date_from").alias("from"), iso_time("date_to").alias("to")
-        ).alias("date_range"),
-    )
-    return whole.select("magic_number", F.to_json(document).alias("document"))
+    sections = [
+        "magic_number",
+        "ea_name",
+        f"struct({listed(SUMMARY_FIELDS)}) AS summary",
+        f"struct({listed(ADVANCED_FIELDS)}) AS advanced",
+        "time_analysis",
+        "total_trades AS trade_count",
+        f"named_struct('from', {iso_time('date_from')}, 'to', {iso_time('date_to')}) AS date_range",
+    ]
+    return whole.selectExpr("magic_number", f"to_json(struct({', '.join(sections)})) AS document")
 
 
 def curve_pages(
     prepared: DataFrame,
     keys: list[str],
-    initial: float | Column = P.INITIAL_BALANCE,
+    initial: float | str = P.INITIAL_BALANCE,
     page_rows: int = 10_000,
     policy: ChunkPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """The equity curve as arrays of {time, equity}, page_rows points per array."""
     curve = P.equity_curve(prepared, keys, initial, policy)
-    page = F.floor((F.col("seq") - 1) / page_rows).alias("page")
-    points = F.array_sort(F.collect_list(F.struct("seq", "time", "equity")))
-    return (
-        curve.groupBy(*keys, page)
-        .agg(points.alias("points"))
-        .select(
-            *keys,
-            "page",
-            F.transform("points", lambda p: F.struct(p["time"].alias("time"), p["equity"].alias("equity"))).alias("equity_curve"),
-        )
+    points = "array_sort(collect_list(struct(seq, time, equity)))"
+    return curve.groupBy(*keys, F.expr(f"(seq - 1) div {page_rows} AS page")).agg(
+        F.expr(f"transform({points}, p -> struct(p.time, p.equity)) AS equity_curve")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tapeledger.operators.ordered import DEFAULT_POLICY, ChunkPolicy
 from tapeledger.operators.path import INITIAL_BALANCE
@@ -15,13 +15,13 @@ from tapeledger.schema import SNAPSHOT_COLUMNS, SNAPSHOT_KEY, SNAPSHOT_REFRESHED
 def snapshot_rows(
     prepared: DataFrame,
     target_date: date | str,
-    initial: float | Column = INITIAL_BALANCE,
+    initial: float | str = INITIAL_BALANCE,
     policy: ChunkPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """All strategies under one date. The date is a label; it cuts off no trades."""
     return (
         full_metrics(prepared, EA, initial, policy=policy)
-        .withColumn("snapshot_date", F.lit(str(target_date)).cast("date"))
+        .selectExpr("*", f"date'{target_date}' AS snapshot_date")
         .select(*SNAPSHOT_COLUMNS)
     )
 
@@ -31,20 +31,15 @@ def merge_snapshots(stored: DataFrame, fresh: DataFrame) -> DataFrame:
 
     A new key is inserted whole; a known key gets the refreshed columns and keeps the others.
     """
-    old = stored.select(*SNAPSHOT_COLUMNS).withColumn("__old", F.lit(True))
-    new = fresh.select(
-        *SNAPSHOT_KEY,
-        *[F.col(c).alias(f"__new_{c}") for c in SNAPSHOT_COLUMNS if c not in SNAPSHOT_KEY],
-    ).withColumn("__new", F.lit(True))
-    both = old.join(new, SNAPSHOT_KEY, "full_outer")
-    out = []
-    for c in SNAPSHOT_COLUMNS:
-        if c in SNAPSHOT_KEY:
-            out.append(F.col(c))
-        elif c in SNAPSHOT_REFRESHED:
-            out.append(F.when(F.col("__new"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.when(F.col("__old"), F.col(c)).otherwise(F.col(f"__new_{c}")).alias(c))
-    return both.select(*out)
-
-
+    values = [c for c in SNAPSHOT_COLUMNS if c not in SNAPSHOT_KEY]
+    old = stored.selectExpr(*SNAPSHOT_COLUMNS, "true AS is_old")
+    new = fresh.selectExpr(
+        *SNAPSHOT_KEY, *[f"{c} AS new_{c}" for c in values], "true AS is_new"
+    )
+    merged = [
+        f"CASE WHEN is_new THEN new_{c} ELSE {c} END AS {c}"
+        if c in SNAPSHOT_REFRESHED
+        else f"CASE WHEN is_old THEN {c} ELSE new_{c} END AS {c}"
+        for c in values
+    ]
+    return old.join(new, SNAPSHOT_KEY, "full_outer").selectExpr(*SNAPSHOT_KEY, *merged)

@@ -212,24 +212,30 @@ def _stored(spark, sf):
     return adapter.as_trades(items).select("account_id", "ticket")
 
 
+def _batch_rows(spark, sf):
+    """Upper bound of the rows of the batch, from file footers."""
+    return adapter.lineitem(spark, sf).count()
+
+
 def ingest_new_trades(spark, sf):
-    return I.new_trades(_resolved(spark, sf), _stored(spark, sf)).select(*I.STORED_COLUMNS)
+    new = I.new_trades(_resolved(spark, sf), _stored(spark, sf), _batch_rows(spark, sf))
+    return new.select(*I.STORED_COLUMNS)
 
 
 def ingest_status(spark, sf):
-    return I.ingest_status(_resolved(spark, sf), _stored(spark, sf))
+    return I.ingest_status(_resolved(spark, sf), _stored(spark, sf), _batch_rows(spark, sf))
 
 
 def ingest_totals(spark, sf):
-    return I.ingest_totals(I.ingest_status(_resolved(spark, sf), _stored(spark, sf)))
+    return I.ingest_totals(ingest_status(spark, sf))
 
 
 def ea_recompute_touched(spark, sf):
     """Full metrics of the strategies touched by the trades of the newest arrival day."""
-    trades = adapter.trades(spark, sf).withColumn("day", F.to_date("received_at"))
-    newest = trades.agg(F.max("day").alias("day"))
-    arriving = trades.join(newest, "day", "left_semi")
-    history = I.restrict_to(closed_strategy_trades(trades), I.touched_strategies(arriving))
+    trades = adapter.trades(spark, sf).selectExpr("*", "to_date(received_at) AS day")
+    newest = trades.agg(F.expr("max(day) AS day"))
+    touched = durable(I.touched_strategies(trades.join(newest, "day", "left_semi")))
+    history = I.restrict_to(closed_strategy_trades(trades), touched, touched.count())
     return R.full_metrics(prepare(history), EA)
 
 

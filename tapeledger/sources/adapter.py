@@ -6,9 +6,7 @@ in whole 1e-4 units, so results are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from tapeledger.schema import MONEY, PRICE
+from pyspark.sql import DataFrame, SparkSession
 
 STRATEGIES = 41
 
@@ -17,100 +15,82 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-def _cents(column: str):
-    return F.round(F.col(column) * 100).cast("long")
+def _whole(value: str) -> str:
+    """A two-decimal double in whole hundredths."""
+    return f"cast(rint({value} * 100) AS BIGINT)"
 
 
-def _units(units):
+def _money(units: str) -> str:
     """Whole 1e-4 units as money."""
-    return (units.cast("decimal(18,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast(MONEY)
-
-
-def _price(per_cent: str):
-    """Price per unit in whole 1e-6 steps, rounded down."""
-    micros = F.expr(
-        f"(cast(round(l_extendedprice * 100) as bigint) * {per_cent}) div cast(l_quantity as bigint)"
-    )
-    return (micros.cast("decimal(18,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast(PRICE)
+    return f"cast(cast({units} AS DECIMAL(18,0)) * 0.0001BD AS DECIMAL(18,4))"
+
+
+def _price(micros: str) -> str:
+    return f"cast(cast({micros} AS DECIMAL(18,0)) * 0.000001BD AS DECIMAL(18,6))"
+
+
+CENTS = _whole("l_extendedprice")
+TAX = _whole("l_tax")
+DISCOUNT = _whole("l_discount")
+QUANTITY = "cast(l_quantity AS BIGINT)"
+NO_PRICE = "l_linestatus = 'O' AND l_linenumber = 7"
+STILL_OPEN = "l_linestatus = 'O' AND l_linenumber = 6"
+TICKET = "l_orderkey * 10 + l_linenumber"
+
+TRADE = [
+    f"named_struct('ticket', {TICKET}, 'part', l_partkey, 'supp', l_suppkey, 'cents', {CENTS}) AS id",
+    "l_suppkey AS account_id",
+    f"{TICKET} AS ticket",
+    f"nullif(l_partkey % {STRATEGIES}, 0L) AS magic_number",
+    "CASE WHEN l_returnflag <> 'N' THEN concat('EA_', l_returnflag) END AS comment",
+    "concat('SYM', l_linenumber) AS symbol",
+    "CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS order_type",
+    "cast(l_quantity AS DECIMAL(18,4)) AS volume",
+    f"{_price(f'{CENTS} * 5000 div {QUANTITY}')} AS open_price",
+    f"{_price(f'CASE WHEN {NO_PRICE} THEN 0 ELSE {CENTS} * 10000 div {QUANTITY} END')} AS close_price",
+    "cast(NULL AS DECIMAL(18,4)) AS stop_loss",
+    "cast(NULL AS DECIMAL(18,4)) AS take_profit",
+    "timestampadd(MINUTE, cast(l_quantity * -37 AS INT), l_shipdate) AS open_time",
+    f"CASE WHEN NOT ({STILL_OPEN}) THEN timestampadd(MINUTE, "
+    "cast((l_partkey * 61 + l_linenumber * 7) % 1440 AS INT), l_shipdate) END AS close_time",
+    f"{_money(f'{CENTS} * ({TAX} - {DISCOUNT})')} AS profit",
+    f"CASE WHEN {TAX} <> 0 THEN {_money(f'{QUANTITY} * -700')} END AS commission",
+    f"{_money(f'{DISCOUNT} * -100')} AS swap",
+    "timestampadd(MINUTE, 1, l_shipdate) AS received_at",
+]
 
 
 def as_trades(items: DataFrame) -> DataFrame:
-    closes = F.expr(
-        "timestampadd(MINUTE, cast((l_partkey * 61 + l_linenumber * 7) % 1440 as int), l_shipdate)"
-    )
-    still_open = (F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 6)
-    unpriced = (F.col("l_linestatus") == "O") & (F.col("l_linenumber") == 7)
-    ticket = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return items.select(
-        F.struct(
-            ticket.alias("ticket"),
-            F.col("l_partkey").alias("part"),
-            F.col("l_suppkey").alias("supp"),
-            _cents("l_extendedprice").alias("cents"),
-        ).alias("id"),
-        F.col("l_suppkey").alias("account_id"),
-        ticket.alias("ticket"),
-        F.nullif(F.col("l_partkey") % STRATEGIES, F.lit(0)).cast("long").alias("magic_number"),
-        F.when(F.col("l_returnflag") == "N", "")
-        .otherwise(F.concat(F.lit("EA_"), "l_returnflag"))
-        .alias("raw_comment"),
-        F.when(F.col("l_returnflag") != "N", F.concat(F.lit("EA_"), "l_returnflag")).alias("comment"),
-        F.concat(F.lit("SYM"), F.col("l_linenumber").cast("string")).alias("symbol"),
-        F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("order_type"),
-        F.col("l_quantity").cast(MONEY).alias("volume"),
-        _price("5000").alias("open_price"),
-        F.when(unpriced, F.lit(0).cast(PRICE)).otherwise(_price("10000")).alias("close_price"),
-        F.lit(None).cast(MONEY).alias("stop_loss"),
-        F.lit(None).cast(MONEY).alias("take_profit"),
-        F.expr("timestampadd(MINUTE, cast(l_quantity * -37 as int), l_shipdate)").alias("open_time"),
-        F.when(~still_open, closes).alias("close_time"),
-        _units(_cents("l_extendedprice") * (_cents("l_tax") - _cents("l_discount"))).alias("profit"),
-        F.when(_cents("l_tax") != 0, _units(F.col("l_quantity").cast("long") * -700)).alias("commission"),
-        _units(_cents("l_discount") * -100).alias("swap"),
-        F.expr("timestampadd(MINUTE, 1, l_shipdate)").alias("received_at"),
-    )
+    return items.selectExpr(*TRADE)
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_trades(lineitem(spark, sf_dir)).drop("raw_comment")
+    return as_trades(lineitem(spark, sf_dir))
 
 
 def full_fee_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only trades that carry a commission: no missing nets, so Sharpe is not forced to 0."""
-    return trades(spark, sf_dir).where(F.col("commission").isNotNull())
+    return trades(spark, sf_dir).where("commission IS NOT NULL")
 
 
-def api_key(account_id):
-    name = F.concat(F.lit("Customer#"), F.lpad(account_id.cast("string"), 9, "0"))
-    return F.md5(name.cast("binary"))
+def _api_key(account: str) -> str:
+    return f"md5(cast(concat('Customer#', lpad(cast({account} AS STRING), 9, '0')) AS BINARY))"
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segment, nation = F.col("c_mktsegment"), F.col("c_nationkey")
-    kind = (
-        F.when(segment == "AUTOMOBILE", "Propfirm")
-        .when(segment == "BUILDING", "Broker")
-        .when(segment == "HOUSEHOLD", "Personal")
-    )
-    phase = (
-        F.when(nation % 5 == 0, "Fondeada")
-        .when(nation % 5 == 1, "Fase 1")
-        .when(nation % 5 == 2, "Fase 2")
-        .when(nation % 5 == 3, "")
-    )
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
-        F.col("c_custkey").alias("id"),
-        F.col("c_name").alias("name"),
-        F.concat(F.lit("Broker "), nation.cast("string")).alias("broker"),
-        kind.alias("type"),
-        F.lit("MT5").alias("platform"),
-        phase.alias("phase"),
-        F.greatest(F.col("c_acctbal"), F.lit(0.0)).cast(MONEY).alias("initial_balance"),
-        api_key(F.col("c_custkey")).alias("api_key"),
-        (segment != "MACHINERY").alias("is_active"),
-        F.expr(
-            "timestampadd(DAY, cast(c_custkey % 3650 as int), timestamp_ntz'2020-01-01')"
-        ).alias("created_at"),
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "c_custkey AS id",
+        "c_name AS name",
+        "concat('Broker ', c_nationkey) AS broker",
+        "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Propfirm' WHEN 'BUILDING' THEN 'Broker' "
+        "WHEN 'HOUSEHOLD' THEN 'Personal' END AS type",
+        "'MT5' AS platform",
+        "CASE c_nationkey % 5 WHEN 0 THEN 'Fondeada' WHEN 1 THEN 'Fase 1' WHEN 2 THEN 'Fase 2' "
+        "WHEN 3 THEN '' END AS phase",
+        "cast(greatest(c_acctbal, 0D) AS DECIMAL(18,4)) AS initial_balance",
+        f"{_api_key('c_custkey')} AS api_key",
+        "c_mktsegment <> 'MACHINERY' AS is_active",
+        "timestampadd(DAY, cast(c_custkey % 3650 AS INT), timestamp_ntz'2020-01-01') AS created_at",
     )
 
 
@@ -120,35 +100,19 @@ def as_inbound(items: DataFrame) -> DataFrame:
     Line number 7 with flag A carries an unknown order type, quantity 13 an unreadable volume,
     discount 0 with line number 5 no symbol, and line number 4 with flag R an unknown key.
     """
-    source = as_trades(items)
-    line = F.substring("symbol", 4, 20).cast("int")
-    flag_a = F.coalesce(F.col("comment") == "EA_A", F.lit(False))
-    flag_r = F.coalesce(F.col("comment") == "EA_R", F.lit(False))
-
-    def text(column: str):
-        return F.col(column).cast("string").alias(column)
-
-    return source.select(
-        F.when((line == 4) & flag_r, "unknown").otherwise(api_key(F.col("account_id"))).alias("api_key"),
-        text("ticket"),
-        F.when(~((line == 5) & (F.col("swap") == 0)), F.col("symbol")).alias("symbol"),
-        F.when((line == 7) & flag_a, "hold")
-        .when(F.col("comment").isNull(), "buy")
-        .otherwise(F.col("order_type"))
-        .alias("order_type"),
-        F.when(F.col("volume") == 13, "n/a").otherwise(F.col("volume").cast("string")).alias("volume"),
-        text("open_price"),
-        text("close_price"),
-        text("open_time"),
-        text("close_time"),
-        text("profit"),
-        text("stop_loss"),
-        text("take_profit"),
-        text("commission"),
-        text("swap"),
-        text("magic_number"),
-        F.col("raw_comment").alias("comment"),
+    texts = [
+        "ticket", "open_price", "close_price", "open_time", "close_time", "profit", "stop_loss",
+        "take_profit", "commission", "swap", "magic_number",
+    ]
+    return items.selectExpr(*TRADE, "l_linenumber AS line", "l_returnflag AS flag").selectExpr(
+        f"CASE WHEN line = 4 AND flag = 'R' THEN 'unknown' ELSE {_api_key('account_id')} END AS api_key",
+        "CASE WHEN NOT (line = 5 AND swap = 0) THEN symbol END AS symbol",
+        "CASE WHEN line = 7 AND flag = 'A' THEN 'hold' WHEN flag = 'N' THEN 'buy' "
+        "ELSE order_type END AS order_type",
+        "CASE WHEN volume = 13 THEN 'n/a' ELSE cast(volume AS STRING) END AS volume",
+        "coalesce(comment, '') AS comment",
         "received_at",
+        *[f"cast({c} AS STRING) AS {c}" for c in texts],
     )
 
 

@@ -6,7 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tapeledger.operators.enrich import is_closed, with_strategy
+from tapeledger.operators.enrich import IS_CLOSED, with_strategy
 from tapeledger.schema import ACCOUNTS, INBOUND, SCAN_COLUMNS, TRADES
 
 
@@ -72,7 +72,7 @@ def load_trades(
     """
     out = trades
     if only_closed:
-        out = out.where(is_closed())
+        out = out.where(IS_CLOSED)
     if magic_number is not None:
         out = out.where(F.col("magic_number") == magic_number)
     if account_id is not None:

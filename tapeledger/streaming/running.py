@@ -7,8 +7,9 @@ Strategies with a late trade in the batch are summarised again from their full h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from tapeledger.functions.numeric import listed, quoted
 from tapeledger.operators import path as P
 from tapeledger.operators import stats as S
 from tapeledger.operators.ingest import restrict_to
@@ -16,23 +17,21 @@ from tapeledger.operators.joins import join_on_keys
 from tapeledger.operators.ordered import (
     CHUNK, DEFAULT_POLICY, PATH_FIELDS, ChunkPolicy, figures, merge, path_summary,
 )
+from tapeledger.session import durable
+from tapeledger.plans.reports import with_metrics
 
 LAST = "last_position"
 
 
-def _position() -> Column:
-    return F.struct("close_time", "id")
-
-
 def summarise(
     prepared: DataFrame, keys: list[str], policy: ChunkPolicy = DEFAULT_POLICY
 ) -> DataFrame:
     """State of every key: statistics, path summary and position of the last trade."""
     stats = S.trade_stats(prepared, keys)
-    path = path_summary(prepared, keys, policy).select(
-        *keys, F.struct(*PATH_FIELDS).alias("path")
+    path = path_summary(prepared, keys, policy).selectExpr(
+        *quoted(keys), f"struct({listed(PATH_FIELDS)}) AS path"
     )
-    last = prepared.groupBy(*keys).agg(F.max(_position()).alias(LAST))
+    last = prepared.groupBy(*keys).agg(F.expr(f"max(struct(close_time, id)) AS {LAST}"))
     return join_on_keys(join_on_keys(stats, path, keys), last, keys)
 
 
@@ -40,10 +39,10 @@ def fold(earlier: DataFrame, later: DataFrame, keys: list[str]) -> DataFrame:
     """State after both: every trade of ``later`` closes after those of ``earlier``."""
     both = earlier.withColumn(CHUNK, F.lit(0)).unionByName(later.withColumn(CHUNK, F.lit(1)))
     stats = S.merge_stats(both.select(*keys, *S.STATS_FIELDS), keys)
-    path = merge(both.select(*keys, CHUNK, "path.*"), keys).select(
-        *keys, F.struct(*PATH_FIELDS).alias("path")
+    path = merge(both.select(*keys, CHUNK, "path.*"), keys).selectExpr(
+        *quoted(keys), f"struct({listed(PATH_FIELDS)}) AS path"
     )
-    last = both.groupBy(*keys).agg(F.max(LAST).alias(LAST))
+    last = both.groupBy(*keys).agg(F.expr(f"max({LAST}) AS {LAST}"))
     return join_on_keys(join_on_keys(stats, path, keys), last, keys)
 
 
@@ -56,15 +55,17 @@ def advance(
 ) -> DataFrame:
     """State after a batch; history is the full prepared history including the batch."""
     (key,) = keys
-    first = batch.groupBy(key).agg(F.min(_position()).alias("first_position"))
+    first = batch.groupBy(key).agg(F.expr("min(struct(close_time, id)) AS first_position"))
     late = (
         first.join(state.select(key, LAST), key)
-        .where(F.col("first_position") <= F.col(LAST))
+        .where(f"first_position <= {LAST}")
         .select(key)
     )
+    late = durable(late)
+    late_rows = late.count()
     kept = state.join(late, key, "left_anti")
     on_time = summarise(batch.join(late, key, "left_anti"), keys, policy)
-    again = summarise(restrict_to(history, late), keys, policy)
+    again = summarise(restrict_to(history, late, late_rows), keys, policy)
     columns = state.columns
     return fold(kept, on_time, keys).select(*columns).unionByName(again.select(*columns))
 
@@ -72,18 +73,9 @@ def advance(
 def running_metrics(
     state: DataFrame,
     keys: list[str],
-    initial: float = P.INITIAL_BALANCE,
+    initial: float | str = P.INITIAL_BALANCE,
     risk_free_rate: float = 0.0,
 ) -> DataFrame:
     """The figures of plans.reports.full_metrics, from the state."""
-    path = figures(state.select(*keys, "path.*"), keys).drop("n")
-    return join_on_keys(state.drop("path", LAST), path, keys).select(
-        *keys,
-        *S.basic_columns(),
-        *P.drawdown_columns(initial),
-        *S.risk_columns(risk_free_rate),
-        *S.expectancy_columns(),
-        *P.streak_columns(),
-        F.col("first_open").alias("date_from"),
-        F.col("last_close").alias("date_to"),
-    )
+    path = figures(state.select(*keys, "path.*"), keys)
+    return with_metrics(state.drop("path", LAST), path, keys, initial, risk_free_rate)
