@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tapeledger.functions.numeric import listed, quoted
 from tapeledger.operators.enrich import RECOMPUTE_GATE
-from tapeledger.operators.joins import broadcast_if_small
+from tapeledger.operators.joins import BROADCAST_ROWS, broadcast_if_small
 from tapeledger.schema import INBOUND_FIELDS, INBOUND_REQUIRED
 
 TRADE_KEY = ["account_id", "ticket"]
@@ -16,20 +16,30 @@ STORED_COLUMNS = ["account_id", *INBOUND_FIELDS, "received_at"]
 _KIND = {"bigint": "whole number", "timestamp_ntz": "time"}
 
 
-def _problem(name: str) -> str:
-    """Reject reason of one field, NULL where it is fine."""
+def _tests(name: str) -> list[tuple[str, str]]:
+    """(condition that rejects, reason) of one field."""
     kind = INBOUND_FIELDS[name].simpleString()
-    cases = []
+    raw, tests = f"`__raw_{name}`", []
     if name in INBOUND_REQUIRED:
-        cases.append(f"WHEN `__raw_{name}` IS NULL THEN '{name}: missing'")
+        tests.append((f"{raw} IS NULL", f"{name}: missing"))
     if kind != "string":
         wording = _KIND.get(kind, "number")
-        cases.append(
-            f"WHEN `__raw_{name}` IS NOT NULL AND `{name}` IS NULL THEN '{name}: not a {wording}'"
-        )
+        tests.append((f"{raw} IS NOT NULL AND `{name}` IS NULL", f"{name}: not a {wording}"))
+    if name == "order_type":
+        # false, not NULL, where the type is missing
+        tests.append((f"{raw} IS NOT NULL AND {name} NOT IN ('BUY', 'SELL')", f"{name}: neither BUY nor SELL"))
+    return tests
+
+
+def _fine(name: str) -> str:
+    """Condition under which a field is accepted; each cast appears once."""
     if name == "order_type":
-        cases.append(f"WHEN NOT {name} RLIKE '^(BUY|SELL)$' THEN '{name}: neither BUY nor SELL'")
-    return f"CASE {' '.join(cases)} END" if cases else ""
+        return "coalesce(order_type IN ('BUY', 'SELL'), false)"
+    if name in INBOUND_REQUIRED:
+        return f"`{name}` IS NOT NULL"
+    if INBOUND_FIELDS[name].simpleString() == "string":
+        return "true"
+    return f"(`__raw_{name}` IS NULL OR `{name}` IS NOT NULL)"
 
 
 def _typed(name: str) -> str:
@@ -42,24 +52,34 @@ def _typed(name: str) -> str:
 
 
 def validate(inbound: DataFrame) -> DataFrame:
-    """Typed record plus ``reject_reason``: an array, empty for a valid record."""
-    problems = [p for p in map(_problem, INBOUND_FIELDS) if p]
+    """Typed record, ``is_valid`` and ``reject_reason``: an array, empty for a valid record."""
+    tests = [test for name in INBOUND_FIELDS for test in _tests(name)]
+    fine = " AND ".join(map(_fine, INBOUND_FIELDS))
+    reasons = ", ".join(f"CASE WHEN {condition} THEN '{text}' END" for condition, text in tests)
     others = quoted(c for c in inbound.columns if c not in INBOUND_FIELDS)
-    return inbound.selectExpr(
-        *others,
-        *[f"{_typed(n)} AS `{n}`" for n in INBOUND_FIELDS],
-        *[f"`{n}` AS `__raw_{n}`" for n in INBOUND_FIELDS],
-    ).selectExpr(
-        *others, *quoted(INBOUND_FIELDS), f"array_compact(array({', '.join(problems)})) AS reject_reason"
+    return (
+        inbound.selectExpr(
+            *others,
+            *[f"{_typed(n)} AS `{n}`" for n in INBOUND_FIELDS],
+            *[f"`{n}` AS `__raw_{n}`" for n in INBOUND_FIELDS],
+        )
+        .selectExpr("*", f"{fine} AS is_valid")
+        .selectExpr(
+            *others,
+            *quoted(INBOUND_FIELDS),
+            "is_valid",
+            f"CASE WHEN is_valid THEN cast(array() AS ARRAY<STRING>) "
+            f"ELSE array_compact(array({reasons})) END AS reject_reason",
+        )
     )
 
 
 def valid(checked: DataFrame) -> DataFrame:
-    return checked.where("size(reject_reason) = 0").drop("reject_reason")
+    return checked.where("is_valid").drop("is_valid", "reject_reason")
 
 
 def rejected(checked: DataFrame) -> DataFrame:
-    return checked.where("size(reject_reason) > 0")
+    return checked.where("NOT is_valid").drop("is_valid")
 
 
 def _active_keys(accounts: DataFrame) -> DataFrame:
@@ -95,14 +115,16 @@ def first_arrivals(batch: DataFrame) -> DataFrame:
 
 
 def stored_keys(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
-    """Which (account, ticket) keys of the batch the store already holds, each once.
+    """Stored (account, ticket) keys the batch has to be compared with.
 
-    batch_rows is an upper bound of the rows of the batch. A batch small enough to broadcast
-    leaves the history unshuffled; a larger one is joined by shuffle.
+    batch_rows is an upper bound of the rows of the batch. The keys of a small batch are
+    broadcast, so the history is only filtered where it lies; for a larger batch it is all
+    stored keys, and the join that follows moves them once.
     """
-    wanted = batch.select(*TRADE_KEY).distinct()
     keys = stored.select(*TRADE_KEY)
-    return keys.join(broadcast_if_small(wanted, batch_rows), TRADE_KEY, "left_semi").distinct()
+    if batch_rows > BROADCAST_ROWS:
+        return keys
+    return keys.join(F.broadcast(batch.select(*TRADE_KEY).distinct()), TRADE_KEY, "left_semi")
 
 
 def new_trades(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
@@ -114,7 +136,7 @@ def new_trades(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFram
 def ingest_status(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
     """Per (account, ticket): how many records were stored (0 or 1) and how many were duplicates."""
     per_key = batch.groupBy(*TRADE_KEY).agg(F.expr("count(1) AS received"))
-    known = stored_keys(batch, stored, batch_rows).selectExpr("*", "1L AS known")
+    known = stored_keys(batch, stored, batch_rows).distinct().selectExpr("*", "1L AS known")
     return (
         per_key.join(known, TRADE_KEY, "left")
         .selectExpr(*TRADE_KEY, "received", "1 - coalesce(known, 0L) AS ok")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from tapeledger.functions.numeric import listed, quoted
 from tapeledger.operators.joins import join_on_keys
 from tapeledger.schema import TRADE_ORDER
-from tapeledger.session import durable
+from tapeledger.session import durable, estimated_bytes
 
 CHUNK = "__chunk"
 
@@ -75,14 +75,6 @@ def _position(order) -> str:
     return f"struct({', '.join(f'{c} IS NULL, {c}' for c in quoted(order))})"
 
 
-def _estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan; None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
 def _cut_points(rows: DataFrame, keys: list[str], order, policy: ChunkPolicy) -> DataFrame:
     """Every samples_per_chunk-th sampled order key of each key.
 
@@ -109,7 +101,7 @@ def chunk_rows(
 ) -> Chunked:
     """Number the chunks of each key; input that fits one task is left whole."""
     order = tuple(order)
-    size = _estimated_bytes(rows)
+    size = estimated_bytes(rows)
     if size is not None and size <= policy.small_input_bytes:
         return Chunked(rows, keys, order, False)
 

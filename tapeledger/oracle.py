@@ -520,6 +520,10 @@ FROM (SELECT *, min(equity) OVER (PARTITION BY magic_number) AS low,
         "ea_ratings": with_trades(full(ea, FULL_FEE)) + f"SELECT magic_number, {RATINGS} FROM m",
         "ea_full_metrics": metrics,
         "ea_full_metrics_full_fee": with_trades(full(ea, FULL_FEE, 5_000_000)) + "SELECT * FROM m",
+        "ea_curve_pages": with_trades(prepared(), path(ea)) + f"""SELECT magic_number,
+  (seq - 1) // 1000 AS page, string_agg({iso('close_time')} || '=' || coalesce(CAST(CAST(
+  {even2('(100000000 + equity)')} AS DECIMAL(18,2)) AS VARCHAR), ''), ' ' ORDER BY seq) AS points
+  FROM w GROUP BY magic_number, (seq - 1) // 1000""",
         "symbol_full_metrics_cut": with_trades(full("symbol", ANY)) + "SELECT * FROM m",
         "symbol_equity_curve_cut": equity_curve("symbol", ANY),
         "symbol_drawdown_series_cut": drawdown_series("symbol", ANY),
@@ -532,6 +536,12 @@ FROM (SELECT *, min(equity) OVER (PARTITION BY magic_number) AS low,
   WHERE no_symbol OR bad_type OR bad_volume OR no_close
 UNION ALL SELECT ticket, 'api_key: unknown or inactive account' FROM ok
   WHERE api_key NOT IN (SELECT api_key FROM a WHERE is_active)""",
+        "stream_metrics": with_inbound() + f""", fresh AS (
+  SELECT magic_number, symbol, open_time, close_time, close_m, profit, commission, swap,
+         epoch(received_at) AS ticket, account_id AS part, ticket AS supp, 0 AS cents
+  FROM ranked WHERE arrival = 1),
+{full(ea, EA_ONLY).replace("FROM t WHERE", "FROM fresh WHERE")}
+SELECT * FROM m""",
         "running_metrics": metrics,
         "running_metrics_late": metrics,
     }

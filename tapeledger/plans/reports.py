@@ -175,5 +175,5 @@ def curve_pages(
     curve = P.equity_curve(prepared, keys, initial, policy)
     points = "array_sort(collect_list(struct(seq, time, equity)))"
     return curve.groupBy(*keys, F.expr(f"(seq - 1) div {page_rows} AS page")).agg(
-        F.expr(f"transform({points}, p -> struct(p.time, p.equity)) AS equity_curve")
+        F.expr(f"transform({points}, p -> named_struct('time', p.time, 'equity', p.equity)) AS equity_curve")
     )

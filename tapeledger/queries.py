@@ -65,7 +65,7 @@ def _all_closed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cut(spark: SparkSession, sf: str) -> ChunkPolicy:
     """A policy that cuts the keys also at test size. The row count comes from file footers."""
-    return ChunkPolicy.spread(adapter.lineitem(spark, sf).count())
+    return ChunkPolicy.spread(_batch_rows(spark, sf))
 
 
 # --- scans and row operators ---------------------------------------------------------------
@@ -189,7 +189,7 @@ def ingest_parse(spark, sf):
 
 
 def ingest_validate(spark, sf):
-    return _checked(spark, sf).drop("api_key", "received_at")
+    return _checked(spark, sf).drop("api_key", "received_at", "is_valid")
 
 
 def _resolved(spark, sf):
@@ -214,7 +214,7 @@ def _stored(spark, sf):
 
 def _batch_rows(spark, sf):
     """Upper bound of the rows of the batch, from file footers."""
-    return adapter.lineitem(spark, sf).count()
+    return spark.read.parquet(f"{sf}/lineitem.parquet").count()
 
 
 def ingest_new_trades(spark, sf):
@@ -273,7 +273,9 @@ def ea_daily_calendar(spark, sf):
 
 def ea_curve_pages(spark, sf):
     pages = R.curve_pages(_closed(spark, sf), EA, page_rows=1000)
-    return pages.select("magic_number", "page", F.to_json("equity_curve").alias("points"))
+    point = "concat(p.time, '=', coalesce(cast(cast(p.equity AS DECIMAL(18,2)) AS STRING), ''))"
+    points = f"array_join(transform(equity_curve, p -> {point}), ' ')"
+    return pages.selectExpr("magic_number", "page", f"{points} AS points")
 
 
 # --- streams -------------------------------------------------------------------------------

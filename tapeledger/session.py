@@ -45,3 +45,23 @@ def durable(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def estimated_bytes(df) -> int | None:
+    """Catalyst's size estimate of a plan; None where the session does not expose it."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
+def spread_small_input(df, key: str, limit_bytes: int = 1 << 30):
+    """Spread a small table that lies in fewer files than there are cores over all cores.
+
+    A large table, or one in many files, is returned as it is: its scan is parallel already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    if size is None or size > limit_bytes or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, key)

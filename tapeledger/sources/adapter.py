@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tapeledger.session import spread_small_input
+
 STRATEGIES = 41
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return spread_small_input(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey")
 
 
 def _whole(value: str) -> str:
