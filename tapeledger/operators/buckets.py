@@ -62,14 +62,21 @@ def bucket_table(prepared: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def best_worst(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """Best and worst hour, weekday and month by total net; ties go to the smallest key."""
+def _best_worst() -> list[str]:
     out = []
     for name in ("hour", "weekday", "month"):
         for label, rank in (("best", "-net"), ("worst", "net")):
             order = f"CASE WHEN {name} IS NOT NULL THEN struct({rank}, {name}) END"
-            out.append(F.expr(f"min_by({name}, {order}) AS {label}_{name}"))
-    return buckets.groupBy(*keys).agg(*out)
+            out.append(f"min_by({name}, {order}) AS {label}_{name}")
+    return out
+
+
+# over bucket_table: best and worst bucket by total net; ties go to the smallest key
+BEST_WORST = _best_worst()
+
+
+def best_worst(buckets: DataFrame, keys: list[str]) -> DataFrame:
+    return buckets.groupBy(*keys).agg(*[F.expr(e) for e in BEST_WORST])
 
 
 def first_months(prepared: DataFrame, keys: list[str], limit: int = 6) -> DataFrame:

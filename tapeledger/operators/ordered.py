@@ -346,11 +346,15 @@ def running_total_by_time(
         f"sum(`{value}`) AS total",
         "min_by(cumulative, at) AS lead",
     ]
-    before = (
-        f"OVER (PARTITION BY {listed(keys)} ORDER BY `{CHUNK}` "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    in_order = f"PARTITION BY {listed(keys)} ORDER BY `{CHUNK}`"
+    before = f"OVER ({in_order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    same_start = (
+        f"OVER (PARTITION BY {listed(keys)}, first_at ORDER BY `{CHUNK}` "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     )
-    history = (
+    # An instant at which chunks begin is complete at the head of the last of them: ``reached``.
+    # A chunk that ends in such an instant takes its total from itself or from its successor.
+    info = (
         local.selectExpr("*", f"{at} AS at")
         .groupBy(*chunked.parts)
         .agg(*[F.expr(e) for e in spans])
@@ -360,20 +364,22 @@ def running_total_by_time(
             f"count(1) OVER (PARTITION BY {listed(keys)}) AS chunks",
         )
         .where("chunks > 1")
-    )
-    # total up to the end of an instant at which some chunk begins: told by the last such chunk
-    same_start = f"OVER (PARTITION BY {listed(keys)}, first_at ORDER BY `{CHUNK}` DESC)"
-    starts = (
-        history.selectExpr("*", f"row_number() {same_start} AS back")
-        .where("back = 1")
+        .selectExpr("*", "coalesce(off_sum, 0) + coalesce(lead, 0) AS head")
+        .selectExpr("*", f"last(head) {same_start} AS reached")
+        .selectExpr(
+            "*",
+            f"lead(first_at) OVER ({in_order}) AS next_at",
+            f"lead(reached) OVER ({in_order}) AS next_reached",
+        )
         .selectExpr(
             *quoted(keys),
-            "first_at AS last_at",
-            "coalesce(off_sum, 0) + coalesce(lead, 0) AS instant_total",
+            f"`{CHUNK}`",
+            "off_sum",
+            "last_at",
+            "CASE WHEN last_at = first_at THEN reached WHEN next_at = last_at THEN next_reached END "
+            "AS instant_total",
         )
     )
-    spanned = history.selectExpr(*quoted(keys), f"`{CHUNK}`", "off_sum", "last_at")
-    info = join_on_keys(spanned, starts, keys + ["last_at"], "left")
     joined = join_on_keys(local, F.broadcast(info), keys + [CHUNK], "left")
     return joined.selectExpr(
         *quoted(rows.columns),

@@ -383,7 +383,6 @@ def _upsert() -> str:
 
 def oracle() -> dict[str, str]:
     ea, every = "magic_number", with_trades(full("magic_number", EA_ONLY))
-    margin = "* 0.05::DECIMAL(3,2)"
     metrics = every + "SELECT * FROM m"
     ingested = with_inbound() + (
         f"SELECT account_id, ticket, {RECORD}, {iso('received_at')} AS received_at FROM ranked "
@@ -531,6 +530,9 @@ FROM (SELECT *, min(equity) OVER (PARTITION BY magic_number) AS low,
         "symbol_curve_sample_cut": with_trades(sample("symbol", ANY)) + "SELECT * FROM smp",
         "account_equity_curve_cut": with_trades(CURVE) + f"""SELECT account_id, {iso('close_time')} AS date,
   {units('profit')} AS profit, {units('cum')} AS cumulative_profit FROM c""",
+        "symbol_running_total_cut": with_trades() + f"""SELECT symbol, ticket, {iso('close_time')} AS close_time,
+  {units('profit')} AS profit, {units('''sum(profit) OVER (PARTITION BY symbol ORDER BY close_time NULLS LAST
+  RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)''')} AS cumulative FROM t""",
         "stream_ingest": ingested + "WHERE arrival = 1",
         "stream_rejects": with_inbound() + f"""SELECT ticket, {REASON} AS reject_reason FROM i
   WHERE no_symbol OR bad_type OR bad_volume OR no_close

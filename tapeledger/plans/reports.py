@@ -114,15 +114,19 @@ def time_analysis(prepared: DataFrame, keys: list[str]) -> DataFrame:
     A key has at most 24 hours, 7 weekdays and its calendar months, so the lists stay short
     however many trades it has.
     """
-    table = B.bucket_table(prepared, keys)
-    maps = table.groupBy(*keys).agg(
-        F.expr(f"{_bucket_map('hour', 'hour')} AS by_hour"),
-        F.expr(f"{_bucket_map('weekday_no', 'weekday')} AS by_weekday"),
-        F.expr(f"{_bucket_map('month_start', 'month')} AS by_month"),
+    parts = [
+        f"{_bucket_map('hour', 'hour')} AS by_hour",
+        f"{_bucket_map('weekday_no', 'weekday')} AS by_weekday",
+        f"{_bucket_map('month_start', 'month')} AS by_month",
+        *B.BEST_WORST,
+    ]
+    fields = [part.rsplit(" ", 1)[1] for part in parts]
+    return (
+        B.bucket_table(prepared, keys)
+        .groupBy(*keys)
+        .agg(*[F.expr(e) for e in parts])
+        .selectExpr(*quoted(keys), f"struct({listed(fields)}) AS time_analysis")
     )
-    joined = join_on_keys(maps, B.best_worst(table, keys), keys)
-    fields = [c for c in joined.columns if c not in keys]
-    return joined.selectExpr(*quoted(keys), f"struct({listed(fields)}) AS time_analysis")
 
 
 SUMMARY_FIELDS = [

@@ -15,7 +15,7 @@ from tapeledger.operators import ingest as I
 from tapeledger.operators import path as P
 from tapeledger.operators import stats as S
 from tapeledger.operators.enrich import prepare
-from tapeledger.operators.ordered import ChunkPolicy
+from tapeledger.operators.ordered import ChunkPolicy, running_total_by_time
 from tapeledger.plans import reports as R
 from tapeledger.plans import snapshot as N
 from tapeledger.session import durable, scratch_path
@@ -170,6 +170,12 @@ def _account_curve(spark, sf, policy=None):
     return A.account_equity_curve(trades, policy) if policy else A.account_equity_curve(trades)
 
 
+def symbol_running_total_cut(spark, sf):
+    """Running gross profit per symbol; instants shared by several trades are cut as well."""
+    rows = adapter.trades(spark, sf).select("symbol", "ticket", "close_time", "id", "profit")
+    return running_total_by_time(rows, SYMBOL, "profit", policy=_cut(spark, sf))
+
+
 def account_curve_range(spark, sf):
     return A.curve_range(_account_curve(spark, sf))
 
@@ -420,6 +426,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _all_closed(s, d), SYMBOL, policy=_cut(s, d)
         ),
         "account_equity_curve_cut": lambda s, d: _account_curve(s, d, _cut(s, d)),
+        "symbol_running_total_cut": symbol_running_total_cut,
         "stream_ingest": stream_ingest,
         "stream_rejects": stream_rejects,
         "stream_metrics": stream_metrics,
