@@ -387,6 +387,9 @@ def oracle() -> dict[str, str]:
     ingested = with_inbound() + (
         f"SELECT account_id, ticket, {RECORD}, {iso('received_at')} AS received_at FROM ranked "
     )
+    date_range = with_trades() + f"""SELECT ticket, account_id, magic_number, symbol,
+  {iso('close_time')} AS close_time, {units('profit')} AS profit FROM t WHERE {CLOSED}
+  AND close_time >= TIMESTAMP '1996-01-01' AND close_time <= TIMESTAMP '1998-12-31 12:00:00'"""
     return {
         "ea_summary": every + f"""SELECT magic_number, comment, total_trades, total_net_profit AS net_profit,
   win_rate_pct AS win_rate, profit_factor, max_drawdown_pct, sharpe_ratio, date_from, date_to FROM m
@@ -395,9 +398,8 @@ def oracle() -> dict[str, str]:
     WHERE place = 1) USING (magic_number)""",
         "trades_scan": with_trades() + f"SELECT {SCAN} FROM t WHERE {CLOSED}",
         "trades_filtered": with_trades() + f"SELECT {SCAN} FROM t WHERE magic_number = 7 AND symbol = 'SYM3'",
-        "trades_date_range": with_trades() + f"""SELECT ticket, account_id, magic_number, symbol,
-  {iso('close_time')} AS close_time, {units('profit')} AS profit FROM t WHERE {CLOSED}
-  AND close_time >= TIMESTAMP '1996-01-01' AND close_time <= TIMESTAMP '1998-12-31 12:00:00'""",
+        "trades_date_range": date_range,
+        "trades_stored": date_range,
         "trades_enriched": with_trades(prepared(ANY)) + f"""SELECT ticket, account_id, magic_number, symbol,
   {iso('open_time')} AS open_time, {iso('close_time')} AS close_time, {units('net')} AS net_profit,
   win AS is_win, minutes AS duration_min, weekday, hour, month FROM p""",
@@ -465,6 +467,7 @@ FROM (SELECT count(*) AS received, CASE WHEN any_value(s.ticket) IS NULL THEN 1
   SELECT magic_number FROM t WHERE CAST(received_at AS DATE) = (SELECT CAST(max(received_at) AS DATE) FROM t))""",
         "snapshot_rows": every + f"SELECT {SNAPSHOT} FROM m",
         "snapshot_upsert": _upsert(),
+        "snapshot_job": _upsert(),
         "ea_catalog": with_trades() + f"""SELECT magic_number, count(*) AS total_trades,
   {iso('min(close_time)')} AS first_trade, {iso('max(close_time)')} AS last_trade,
   {units('sum(profit + coalesce(commission, 0) + coalesce(swap, 0))')} AS net_profit

@@ -17,11 +17,14 @@ from tapeledger.operators import stats as S
 from tapeledger.operators.enrich import prepare
 from tapeledger.operators.ordered import ChunkPolicy, running_total_by_time
 from tapeledger.plans import reports as R
+from tapeledger.plans.jobs import run_snapshot
 from tapeledger.plans import snapshot as N
 from tapeledger.session import durable, scratch_path
 from tapeledger.sources import adapter
-from tapeledger.sources.sinks import read_store
-from tapeledger.sources.trades import closed_strategy_trades, load_trades, read_inbound, scan
+from tapeledger.sources.sinks import read_store, write_trades
+from tapeledger.sources.trades import (
+    closed_strategy_trades, load_trades, read_inbound, read_trades, scan,
+)
 from tapeledger.streaming import running
 from tapeledger.streaming.ingest import IngestJob, current_metrics
 
@@ -258,6 +261,22 @@ def snapshot_upsert(spark, sf):
     return N.merge_snapshots(stored, N.snapshot_rows(_closed(spark, sf), SNAPSHOT_DATE))
 
 
+def snapshot_job(spark, sf):
+    """The same two runs as jobs that write and merge the stored table."""
+    root = scratch_path(spark, "snapshots")
+    run_snapshot(spark, adapter.full_fee_trades(spark, sf), root, SNAPSHOT_DATE)
+    return run_snapshot(spark, adapter.trades(spark, sf), root, SNAPSHOT_DATE).drop("version")
+
+
+def trades_stored(spark, sf):
+    """Trades written by close month and read back through the stored-table scan."""
+    path = scratch_path(spark, "trades")
+    trades = adapter.trades(spark, sf).drop("id")
+    write_trades(trades, path)
+    found = load_trades(read_trades(spark, path), date_from="1996-01-01", date_to="1998-12-31 12:00:00")
+    return found.select("ticket", "account_id", "magic_number", "symbol", "close_time", "profit")
+
+
 # --- strategy figures ----------------------------------------------------------------------
 
 
@@ -376,6 +395,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ea_recompute_touched": ea_recompute_touched,
         "snapshot_rows": snapshot_rows,
         "snapshot_upsert": snapshot_upsert,
+        "snapshot_job": snapshot_job,
+        "trades_stored": trades_stored,
         "ea_catalog": lambda s, d: A.strategy_catalog(adapter.trades(s, d)).orderBy("magic_number"),
         "ea_symbols": lambda s, d: A.strategy_symbols(adapter.trades(s, d)).orderBy(
             "magic_number", "symbol"
