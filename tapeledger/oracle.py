@@ -67,9 +67,9 @@ def even(value: str, places: int) -> str:
     rest = f"({a}) - floor({a})"
     up = f"CASE WHEN {rest} > 0.5 OR ({rest} = 0.5 AND {whole} % 2 = 1) THEN 1 ELSE 0 END"
     return (
-        f"(CASE WHEN ({value}) IS NULL THEN NULL WHEN isinf({value}) THEN ({value}) "
+        f"((CASE WHEN ({value}) IS NULL THEN NULL WHEN isinf({value}) THEN ({value}) "
         f"WHEN ({value}) < 0 THEN -(({whole} + {up}) / {scale}.0) "
-        f"ELSE ({whole} + {up}) / {scale}.0 END)::DOUBLE"
+        f"ELSE ({whole} + {up}) / {scale}.0 END)::DOUBLE + 0.0)"
     )
 
 
@@ -455,7 +455,7 @@ UNION ALL SELECT id, name, NULL, type, platform, NULL, initial_balance::DOUBLE,
   AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.account_id = ranked.account_id AND s.ticket = ranked.ticket)""",
         "ingest_status": with_inbound() + """SELECT account_id, ticket, received, ok, received - ok AS duplicate
 FROM (SELECT r.account_id, r.ticket, count(*) AS received,
-        CASE WHEN any_value(s.ticket) IS NULL THEN 1 ELSE 0 END AS ok
+        (CASE WHEN any_value(s.ticket) IS NULL THEN 1 ELSE 0 END)::BIGINT AS ok
       FROM res r LEFT JOIN stored s ON s.account_id = r.account_id AND s.ticket = r.ticket
       GROUP BY r.account_id, r.ticket)""",
         "ingest_totals": with_inbound() + """SELECT sum(received)::BIGINT AS total, sum(ok)::BIGINT AS saved,
