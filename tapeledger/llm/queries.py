@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, vector_search, warc
+from . import exact_dedup, jaccard_join, line_templates, mixing, packing, vector_search, warc
 
 
 def registry() -> dict:
     return {
         "op3_packing": packing.op3_packing,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_warc": warc.op7_warc,
         "op8_mixing": mixing.op8_mixing,
+        "op9_line_templates": line_templates.op9_line_templates,
         "op10_vector_search": vector_search.op10_vector_search,
     }
 
