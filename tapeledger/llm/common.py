@@ -159,3 +159,17 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+# ---- rows that a document id does not tell apart ------------------------------------------------
+
+
+def one_text_per_id(docs: DataFrame) -> DataFrame:
+    """doc_id, text of the rows with an id; of rows that share one, those with one text (that of the least digest)."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    several = staged(
+        rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.xxhash64("text")).alias("tag")).where("n > 1").select("doc_id", "tag"), "shared-ids")
+    if is_empty(several):
+        return rows
+    chosen = rows.join(several, "doc_id").where(F.xxhash64("text") == F.col("tag")).select("doc_id", "text").dropDuplicates(["doc_id"])
+    return rows.join(several, "doc_id", "left_anti").unionByName(chosen)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, line_templates, mixing, packing, vector_search, warc
+from . import exact_dedup, jaccard_join, line_templates, mixing, packing, passages, toxicity, vector_search, warc
 
 
 def registry() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_passages": passages.op2_passages,
         "op3_packing": packing.op3_packing,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
