@@ -185,9 +185,9 @@ def pairs_at(column: str, roots: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, tag, class_id, class_size, n_links of every row; a class is connected by links of similarity at least ``threshold``.
+    """doc_id, tag, class_key, class_id, class_size, n_links of every row; a class is connected by links of similarity at least ``threshold``.
 
-    class_id is the least doc_id of the class. Texts with the same shingle set are copies: one node, not a link. n_links is
+    class_key tells classes apart, class_id is the least doc_id of the class, tag the digest of the row's text. Texts with the same shingle set are copies: one node, not a link. n_links is
     the number of verified links that the forest holds for the text; links within a class that is already connected are
     not all searched for. A null text is an empty one, and empty texts are copies of each other. Fewer than ``size`` words
     are one shingle. Rows that repeat a doc_id are rows of their own; a null doc_id is the least, so a class with one has
@@ -200,8 +200,23 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
         "doc_id", "tag", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = staged(placed, "placed")
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return placed.join(classes, "root").select("doc_id", "tag", "class_id", "class_size", "n_links")
+    return placed.join(classes, "root").select("doc_id", "tag", F.col("root").alias("class_key"), "class_id", "class_size", "n_links")
+
+
+def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class, the row with the least doc_id stays, all columns as they are.
+
+    A row with a null doc_id stays only if its class has no other; of rows that repeat doc_id and text, one stays.
+    """
+    classes = near_duplicates(docs, **parameters)
+    chosen = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("r"), F.count("*").alias("n"))
+    chosen = staged(chosen.select("r.doc_id", F.col("r.tag").alias("__tag")), "chosen")
+    kept = same(docs.withColumn("__tag", F.xxhash64(text_or_empty())), chosen, ["doc_id", "__tag"])
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("__tag"))
+    if not is_empty(rows.groupBy("doc_id", "__tag").count().where("count > 1")):
+        kept = kept.dropDuplicates(["doc_id", "__tag"])
+    return kept.select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("tag")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")

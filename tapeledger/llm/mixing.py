@@ -119,6 +119,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_REPEAT, size=
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_REPEAT) -> DataFrame:
+    """The rows of ``docs`` that the mix holds, each as often as the mix repeats it (at most ``most`` times); columns as they are."""
+    rows = staged(sized(docs), "sized")
+    aim = plan_of(rows, weights, most).select("source", "repeats", "threshold")
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    hashed = docs.withColumn("__h", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
+    out = same(hashed, aim.withColumnsRenamed({"repeats": "__repeats", "threshold": "__threshold"}), ["source"])
+    times = (F.col("__repeats") + (F.col("__h") < F.col("__threshold")).cast("long")).cast("int")
+    out = out.withColumn("__times", times).where("__times > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, line_templates, mixing, packing, passages, toxicity, vector_search, warc
+from . import exact_dedup, jaccard_join, line_templates, mixing, packing, passages, suffix_dedup, toxicity, vector_search, warc
 
 
 def registry() -> dict:
@@ -11,6 +11,7 @@ def registry() -> dict:
         "op2_passages": passages.op2_passages,
         "op3_packing": packing.op3_packing,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_warc": warc.op7_warc,
         "op8_mixing": mixing.op8_mixing,
