@@ -24,7 +24,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here, on storage all executors see."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of staged frames that nothing reads any more."""
+    for frame in frames:
+        jvm, conf = frame.sparkSession._jvm, frame.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(frame.staged_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
