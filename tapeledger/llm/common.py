@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from functools import reduce
 
 import numpy as np
@@ -39,8 +40,10 @@ def discard(*frames: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished stages, whose frames are out of scope."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works on its own time
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def is_empty(df: DataFrame) -> bool:
