@@ -87,6 +87,7 @@ def exact_dedup(docs: DataFrame, block_chars: int = BLOCK_CHARS, fp=F.xxhash64)
     ids = staged(identities(tagged, F.col("text"), block_chars, fp), "identities")
     rows = staged(same(rows, ids, ["doc_id", "tag"]), "identified")
     groups = rows.groupBy("level", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = staged(groups, "groups")  # a table of its own, so that Spark may split the join
     return rows.join(groups, ["level", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
