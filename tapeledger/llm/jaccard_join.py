@@ -92,17 +92,18 @@ def _labelled(size: int, trees: int, depth: int):
 
 
 def candidates(nodes: DataFrame, trees: int, depth: int, shortest: int) -> DataFrame:
-    """a < b, votes: nodes paired with the leaders of the trie nodes above them, and in how many they meet."""
+    """a < b, votes: nodes paired with the leaders of the trie nodes above them, and in how many they meet.
+
+    A trie node is named by 64 bits of its tree and prefix; two that share a name only add candidates.
+    """
     leaves = staged(nodes.select("node", F.posexplode("labels").alias("tree", "label")), "leaves")
-    found = None
-    for d in range(shortest, depth + 1):
-        prefix = leaves.select("node", "tree", F.expr(f"substring(label, 1, {4 * d})").alias("prefix"))
-        order = F.struct(F.xxhash64("tree", "node").alias("h"), "node")
-        leaders = prefix.groupBy("tree", "prefix").agg(F.min(order).alias("l"), F.count("*").alias("n")).where("n > 1")
-        pairs = prefix.join(leaders.select("tree", "prefix", F.col("l.node").alias("leader")), ["tree", "prefix"]).where("node <> leader")
-        pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.groupBy("a", "b").agg(F.count("*").alias("votes"))
+    prefixes = F.transform(F.sequence(F.lit(shortest), F.lit(depth)), lambda d: F.xxhash64("tree", F.substring("label", F.lit(1), 4 * d)))
+    below = leaves.select("node", F.explode(prefixes).alias("trie"), F.xxhash64("tree", "node").alias("h"))
+    # least hash, then its node: two aggregates of fixed width, which Spark need not sort for
+    leaders = below.groupBy("trie").agg(F.min_by("node", "h").alias("leader"), F.count("*").alias("n")).where("n > 1").select("trie", "leader")
+    leaders = staged(leaders, "leaders")  # a table of its own, so that Spark may split the join
+    pairs = below.select("node", "trie").join(leaders, "trie").where("node <> leader")
+    return pairs.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count("*").alias("votes"))
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
@@ -200,6 +201,7 @@ def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
         "doc_id", "tag", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = staged(placed, "placed")
     classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    classes = staged(classes, "classes")  # a table of its own, so that Spark may split the join
     return placed.join(classes, "root").select("doc_id", "tag", F.col("root").alias("class_key"), "class_id", "class_size", "n_links")
 
 
