@@ -51,6 +51,7 @@ def _in_documents(rows: DataFrame, by: list[str], name: str = "docs") -> DataFra
 def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
     """line_a, line_b, template of the lines in leaves that ``min_docs`` documents reach and that keep enough fixed tokens."""
     leaves = _in_documents(lines, ["leaf"]).where(F.col("docs") >= min_docs).select("leaf")
+    leaves = staged(leaves, "leaves")  # a table of its own, so that Spark may split the join
     among = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", *LINE, *KEY).agg(F.min("line_no").alias("line_no"))
     distinct = among.groupBy("leaf", *LINE).agg(F.count("*").alias("docs"), F.min(F.struct(*KEY, "line_no")).alias("at"))
     distinct = staged(distinct.select("leaf", *LINE, "docs", "at.*"), "distinct-lines")
@@ -80,6 +81,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
     release(docs.sparkSession)
     found = staged(useful.join(kinds, LINE).select(*KEY, "line_no", "n", "template"), "template-lines")
     often = _in_documents(found, ["template"]).where(F.col("docs") >= min_docs).select("template")
+    often = staged(often, "often")
     drops = found.join(often, "template", "left_semi").distinct().groupBy(*KEY).agg(
         F.sort_array(F.collect_list("line_no")).alias("dropped"), F.sum("n").alias("lost"))
     totals = lines.groupBy(*KEY, "line_no").agg(F.max("n").alias("n")).groupBy(*KEY).agg(
