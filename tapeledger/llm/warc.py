@@ -61,7 +61,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("content"))
     roles = keyed.groupBy("content").agg(F.max("page_id").alias("origin"))
-    rows = same(keyed, roles, ["content"])
+    rows = same(keyed, staged(roles, "warc-roles"), ["content"])  # a table of its own, so that Spark may split the join
     one = rows.groupBy("page_id", "content", "origin").agg(F.min(F.struct(F.col("url").isNull(), "url", "html")).alias("r"))
     rows = one.select("page_id", "content", "origin", "r.url", "r.html")
     name = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.substring("content", 1, 32), F.lit(">"))
