@@ -190,7 +190,7 @@ def _scored(weights: np.ndarray, thresholds: np.ndarray):
                 rows, found = features(*utf8(part.column("__text")))
                 hit = used[found]
                 rows, found = _distinct(rows[hit], found[hit])
-                score = np.bincount(rows, weights[found].astype(np.float64), part.num_rows)
+                score = np.bincount(rows, weights[found].astype(np.float64), part.num_rows).astype(np.float64)
                 above = model.above(score)
                 edge = np.concatenate([np.ones((len(score), 1)), above, np.zeros((len(score), 1))], axis=1)
                 grade = np.argmax(edge[:, :-1] - edge[:, 1:], axis=1).astype(np.int32)
