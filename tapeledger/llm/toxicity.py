@@ -169,7 +169,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> t
     lists = found if isinstance(found, pa.ListArray) else found.chunk(0)
     sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.empty(0, np.int64)
     toxic = got.column("toxic").to_numpy().astype(np.int64)
-    return np.repeat(np.arange(len(toxic)), sizes), lists.flatten().to_numpy().astype(np.int64), toxic
+    return np.repeat(np.arange(len(toxic), dtype=np.int32), sizes), lists.flatten().to_numpy(), toxic
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
