@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tapeledger.session import scratch_path
 
-from .common import pieces_of, same, staged, table
+from .common import is_empty, pieces_of, same, staged, table
 
 SEGMENT_CHARS = 16384
 CHUNK_CHARS = 4096
@@ -32,9 +32,8 @@ DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Base32 of the SHA-1: each 5 hexadecimal digits are 20 bits, which are 4 digits of base 32."""
-    digest = F.sha1(payload)
+def base32_sha1(digest: Column) -> Column:
+    """Base32 of a SHA-1 in hexadecimal: each 5 digits are 20 bits, which are 4 digits of base 32."""
     parts = [F.lpad(F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]
     return F.translate(F.concat(*parts), DIGITS, BASE32)
 
@@ -62,11 +61,15 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     keyed = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("content"))
     roles = keyed.groupBy("content").agg(F.max("page_id").alias("origin"))
     rows = same(keyed, staged(roles, "warc-roles"), ["content"])  # a table of its own, so that Spark may split the join
-    one = rows.groupBy("page_id", "content", "origin").agg(F.min(F.struct(F.col("url").isNull(), "url", "html")).alias("r"))
-    rows = one.select("page_id", "content", "origin", "r.url", "r.html")
+    again = staged(keyed.groupBy("page_id", "content").count().where("count > 1").select("page_id", "content"), "warc-repeats")
+    if not is_empty(again):  # only rows that repeat a page and its payload have to meet
+        repeated = same(rows, again, ["page_id", "content"]).groupBy("page_id", "content", "origin").agg(
+            F.min(F.struct(F.col("url").isNull(), "url", "html")).alias("r")).select("page_id", "content", "origin", "r.url", "r.html")
+        rows = same(rows, again, ["page_id", "content"], "left_anti").select(*repeated.columns).unionByName(repeated)
     name = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.substring("content", 1, 32), F.lit(">"))
     revisit = (F.octet_length("html") >= min_revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("origin"))
-    digest = F.concat(F.lit("sha1:"), base32_sha1(F.encode("html", "UTF-8")))
+    digest = F.concat(F.lit("sha1:"), base32_sha1(F.col("sha1")))
+    rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
     url = F.regexp_replace("url", "[\r\n]+", " ")
     rows = rows.select(
         name(F.col("page_id")).alias("id"), revisit.alias("revisit"), name(F.col("origin")).alias("origin"),
