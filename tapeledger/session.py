@@ -25,9 +25,11 @@ def local_session(cpus: int | str = 8, app: str = "tapeledger", memory: str = "1
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder all executors see: the cluster's checkpoint folder, else (tests) a fresh one."""
+    """Folder all executors see: the cluster's checkpoint folder, else (tests) a fresh one on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tapeledger-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
