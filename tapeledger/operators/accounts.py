@@ -163,14 +163,24 @@ def new_accounts(records: DataFrame) -> DataFrame:
     )
 
 
+_KNOWN_TYPE = "(type IS NULL OR type IN ('Propfirm', 'Broker', 'Personal'))"
+
+
 def append_accounts(accounts: DataFrame, records: DataFrame) -> DataFrame:
     """Accounts plus the valid new records (a name, and a known type or none)."""
-    valid = records.where(
-        "name IS NOT NULL AND (type IS NULL OR type RLIKE '^(Propfirm|Broker|Personal)$')"
-    )
+    valid = records.where(f"name IS NOT NULL AND {_KNOWN_TYPE}")
     return accounts.unionByName(new_accounts(valid).select(*accounts.columns))
 
 
+def account_rejects(records: DataFrame) -> DataFrame:
+    """The records append_accounts leaves out, with the reasons."""
+    reasons = (
+        "array_compact(array(CASE WHEN name IS NULL THEN 'name: missing' END, "
+        f"CASE WHEN NOT {_KNOWN_TYPE} THEN 'type: unknown' END)) AS reject_reason"
+    )
+    return records.selectExpr("*", reasons).where("size(reject_reason) > 0")
+
+
 def deactivate(accounts: DataFrame, ids: DataFrame) -> DataFrame:
     """Soft delete: is_active becomes false for the given ids."""
     hit = ids.selectExpr("id AS __hit").distinct()

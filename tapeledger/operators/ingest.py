@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tapeledger.functions.numeric import listed, quoted
 from tapeledger.operators.enrich import RECOMPUTE_GATE
-from tapeledger.operators.joins import BROADCAST_ROWS, broadcast_if_small
+from tapeledger.operators.joins import BROADCAST_ROWS, broadcast_if_small, join_on_keys
 from tapeledger.schema import INBOUND_FIELDS, INBOUND_REQUIRED
 
 TRADE_KEY = ["account_id", "ticket"]
@@ -22,9 +22,14 @@ def _tests(name: str) -> list[tuple[str, str]]:
     raw, tests = f"`__raw_{name}`", []
     if name in INBOUND_REQUIRED:
         tests.append((f"{raw} IS NULL", f"{name}: missing"))
-    if kind != "string":
-        wording = _KIND.get(kind, "number")
-        tests.append((f"{raw} IS NOT NULL AND `{name}` IS NULL", f"{name}: not a {wording}"))
+    if kind.startswith("decimal"):
+        # a number that the column cannot hold as it was sent is refused, never rounded
+        scale, absent = INBOUND_FIELDS[name].scale, f"{raw} IS NOT NULL AND `{name}` IS NULL"
+        inexact = f"coalesce({_decimals(raw)} > {scale} AND try_cast({raw} AS DOUBLE) IS NOT NULL, false)"
+        tests.append((f"{absent} AND NOT {inexact}", f"{name}: not a number"))
+        tests.append((f"{absent} AND {inexact}", f"{name}: more than {scale} decimals"))
+    elif kind != "string":
+        tests.append((f"{raw} IS NOT NULL AND `{name}` IS NULL", f"{name}: not a {_KIND[kind]}"))
     if name == "order_type":
         # false, not NULL, where the type is missing
         tests.append((f"{raw} IS NOT NULL AND {name} NOT IN ('BUY', 'SELL')", f"{name}: neither BUY nor SELL"))
@@ -42,13 +47,41 @@ def _fine(name: str) -> str:
     return f"(`__raw_{name}` IS NULL OR `{name}` IS NOT NULL)"
 
 
+def _decimals(text: str) -> str:
+    """How many decimals a number written as text needs; trailing zeros count only before an exponent."""
+    fraction = f"trim(TRAILING '0' FROM regexp_extract({text}, '[.]([0-9]*)', 1))"
+    exponent = f"coalesce(try_cast(regexp_extract({text}, '[eE]([+-]?[0-9]+)', 1) AS INT), 0)"
+    plain = f"length(trim(TRAILING '0' FROM substring_index({text}, '.', -1)))"
+    return (
+        f"CASE WHEN locate('e', lower({text})) > 0 THEN length({fraction}) - {exponent} "
+        f"WHEN locate('.', {text}) > 0 THEN {plain} ELSE 0 END"
+    )
+
+
+def _time(text: str) -> str:
+    """A time without zone as it stands; one with a zone or an offset in UTC."""
+    micros = f"unix_micros(try_cast({text} AS TIMESTAMP))"
+    return (
+        f"CASE WHEN substring(trim({text}), 12) RLIKE '[A-Za-z+-]' "
+        f"THEN timestampadd(MICROSECOND, {micros}, timestamp_ntz'1970-01-01 00:00:00') "
+        f"ELSE try_cast({text} AS TIMESTAMP_NTZ) END"
+    )
+
+
 def _typed(name: str) -> str:
     if name == "order_type":
         return "upper(order_type)"
     if name == "comment":
         return "nullif(comment, '')"
     kind = INBOUND_FIELDS[name].simpleString()
-    return f"`{name}`" if kind == "string" else f"try_cast(`{name}` AS {kind})"
+    if kind == "string":
+        return f"`{name}`"
+    if kind == "timestamp_ntz":
+        return _time(f"`{name}`")
+    if kind == "bigint":  # 7.0 is a whole number
+        return f"CASE WHEN {_decimals(f'`{name}`')} <= 0 THEN try_cast(try_cast(`{name}` AS DECIMAL(38,6)) AS BIGINT) END"
+    scale = INBOUND_FIELDS[name].scale
+    return f"CASE WHEN {_decimals(f'`{name}`')} <= {scale} THEN try_cast(`{name}` AS {kind}) END"
 
 
 def validate(inbound: DataFrame) -> DataFrame:
@@ -83,7 +116,8 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 
 def _active_keys(accounts: DataFrame) -> DataFrame:
-    return accounts.where("is_active").selectExpr("api_key", "id AS account_id")
+    """One account per key: where active accounts share one, that of the least id."""
+    return accounts.where("is_active").groupBy("api_key").agg(F.expr("min(id) AS account_id"))
 
 
 def resolve_account(records: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -156,6 +190,9 @@ def touched_strategies(new: DataFrame) -> DataFrame:
     return new.where(RECOMPUTE_GATE).select("magic_number").distinct()
 
 
-def restrict_to(history: DataFrame, touched: DataFrame, touched_rows: int) -> DataFrame:
-    """Full history of the touched strategies only; touched_rows bounds their number."""
-    return history.join(broadcast_if_small(touched, touched_rows), "magic_number", "left_semi")
+def restrict_to(
+    history: DataFrame, touched: DataFrame, touched_rows: int, keys: list[str] | None = None
+) -> DataFrame:
+    """Full history of the touched keys (strategies by default) only; touched_rows bounds their number."""
+    few = broadcast_if_small(touched, touched_rows)
+    return join_on_keys(history, few, keys or ["magic_number"], "left_semi")

@@ -224,15 +224,18 @@ SCAN = f"""ticket, magic_number, comment, symbol, order_type, volume::DOUBLE AS
 
 CLOSED = "close_time IS NOT NULL AND close_m > 0"
 
-OVERVIEW = f"""o AS (
-  SELECT id, any_value(a.name) AS name, any_value(broker) AS broker, any_value(type) AS type,
-         any_value(platform) AS platform, any_value(phase) AS phase,
-         any_value(initial_balance) AS initial_balance, any_value(created_at) AS created_at,
-         count(ticket) AS total_trades, coalesce(sum(profit), 0) AS profit_u,
-         coalesce(sum(profit + coalesce(commission, 0) + coalesce(swap, 0)), 0) AS net_u,
-         {up('CASE WHEN count(ticket) > 0 THEN count(ticket) FILTER (WHERE profit > 0) * 100.0 / count(ticket) ELSE 0 END', 2)} AS winrate,
-         {up('CASE WHEN sum(CASE WHEN profit < 0 THEN -profit ELSE 0 END) > 0 THEN sum(CASE WHEN profit > 0 THEN profit ELSE 0 END)::DOUBLE / sum(CASE WHEN profit < 0 THEN -profit ELSE 0 END) END', 2)} AS profit_factor
-  FROM a LEFT JOIN t ON t.account_id = a.id WHERE is_active GROUP BY id)"""
+OVERVIEW = f"""live AS (
+  SELECT account_id, count(*) AS trades, count(*) FILTER (WHERE profit > 0) AS wins, sum(profit) AS gross,
+         sum(profit) + coalesce(sum(commission), 0) + coalesce(sum(swap), 0) AS net,
+         coalesce(sum(profit) FILTER (WHERE profit > 0), 0) AS rise, abs(sum(profit) FILTER (WHERE profit < 0)) AS fall
+  FROM t GROUP BY account_id),
+rates AS (
+  SELECT account_id, trades, gross, net, {up('wins * 100.0 / trades', 2)} AS winrate,
+         {up('rise::DOUBLE / fall', 2)} AS profit_factor FROM live),
+o AS (
+  SELECT a.* EXCLUDE (api_key, is_active), coalesce(trades, 0) AS total_trades, coalesce(gross, 0) AS profit_u,
+         coalesce(net, 0) AS net_u, coalesce(winrate, 0.0::DOUBLE) AS winrate, profit_factor
+  FROM a LEFT JOIN rates ON account_id = id WHERE is_active)"""
 
 STRATEGIES = f"""st AS (
   SELECT account_id, magic_number, count(*) AS total_trades, coalesce(sum(profit), 0) AS profit_u,
@@ -250,26 +253,28 @@ INBOUND = """i AS (
               ELSE md5('Customer#' || lpad(account_id::VARCHAR, 9, '0')) END AS api_key,
          ticket, CASE WHEN NOT (line = 5 AND swap = 0) THEN symbol END AS symbol,
          CASE WHEN line = 7 AND comment = 'EA_A' THEN 'HOLD' ELSE order_type END AS order_type,
-         CASE WHEN volume <> 13 THEN volume END AS volume, open_m, close_m, open_time, close_time,
-         profit, commission, swap, magic_number, comment, received_at,
+         CASE WHEN volume <> 13 THEN volume END AS volume,
+         open_m * 100 + CASE WHEN line = 3 THEN 12 ELSE 0 END AS open_c, close_m, open_time, close_time,
+         CASE WHEN volume <> 17 THEN profit END AS profit, commission, swap, magic_number, comment, received_at,
          line = 5 AND swap = 0 AS no_symbol, line = 7 AND comment IS NOT DISTINCT FROM 'EA_A' AS bad_type,
-         volume = 13 AS bad_volume, close_time IS NULL AS no_close, part, supp, cents
+         volume = 13 AS bad_volume, close_time IS NULL AS no_close, volume = 17 AS bad_profit, part, supp, cents
   FROM t),
-ok AS (SELECT * FROM i WHERE NOT (no_symbol OR bad_type OR bad_volume OR no_close)),
+ok AS (SELECT * FROM i WHERE NOT (no_symbol OR bad_type OR bad_volume OR no_close OR bad_profit)),
 res AS (SELECT a.id AS account_id, ok.* EXCLUDE (api_key) FROM ok JOIN a USING (api_key) WHERE is_active),
 stored AS (SELECT DISTINCT account_id, ticket FROM t WHERE status = 'F'),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY account_id, ticket ORDER BY received_at, symbol NULLS FIRST,
-         order_type, volume, open_m, close_m, open_time, close_time, profit, commission NULLS FIRST,
+         order_type, volume, open_c, close_m, open_time, close_time, profit, commission NULLS FIRST,
          swap, magic_number NULLS FIRST, comment NULLS FIRST) AS arrival FROM res)"""
 
 REASON = """concat_ws('; ',
   CASE WHEN no_symbol THEN 'symbol: missing' END,
   CASE WHEN bad_type THEN 'order_type: neither BUY nor SELL' END,
   CASE WHEN bad_volume THEN 'volume: not a number' END,
-  CASE WHEN no_close THEN 'close_time: missing' END)"""
+  CASE WHEN no_close THEN 'close_time: missing' END,
+  CASE WHEN bad_profit THEN 'profit: more than 4 decimals' END)"""
 
-RECORD = f"""symbol, order_type, volume::DOUBLE AS volume, open_m / 1000000.0::DOUBLE AS open_price,
+RECORD = f"""symbol, order_type, volume::DOUBLE AS volume, open_c / 100000000.0::DOUBLE AS open_price,
   close_m / 1000000.0::DOUBLE AS close_price, {iso('open_time')} AS open_time,
   {iso('close_time')} AS close_time, {units('profit')} AS profit, NULL::DOUBLE AS stop_loss,
   NULL::DOUBLE AS take_profit, {units('commission')} AS commission, {units('swap')} AS swap,
@@ -354,15 +359,16 @@ SNAPSHOT = """magic_number, '2024-12-31' AS snapshot_date, total_trades, winning
   best_trade, worst_trade, payoff_ratio, max_drawdown_usd, max_drawdown_pct, recovery_factor,
   sharpe_ratio, sortino_ratio, calmar_ratio, expectancy, initial_balance, final_balance, return_pct"""
 
-_REFRESHED = (
-    "total_trades win_rate_pct profit_factor total_net_profit max_drawdown_pct sharpe_ratio "
-    "return_pct final_balance"
-).split()
-_KEPT = (
-    "winning_trades losing_trades gross_profit gross_loss avg_win avg_loss avg_trade best_trade "
-    "worst_trade payoff_ratio max_drawdown_usd recovery_factor sortino_ratio calmar_ratio expectancy "
-    "initial_balance"
-).split()
+# Fixed names: the columns a second snapshot of a day refreshes, and those it keeps.
+_REFRESHED = [
+    "total_trades", "win_rate_pct", "profit_factor", "total_net_profit", "max_drawdown_pct",
+    "sharpe_ratio", "return_pct", "final_balance",
+]
+_KEPT = [
+    "winning_trades", "losing_trades", "gross_profit", "gross_loss", "avg_win", "avg_loss", "avg_trade",
+    "best_trade", "worst_trade", "payoff_ratio", "max_drawdown_usd", "recovery_factor", "sortino_ratio",
+    "calmar_ratio", "expectancy", "initial_balance",
+]
 
 
 def _upsert() -> str:
@@ -490,7 +496,7 @@ FROM (SELECT count(*) AS received, CASE WHEN any_value(s.ticket) IS NULL THEN 1
         + f"""SELECT magic_number, 10000.0::DOUBLE AS initial_balance,
   CASE WHEN last_missing = 0 THEN {even2('(100000000 + total)')} END AS final_balance, pn AS data_points FROM tot""",
         "ea_curve_sample": with_trades(sample(ea, EA_ONLY)) + "SELECT * FROM smp",
-        "ea_curve_levels": with_trades(sample(ea, FULL_FEE)) + """SELECT magic_number, seq, day, equity,
+        "ea_curve_levels": with_trades(sample(ea, EA_ONLY)) + """SELECT magic_number, seq, day, equity,
   CAST(floor((equity - low) / (CASE WHEN high <> low THEN high - low ELSE 1.0 END) * 30) AS BIGINT) AS level,
   CASE WHEN equity >= first THEN 'up' ELSE 'down' END AS direction
 FROM (SELECT *, min(equity) OVER (PARTITION BY magic_number) AS low,
@@ -519,7 +525,7 @@ FROM (SELECT *, min(equity) OVER (PARTITION BY magic_number) AS low,
   LEFT JOIN (SELECT magic_number, comment FROM (SELECT magic_number, comment, row_number() OVER
     (PARTITION BY magic_number ORDER BY {ORDER}) AS place FROM p WHERE comment IS NOT NULL)
     WHERE place = 1) USING (magic_number)""",
-        "ea_ratings": with_trades(full(ea, FULL_FEE)) + f"SELECT magic_number, {RATINGS} FROM m",
+        "ea_ratings": every + f"SELECT magic_number, {RATINGS} FROM m",
         "ea_full_metrics": metrics,
         "ea_full_metrics_full_fee": with_trades(full(ea, FULL_FEE, 5_000_000)) + "SELECT * FROM m",
         "ea_curve_pages": with_trades(prepared(), path(ea)) + f"""SELECT magic_number,
@@ -538,7 +544,7 @@ FROM (SELECT *, min(equity) OVER (PARTITION BY magic_number) AS low,
   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)''')} AS cumulative FROM t""",
         "stream_ingest": ingested + "WHERE arrival = 1",
         "stream_rejects": with_inbound() + f"""SELECT ticket, {REASON} AS reject_reason FROM i
-  WHERE no_symbol OR bad_type OR bad_volume OR no_close
+  WHERE no_symbol OR bad_type OR bad_volume OR no_close OR bad_profit
 UNION ALL SELECT ticket, 'api_key: unknown or inactive account' FROM ok
   WHERE api_key NOT IN (SELECT api_key FROM a WHERE is_active)""",
         "stream_metrics": with_inbound() + f""", fresh AS (
@@ -549,4 +555,14 @@ UNION ALL SELECT ticket, 'api_key: unknown or inactive account' FROM ok
 SELECT * FROM m""",
         "running_metrics": metrics,
         "running_metrics_late": metrics,
+        "running_metrics_account": with_trades(full("account_id", ANY)) + "SELECT * FROM m",
+        "running_metrics_pair": with_trades(full("magic_number, symbol", EA_ONLY)) + "SELECT * FROM m",
+        "trades_of_account": with_trades() + f"SELECT {SCAN} FROM t WHERE {CLOSED} AND account_id = 7",
+        "account_rejects": """SELECT s_suppkey + 1000000000000 AS id, concat_ws('; ',
+  CASE WHEN s_nationkey = 24 THEN 'name: missing' END, CASE WHEN s_nationkey % 4 = 2 THEN 'type: unknown' END)
+  AS reject_reason FROM supplier WHERE s_nationkey = 24 OR s_nationkey % 4 = 2""",
+        "ea_daily_calendar_open": with_trades() + f"""SELECT magic_number,
+  strftime(coalesce(close_time, open_time), '%Y-%m-%d') AS day, {units('sum(profit)')} AS profit,
+  count(*) AS trades, CASE WHEN sum(profit) >= 0 THEN 'profit' ELSE 'loss' END AS cell FROM t
+  WHERE magic_number IS NOT NULL GROUP BY magic_number, strftime(coalesce(close_time, open_time), '%Y-%m-%d')""",
     }

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tapeledger.operators.enrich import prepare
 from tapeledger.operators.ordered import DEFAULT_POLICY, ChunkPolicy
 from tapeledger.operators.path import INITIAL_BALANCE
 from tapeledger.plans.snapshot import merge_snapshots, snapshot_rows
-from tapeledger.sources.sinks import exists, read_snapshots, write_snapshot_day
+from tapeledger.sources.sinks import (
+    newest_snapshots, next_snapshot_version, read_snapshots, write_snapshot_day,
+)
 from tapeledger.sources.trades import closed_strategy_trades
 
 
@@ -25,14 +27,12 @@ def run_snapshot(
     """Snapshot all strategies under a date (default today), merged into what that date holds.
 
     Only the folder of that date is read and written. When to run it, hourly or daily, is up to
-    the caller; running it again is harmless.
+    the caller; running it again is harmless, also after a run that died half-way: what that left
+    behind is neither read nor in the way.
     """
     day = str(target_date or date.today())
     merged = snapshot_rows(prepare(closed_strategy_trades(trades)), day, initial, policy)
-    version = 1
-    if exists(spark, f"{root}/snapshot_date={day}"):
-        stored = read_snapshots(spark, root).where(F.col("snapshot_date") == F.lit(day).cast("date"))
-        version = stored.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0] + 1
-        merged = merge_snapshots(stored, merged)
-    write_snapshot_day(merged, root, day, version)
+    if newest_snapshots(spark, root, day):
+        merged = merge_snapshots(read_snapshots(spark, root, day), merged)
+    write_snapshot_day(merged, root, day, next_snapshot_version(spark, root, day))
     return read_snapshots(spark, root)

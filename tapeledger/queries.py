@@ -155,6 +155,10 @@ def accounts_append(spark, sf):
     return A.append_accounts(adapter.accounts(spark, sf), _new_account_records(spark, sf))
 
 
+def account_rejects(spark, sf):
+    return A.account_rejects(_new_account_records(spark, sf)).select("id", "reject_reason")
+
+
 def _requested_ids(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("id"))
 
@@ -285,7 +289,7 @@ def ea_curve_sample(spark, sf):
 
 
 def ea_ratings(spark, sf):
-    return R.ratings(R.full_metrics(_full_fee(spark, sf), EA), EA)
+    return R.ratings(R.full_metrics(_closed(spark, sf), EA), EA)
 
 
 def ea_best_worst_buckets(spark, sf):
@@ -296,6 +300,12 @@ def ea_daily_calendar(spark, sf):
     return B.daily_calendar(closed_strategy_trades(adapter.trades(spark, sf)), EA)
 
 
+def ea_daily_calendar_open(spark, sf):
+    """Trades still open count too, under the day they were opened."""
+    trades = closed_strategy_trades(adapter.trades(spark, sf), only_closed=False)
+    return B.daily_calendar(trades, EA)
+
+
 def ea_curve_pages(spark, sf):
     pages = R.curve_pages(_closed(spark, sf), EA, page_rows=1000)
     point = "concat(p.time, '=', coalesce(cast(cast(p.equity AS DECIMAL(18,2)) AS STRING), ''))"
@@ -339,14 +349,13 @@ def stream_metrics(spark, sf):
     return current_metrics(spark, job.metrics)
 
 
-def running_metrics(spark, sf):
+def _folded(history: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics from a state folded over two consecutive batches, cut at the start of 1997."""
-    history = _closed(spark, sf)
     border = F.expr("timestamp_ntz'1997-01-01'")
     before = history.where(F.col("close_time") < border)
     after = history.where(F.col("close_time") >= border)
-    state = durable(running.summarise(before, EA))
-    return running.running_metrics(running.advance(state, after, history, EA), EA)
+    state = durable(running.summarise(before, keys))
+    return running.running_metrics(running.advance(state, after, history, keys), keys)
 
 
 def running_metrics_late(spark, sf):
@@ -368,11 +377,13 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "trades_scan": trades_scan,
         "trades_filtered": trades_filtered,
         "trades_date_range": trades_date_range,
+        "trades_of_account": lambda s, d: scan(adapter.trades(s, d), account_id=7),
         "trades_enriched": trades_enriched,
         "closed_trades": closed_trades,
         "ea_split_counts": ea_split_counts,
         "active_accounts": active_accounts,
         "accounts_append": accounts_append,
+        "account_rejects": account_rejects,
         "accounts_deactivate": accounts_deactivate,
         "accounts_deactivate_missing": accounts_deactivate_missing,
         "account_badges": lambda s, d: A.badges(adapter.accounts(s, d)),
@@ -413,7 +424,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ea_drawdown_series": lambda s, d: P.drawdown_series(_closed(s, d), EA),
         "ea_curve_header": lambda s, d: P.curve_header(_closed(s, d), EA),
         "ea_curve_sample": ea_curve_sample,
-        "ea_curve_levels": lambda s, d: P.curve_levels(P.curve_sample(_full_fee(s, d), EA), EA),
+        "ea_curve_levels": lambda s, d: P.curve_levels(P.curve_sample(_closed(s, d), EA), EA),
         "ea_by_hour": lambda s, d: B.by_hour(_closed(s, d), EA),
         "ea_by_weekday": lambda s, d: B.by_weekday(_closed(s, d), EA).orderBy(
             "magic_number", "weekday_no"
@@ -422,6 +433,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ea_first_months": lambda s, d: B.first_months(_closed(s, d), EA),
         "ea_best_worst_buckets": ea_best_worst_buckets,
         "ea_daily_calendar": ea_daily_calendar,
+        "ea_daily_calendar_open": ea_daily_calendar_open,
         "ea_by_symbol": lambda s, d: R.by_symbol(_closed(s, d)),
         "ea_date_range": lambda s, d: S.date_range(_closed(s, d), EA),
         "ea_labels": lambda s, d: S.strategy_labels(_closed(s, d)),
@@ -451,7 +463,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ingest": stream_ingest,
         "stream_rejects": stream_rejects,
         "stream_metrics": stream_metrics,
-        "running_metrics": running_metrics,
+        "running_metrics": lambda s, d: _folded(_closed(s, d), EA),
+        "running_metrics_account": lambda s, d: _folded(_all_closed(s, d), ["account_id"]),
+        "running_metrics_pair": lambda s, d: _folded(_closed(s, d), ["magic_number", "symbol"]),
         "running_metrics_late": running_metrics_late,
     }
     return {name: _shown(build) for name, build in builders.items()}

@@ -3,7 +3,8 @@
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 4)
-PRICE = T.DecimalType(18, 6)
+# prices and volumes of any instrument, down to those quoted with twelve decimals
+PRICE = T.DecimalType(28, 12)
 
 # total order of one strategy's trades: close time, then storage sequence
 TRADE_ORDER = ("close_time", "id")
@@ -17,11 +18,11 @@ TRADES = T.StructType(
         T.StructField("comment", T.StringType()),
         T.StructField("symbol", T.StringType()),
         T.StructField("order_type", T.StringType()),
-        T.StructField("volume", MONEY),
+        T.StructField("volume", PRICE),
         T.StructField("open_price", PRICE),
         T.StructField("close_price", PRICE),
-        T.StructField("stop_loss", MONEY),
-        T.StructField("take_profit", MONEY),
+        T.StructField("stop_loss", PRICE),
+        T.StructField("take_profit", PRICE),
         T.StructField("open_time", T.TimestampNTZType()),
         T.StructField("close_time", T.TimestampNTZType()),
         T.StructField("profit", MONEY),
@@ -31,7 +32,7 @@ TRADES = T.StructType(
     ]
 )
 
-# columns a trade scan returns (account_id only selects, it is not read back)
+# Columns a trade scan returns (account_id only selects, it is not read back)
 SCAN_COLUMNS = [
     "id", "ticket", "magic_number", "comment", "symbol", "order_type", "volume", "open_price",
     "close_price", "stop_loss", "take_profit", "open_time", "close_time", "profit", "commission",
@@ -53,19 +54,19 @@ ACCOUNTS = T.StructType(
     ]
 )
 
-# An inbound trade as text, so that one bad field rejects one record and not the file.
+# Fixed names. An inbound trade as text, so that one bad field rejects one record and not the file.
 INBOUND_FIELDS = {
     "ticket": T.LongType(),
     "symbol": T.StringType(),
     "order_type": T.StringType(),
-    "volume": MONEY,
+    "volume": PRICE,
     "open_price": PRICE,
     "close_price": PRICE,
     "open_time": T.TimestampNTZType(),
     "close_time": T.TimestampNTZType(),
     "profit": MONEY,
-    "stop_loss": MONEY,
-    "take_profit": MONEY,
+    "stop_loss": PRICE,
+    "take_profit": PRICE,
     "commission": MONEY,
     "swap": MONEY,
     "magic_number": T.LongType(),
@@ -84,6 +85,7 @@ INBOUND = T.StructType(
 ACCOUNT_DEFAULTS = {"platform": "MT5", "initial_balance": 0.0}
 
 SNAPSHOT_KEY = ["magic_number", "snapshot_date"]
+# Fixed names, in the order of the stored table.
 SNAPSHOT_COLUMNS = [
     "magic_number", "snapshot_date", "total_trades", "winning_trades", "losing_trades",
     "win_rate_pct", "profit_factor", "total_net_profit", "gross_profit", "gross_loss", "avg_win",
@@ -91,7 +93,7 @@ SNAPSHOT_COLUMNS = [
     "max_drawdown_pct", "recovery_factor", "sharpe_ratio", "sortino_ratio", "calmar_ratio",
     "expectancy", "initial_balance", "final_balance", "return_pct",
 ]
-# the columns a second snapshot of the same day refreshes; the others keep their first value
+# Fixed names: the columns a second snapshot of the same day refreshes; the others keep their first value
 SNAPSHOT_REFRESHED = [
     "total_trades", "win_rate_pct", "profit_factor", "total_net_profit", "max_drawdown_pct",
     "sharpe_ratio", "return_pct", "final_balance",

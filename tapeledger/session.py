@@ -53,7 +53,7 @@ def estimated_bytes(df) -> int | None:
     """Catalyst's size estimate of a plan; None where the session does not expose it."""
     try:
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
+    except AttributeError:  # a Connect session has no plan object here
         return None
 
 

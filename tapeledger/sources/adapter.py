@@ -100,11 +100,13 @@ def as_inbound(items: DataFrame) -> DataFrame:
     """Line items as raw inbound text records, some of them faulty on purpose.
 
     Line number 7 with flag A carries an unknown order type, quantity 13 an unreadable volume,
-    discount 0 with line number 5 no symbol, and line number 4 with flag R an unknown key.
+    discount 0 with line number 5 no symbol, line number 4 with flag R an unknown key, and quantity
+    17 a profit of five decimals. Valid, but written differently: line number 3 has an opening price
+    of eight decimals, line number 2 an opening time with an offset, line number 1 a magic number
+    with a decimal point.
     """
     texts = [
-        "ticket", "open_price", "close_price", "open_time", "close_time", "profit", "stop_loss",
-        "take_profit", "commission", "swap", "magic_number",
+        "ticket", "close_price", "close_time", "stop_loss", "take_profit", "commission", "swap",
     ]
     return items.selectExpr(*TRADE, "l_linenumber AS line", "l_returnflag AS flag").selectExpr(
         f"CASE WHEN line = 4 AND flag = 'R' THEN 'unknown' ELSE {_api_key('account_id')} END AS api_key",
@@ -112,6 +114,11 @@ def as_inbound(items: DataFrame) -> DataFrame:
         "CASE WHEN line = 7 AND flag = 'A' THEN 'hold' WHEN flag = 'N' THEN 'buy' "
         "ELSE order_type END AS order_type",
         "CASE WHEN volume = 13 THEN 'n/a' ELSE cast(volume AS STRING) END AS volume",
+        "CASE WHEN line = 3 THEN concat(open_price, '12') ELSE cast(open_price AS STRING) END AS open_price",
+        "CASE WHEN line = 2 THEN concat(timestampadd(HOUR, 2, open_time), '+02:00') "
+        "ELSE cast(open_time AS STRING) END AS open_time",
+        "CASE WHEN volume = 17 THEN concat(profit, '1') ELSE cast(profit AS STRING) END AS profit",
+        "CASE WHEN line = 1 THEN concat(magic_number, '.0') ELSE cast(magic_number AS STRING) END AS magic_number",
         "coalesce(comment, '') AS comment",
         "received_at",
         *[f"cast({c} AS STRING) AS {c}" for c in texts],

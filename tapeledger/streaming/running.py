@@ -53,19 +53,22 @@ def advance(
     keys: list[str],
     policy: ChunkPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """State after a batch; history is the full prepared history including the batch."""
-    (key,) = keys
-    first = batch.groupBy(key).agg(F.expr("min(struct(close_time, id)) AS first_position"))
+    """State after a batch; history is the full prepared history including the batch.
+
+    Any keys do, pairs and NULL included. The summary of the batch, one row per key, is written
+    once, since fold reads it three times.
+    """
+    first = batch.groupBy(*keys).agg(F.expr("min(struct(close_time, id)) AS first_position"))
     late = (
-        first.join(state.select(key, LAST), key)
+        join_on_keys(first, state.select(*keys, LAST), keys)
         .where(f"first_position <= {LAST}")
-        .select(key)
+        .select(*keys)
     )
     late = durable(late)
     late_rows = late.count()
-    kept = state.join(late, key, "left_anti")
-    on_time = summarise(batch.join(late, key, "left_anti"), keys, policy)
-    again = summarise(restrict_to(history, late, late_rows), keys, policy)
+    kept = join_on_keys(state, late, keys, "left_anti")
+    on_time = durable(summarise(join_on_keys(batch, late, keys, "left_anti"), keys, policy))
+    again = summarise(restrict_to(history, late, late_rows, keys), keys, policy)
     columns = state.columns
     return fold(kept, on_time, keys).select(*columns).unionByName(again.select(*columns))
 

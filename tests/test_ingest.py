@@ -1,6 +1,7 @@
 """Validation, account lookup, duplicates, and the stream against the batch."""
 
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 
@@ -45,6 +46,43 @@ def test_validation(make_inbound):
     assert [t for t, r in rows.items() if r.is_valid] == [1, 6]
 
 
+def test_nothing_is_rounded_on_the_way_in(make_inbound):
+    """A value is stored as it was sent, or the record is refused."""
+    rows = by_ticket(
+        I.validate(
+            make_inbound(
+                [
+                    {"close_price": "0.00000012", "volume": "1e-7", "stop_loss": "1.08345"},
+                    {"profit": "1.00005"},
+                    {"profit": "1.50000", "commission": "-2.5e-1"},
+                    {"close_price": "0.0000000000001"},
+                    {"open_time": "2024-01-01T10:00:00+02:00", "close_time": "2024-01-01T10:00:00Z"},
+                    {"ticket": "6.0", "magic_number": "7.50"},
+                    {"ticket": "7.0", "magic_number": "70e0"},
+                    {"volume": "1e30", "profit": "NaN"},
+                    {"open_time": "2024-13-01T10:00:00+02:00"},
+                ]
+            )
+        )
+    )
+    assert rows[1].is_valid and rows[1].close_price == Decimal("0.00000012")
+    assert rows[1].volume == Decimal("1e-7") and rows[1].stop_loss == Decimal("1.08345")
+    assert rows[2].reject_reason == ["profit: more than 4 decimals"]
+    assert rows[3].is_valid and (rows[3].profit, rows[3].commission) == (Decimal("1.5"), Decimal("-0.25"))
+    assert rows[4].reject_reason == ["close_price: more than 12 decimals"]
+    assert rows[5].open_time == datetime(2024, 1, 1, 8) and rows[5].close_time == datetime(2024, 1, 1, 10)
+    assert rows[6].reject_reason == ["magic_number: not a whole number"]
+    assert rows[7].is_valid and rows[7].magic_number == 70
+    assert rows[8].reject_reason == ["volume: not a number", "profit: not a number"]
+    assert rows[9].reject_reason == ["open_time: not a time"]
+
+
+def test_key_of_two_accounts_is_the_first_ones(make_inbound, make_accounts):
+    accounts = make_accounts([{"id": 2, "api_key": "key1"}, {"id": 1}, {"id": 3, "is_active": False}])
+    records = I.resolve_account(I.valid(I.validate(make_inbound([{}]))), accounts)
+    assert [r.account_id for r in records.collect()] == [1]
+
+
 def test_accounts_and_duplicates(make_inbound, make_accounts, make_trades):
     accounts = make_accounts([{"id": 1}, {"id": 2}, {"id": 3, "is_active": False}])
     checked = I.valid(
@@ -182,3 +220,19 @@ def test_running_state_equals_recompute(spark, make_trades, tmp_path):
         got = {r.magic_number: r for r in running.running_metrics(state, KEY).collect()}
         want = {r.magic_number: r for r in full_metrics(history, KEY).collect()}
         assert got == want, number
+
+
+def test_running_state_takes_pairs_and_null_keys(make_trades):
+    keys = ["magic_number", "symbol"]
+    rows = [
+        {"magic_number": None if i % 3 == 0 else i % 3, "symbol": None if i % 2 else "EURUSD", "profit": i * 7 % 11 - 5}
+        for i in range(1, 40)
+    ]
+    # the last rows close before some of the first ones did
+    rows[30:] = [r | {"close_time": f"2024-01-01T0{i % 9}:30:00"} for i, r in enumerate(rows[30:])]
+    history = prepare(make_trades(rows))
+    batch = history.where("id > 20")
+    state = running.advance(running.summarise(history.where("id <= 20"), keys), batch, history, keys)
+    got = {tuple(r[k] for k in keys): r for r in running.running_metrics(state, keys).collect()}
+    want = {tuple(r[k] for k in keys): r for r in full_metrics(history, keys).collect()}
+    assert got == want and len(got) == 6

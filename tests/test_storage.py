@@ -7,7 +7,7 @@ from tapeledger.operators.enrich import prepare
 from tapeledger.plans.jobs import run_snapshot
 from tapeledger.plans.snapshot import merge_snapshots, snapshot_rows
 from tapeledger.schema import SNAPSHOT_COLUMNS, SNAPSHOT_REFRESHED
-from tapeledger.sources.sinks import write_trades
+from tapeledger.sources.sinks import read_snapshots, write_trades
 from tapeledger.sources.trades import load_trades, read_trades, scan
 
 
@@ -63,6 +63,23 @@ def test_snapshot_job_is_idempotent_and_keeps_other_days(spark, make_trades, tmp
     assert grown.count() == 3
 
 
+def test_snapshot_job_survives_a_run_that_died(spark, make_trades, tmp_path):
+    """Leftovers of an unfinished version: of the first run of a day, and after a good one."""
+    root = tmp_path / "metrics"
+    trades = make_trades([{"profit": 10}, {"profit": -4}])
+    for day, version in (("2024-05-01", 1), ("2024-05-02", 2)):
+        if version == 2:
+            run_snapshot(spark, trades, str(root), day)
+        left = root / f"snapshot_date={day}" / f"version={version}"
+        (left / "_temporary" / "0").mkdir(parents=True)
+        (left / "part-0.parquet").write_bytes(b"half a file")
+        if version == 2:  # readers keep to the published version
+            assert [r.version for r in read_snapshots(spark, str(root), day).collect()] == [1]
+        run_snapshot(spark, trades, str(root), day)
+        assert [r.version for r in read_snapshots(spark, str(root), day).collect()] == [version + 1]
+    assert read_snapshots(spark, str(root)).count() == 2
+
+
 def test_account_maintenance(spark, make_accounts):
     accounts = make_accounts([{"id": 1}, {"id": 2, "phase": "Fase 2"}, {"id": 3, "type": "Propfirm", "phase": ""}])
     ids = spark.createDataFrame([(2,), (2,), (9,)], "id long")
@@ -76,3 +93,7 @@ def test_account_maintenance(spark, make_accounts):
     assert sorted(grown) == [1, 2, 3, 4]
     assert grown[4].platform == "MT5" and grown[4].initial_balance == 0 and grown[4].is_active
     assert [r.id for r in A.active_accounts(accounts, account_id=2).collect()] == [2]
+    refused = make_accounts([{"id": 4}, {"id": 5, "type": "Hedge"}, {"id": 6, "type": "Hedge", "name": None}])
+    assert {r.id: r.reject_reason for r in A.account_rejects(refused).collect()} == {
+        5: ["type: unknown"], 6: ["name: missing", "type: unknown"],
+    }
