@@ -106,10 +106,12 @@ def dashboard_totals(overview: DataFrame) -> DataFrame:
 
 
 def account_equity_curve(trades: DataFrame, policy: ChunkPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Cumulative gross profit per account; trades closing at the same time share a value."""
+    """Cumulative gross profit per account; trades closing at the same time share a value.
+
+    (account_id, date, id) is the order of the curve."""
     rows = trades.select("account_id", "close_time", "id", "profit")
     return running_total_by_time(rows, ["account_id"], "profit", policy=policy).selectExpr(
-        "account_id", "close_time AS date", "profit", "cumulative AS cumulative_profit"
+        "account_id", "id", "close_time AS date", "profit", "cumulative AS cumulative_profit"
     )
 
 

@@ -392,7 +392,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "account_strategy_totals": lambda s, d: A.strategy_totals(
             A.account_strategies(adapter.trades(s, d))
         ),
-        "account_equity_curve": _account_curve,
+        "account_equity_curve": lambda s, d: _account_curve(s, d).orderBy(
+            "account_id", F.col("date").asc_nulls_last(), "id"
+        ),
         "account_curve_range": account_curve_range,
         "account_full_metrics": lambda s, d: R.full_metrics(_all_closed(s, d), ["account_id"]),
         "dashboard_totals": lambda s, d: A.dashboard_totals(_overview(s, d)),
