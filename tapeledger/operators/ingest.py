@@ -133,21 +133,6 @@ def unknown_keys(records: DataFrame, accounts: DataFrame) -> DataFrame:
     return records.join(_active_keys(accounts), "api_key", "left_anti")
 
 
-def first_arrivals(batch: DataFrame) -> DataFrame:
-    """One trade per (account, ticket): the first to arrive, then the smallest record.
-
-    min over one struct is map-side combined, so a key repeated millions of times reaches the
-    reducer as one row per map task.
-    """
-    rest = [c for c in batch.columns if c not in TRADE_KEY + ["received_at"]]
-    record = f"min(struct({listed(['received_at', *rest])})) AS first"
-    return (
-        batch.groupBy(*TRADE_KEY)
-        .agg(F.expr(record))
-        .selectExpr(*[f"`{c}`" if c in TRADE_KEY else f"first.`{c}`" for c in batch.columns])
-    )
-
-
 def stored_keys(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
     """Stored (account, ticket) keys the batch has to be compared with.
 
@@ -161,21 +146,38 @@ def stored_keys(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFra
     return keys.join(F.broadcast(batch.select(*TRADE_KEY).distinct()), TRADE_KEY, "left_semi")
 
 
+def settle(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
+    """Per (account, ticket) of the batch: its first record, how many came, and whether it is stored (known).
+
+    The first record is the first to arrive, then the smallest. min over one struct is map-side
+    combined, so a key repeated millions of times reaches the reducer as one row per map task.
+    """
+    rest = [c for c in batch.columns if c not in TRADE_KEY + ["received_at"]]
+    per_key = batch.groupBy(*TRADE_KEY).agg(
+        F.expr(f"min(struct({listed(['received_at', *rest])})) AS first"), F.expr("count(1) AS received")
+    )
+    known = stored_keys(batch, stored, batch_rows).distinct().selectExpr("*", "true AS known")
+    return per_key.join(known, TRADE_KEY, "left")
+
+
+def settled_trades(settled: DataFrame) -> DataFrame:
+    """Trades to append: the first record of each key that is not stored yet."""
+    return settled.where("known IS NULL").selectExpr(*TRADE_KEY, "first.*")
+
+
+def settled_status(settled: DataFrame) -> DataFrame:
+    """Per (account, ticket): how many records were stored (0 or 1) and how many were duplicates."""
+    return settled.selectExpr(
+        *TRADE_KEY, "received", "CASE WHEN known THEN 0L ELSE 1L END AS ok"
+    ).selectExpr("*", "received - ok AS duplicate")
+
+
 def new_trades(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
-    """Trades of the batch to append: first of their key, and the key not stored yet."""
-    known = stored_keys(batch, stored, batch_rows)
-    return first_arrivals(batch).join(known, TRADE_KEY, "left_anti")
+    return settled_trades(settle(batch, stored, batch_rows)).select(*batch.columns)
 
 
 def ingest_status(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
-    """Per (account, ticket): how many records were stored (0 or 1) and how many were duplicates."""
-    per_key = batch.groupBy(*TRADE_KEY).agg(F.expr("count(1) AS received"))
-    known = stored_keys(batch, stored, batch_rows).distinct().selectExpr("*", "1L AS known")
-    return (
-        per_key.join(known, TRADE_KEY, "left")
-        .selectExpr(*TRADE_KEY, "received", "1 - coalesce(known, 0L) AS ok")
-        .selectExpr("*", "received - ok AS duplicate")
-    )
+    return settled_status(settle(batch, stored, batch_rows))
 
 
 def ingest_totals(status: DataFrame) -> DataFrame:

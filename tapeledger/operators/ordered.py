@@ -173,9 +173,29 @@ _SUMMARY = [
 PATH_FIELDS = [text.rsplit(" ", 1)[1] for text in _SUMMARY]
 
 
-def chunk_summaries(chunked: Chunked, path: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Extra:
+    """One more figure of the path pass: its column, its value in a chunk, its value over the chunks."""
+
+    name: str
+    chunk: str
+    merged: str
+    carry: tuple[str, ...] = ()
+
+
+# the first non-missing comment in close order
+FIRST_COMMENT = Extra(
+    "comment",
+    "min_by(comment, CASE WHEN comment IS NOT NULL THEN rn END) AS comment",
+    f"min_by(comment, CASE WHEN comment IS NOT NULL THEN `{CHUNK}` END) AS comment",
+    ("comment",),
+)
+
+
+def chunk_summaries(chunked: Chunked, path: DataFrame, extras: tuple[Extra, ...] = ()) -> DataFrame:
     """One row per (key, chunk): all a later chunk or the final figures need."""
-    out = path.groupBy(*chunked.parts).agg(*[F.expr(e) for e in _SUMMARY])
+    wanted = [*_SUMMARY, *[extra.chunk for extra in extras]]
+    out = path.groupBy(*chunked.parts).agg(*[F.expr(e) for e in wanted])
     return out if chunked.split else out.selectExpr("*", f"0 AS `{CHUNK}`")
 
 
@@ -201,13 +221,13 @@ def _money(text: str) -> str:
     return f"cast({text} AS DECIMAL(38,4))"
 
 
-def merge(summaries: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold the chunks of a key, in chunk order, into one summary of the same shape.
+def placed(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks with their figures measured from the start of the key.
 
     The deepest point of a chunk is either its own (peak inside the chunk) or its lowest equity
     measured from the peak before the chunk; of equal depths the earlier row counts.
     """
-    placed = with_history(summaries, keys).selectExpr(
+    return with_history(summaries, keys).selectExpr(
         "*",
         f"{_money('off_sum + lo.eq')} AS low",
         "off_n + lo.rn AS low_at",
@@ -224,24 +244,32 @@ def merge(summaries: DataFrame, keys: list[str]) -> DataFrame:
         "CASE WHEN prior_peak IS NOT NULL AND low IS NOT NULL THEN named_struct("
         f"'dd', {_money('low - prior_peak')}, 'rn', low_at, 'eq', low) END AS carried",
     )
-    folded = [
-        "sum(n) AS n",
-        f"{_money('sum(total)')} AS total",
-        f"{_money('max(off_sum + hi)')} AS hi",
-        "min(CASE WHEN low IS NOT NULL THEN named_struct('eq', low, 'rn', low_at) END) AS lo",
-        "min(least(inside, carried)) AS deep",
-        f"max_by(last_missing, `{CHUNK}`) AS last_missing",
-        "min(off_n + first_loss) AS first_loss",
-        "max(off_n + last_loss) AS last_loss",
-        "min(off_n + first_win) AS first_win",
-        "max(off_n + last_win) AS last_win",
-        "max(greatest(win_run, lead_win)) AS win_run",
-        "max(greatest(loss_run, lead_loss)) AS loss_run",
-    ]
-    return placed.groupBy(*keys).agg(*[F.expr(e) for e in folded])
 
 
-def figures(summary: DataFrame, keys: list[str]) -> DataFrame:
+# over the rows of ``placed``
+FOLDED_PATH = [
+    "sum(n) AS n",
+    f"{_money('sum(total)')} AS total",
+    f"{_money('max(off_sum + hi)')} AS hi",
+    "min(CASE WHEN low IS NOT NULL THEN named_struct('eq', low, 'rn', low_at) END) AS lo",
+    "min(least(inside, carried)) AS deep",
+    f"max_by(last_missing, `{CHUNK}`) AS last_missing",
+    "min(off_n + first_loss) AS first_loss",
+    "max(off_n + last_loss) AS last_loss",
+    "min(off_n + first_win) AS first_win",
+    "max(off_n + last_win) AS last_win",
+    "max(greatest(win_run, lead_win)) AS win_run",
+    "max(greatest(loss_run, lead_loss)) AS loss_run",
+]
+
+
+def merge(summaries: DataFrame, keys: list[str], extras: tuple[Extra, ...] = ()) -> DataFrame:
+    """Fold the chunks of a key, in chunk order, into one summary of the same shape."""
+    wanted = [*FOLDED_PATH, *[extra.merged for extra in extras]]
+    return placed(summaries, keys).groupBy(*keys).agg(*[F.expr(e) for e in wanted])
+
+
+def figures(summary: DataFrame, keys: list[str], extras: tuple[Extra, ...] = ()) -> DataFrame:
     """Path figures of a merged summary."""
     ends_in_win = "coalesce(last_win = n, false)"
     return summary.selectExpr(
@@ -255,23 +283,34 @@ def figures(summary: DataFrame, keys: list[str]) -> DataFrame:
         "loss_run AS max_loss_run",
         f"n - coalesce(CASE WHEN {ends_in_win} THEN last_loss ELSE last_win END, 0) AS current_run",
         f"CASE WHEN {ends_in_win} THEN 'win' ELSE 'loss' END AS current_type",
+        *[extra.name for extra in extras],
     )
 
 
 def path_summary(
-    prepared: DataFrame, keys: list[str], policy: ChunkPolicy = DEFAULT_POLICY
+    prepared: DataFrame,
+    keys: list[str],
+    policy: ChunkPolicy = DEFAULT_POLICY,
+    extras: tuple[Extra, ...] = (),
 ) -> DataFrame:
-    """The merged path summary of every key, one row each."""
-    rows = prepared.selectExpr(*quoted(keys), *quoted(TRADE_ORDER), "net_profit", "is_win")
+    """The merged path summary of every key, one row each.
+
+    The rows of a chunk are sorted for its windows, so extras cost neither a scan nor a sort.
+    """
+    carried = quoted(dict.fromkeys(c for extra in extras for c in extra.carry))
+    rows = prepared.selectExpr(*quoted(keys), *quoted(TRADE_ORDER), "net_profit", "is_win", *carried)
     chunked = chunk_rows(rows, keys, policy=policy)
-    return merge(chunk_summaries(chunked, local_path(chunked)), keys)
+    return merge(chunk_summaries(chunked, local_path(chunked), extras), keys, extras)
 
 
 def path_figures(
-    prepared: DataFrame, keys: list[str], policy: ChunkPolicy = DEFAULT_POLICY
+    prepared: DataFrame,
+    keys: list[str],
+    policy: ChunkPolicy = DEFAULT_POLICY,
+    extras: tuple[Extra, ...] = (),
 ) -> DataFrame:
     """Drawdown and run figures of every key, one row each."""
-    return figures(path_summary(prepared, keys, policy), keys)
+    return figures(path_summary(prepared, keys, policy, extras), keys, extras)
 
 
 def path_rows(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tapeledger.functions.numeric import INF, half_even, listed, quoted, ratio
+from tapeledger.operators.joins import join_on_keys
+
+LABEL = "coalesce(comment, concat('EA ', magic_number))"
 
 # Every buffer is fixed width, so this hash-aggregates.
 _STATISTICS = [
@@ -36,12 +39,11 @@ def trade_stats(prepared: DataFrame, keys: list[str]) -> DataFrame:
     return prepared.groupBy(*keys).agg(*[F.expr(e) for e in _STATISTICS])
 
 
-def merge_stats(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Fold statistics of disjoint trade sets, rows of trade_stats, into one row per key."""
+def with_squares(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of trade_stats with their sums of squares around the common mean of their key."""
     whole = f"OVER (PARTITION BY {listed(keys)})"
 
     def around_common_mean(count: str, total: str, std: str) -> str:
-        """Sum of squares around the mean of all parts."""
         own = f"cast({total} AS DOUBLE) / nullif({count}, 0)"
         shared = f"cast(sum({total}) {whole} AS DOUBLE) / nullif(sum({count}) {whole}, 0)"
         return (
@@ -49,33 +51,33 @@ def merge_stats(parts: DataFrame, keys: list[str]) -> DataFrame:
             f"coalesce({count} * pow({own} - {shared}, 2), 0D)"
         )
 
-    def std(count: str, squares: str) -> str:
-        return f"CASE WHEN sum({count}) > 1 THEN sqrt(sum({squares}) / (sum({count}) - 1)) END"
-
-    counts = ["n", "n_net", "n_win", "n_loss_net", "n_down", "n_timed"]
-    sums = ["net", "win_net", "loss_net", "down_net", "commissions", "swaps"]
-    folded = [
-        *[f"sum({c}) AS {c}" for c in counts],
-        *[f"cast(sum({c}) AS DECIMAL(38,4)) AS {c}" for c in sums],
-        "max(best) AS best",
-        "min(worst) AS worst",
-        "CASE WHEN sum(n_timed) > 0 THEN sum(duration * n_timed) / sum(n_timed) END AS duration",
-        f"{std('n_net', 'squares')} AS std",
-        f"{std('n_down', 'down_squares')} AS down_std",
-        "min(first_open) AS first_open",
-        "max(last_close) AS last_close",
-    ]
-    return (
-        parts.selectExpr(
-            "*",
-            f"{around_common_mean('n_net', 'net', 'std')} AS squares",
-            f"{around_common_mean('n_down', 'down_net', 'down_std')} AS down_squares",
-        )
-        .groupBy(*keys)
-        .agg(*[F.expr(e) for e in folded])
+    return parts.selectExpr(
+        "*",
+        f"{around_common_mean('n_net', 'net', 'std')} AS squares",
+        f"{around_common_mean('n_down', 'down_net', 'down_std')} AS down_squares",
     )
 
 
+def _std(count: str, squares: str) -> str:
+    return f"CASE WHEN sum({count}) > 1 THEN sqrt(sum({squares}) / (sum({count}) - 1)) END"
+
+
+STATS_COUNTS = ["n", "n_net", "n_win", "n_loss_net", "n_down", "n_timed"]
+STATS_SUMS = ["net", "win_net", "loss_net", "down_net", "commissions", "swaps"]
+# over the rows of ``with_squares``: statistics of disjoint trade sets as those of their union
+FOLDED_STATS = [
+    *[f"sum({c}) AS {c}" for c in STATS_COUNTS],
+    *[f"cast(sum({c}) AS DECIMAL(38,4)) AS {c}" for c in STATS_SUMS],
+    "max(best) AS best",
+    "min(worst) AS worst",
+    "CASE WHEN sum(n_timed) > 0 THEN sum(duration * n_timed) / sum(n_timed) END AS duration",
+    f"{_std('n_net', 'squares')} AS std",
+    f"{_std('n_down', 'down_squares')} AS down_std",
+    "min(first_open) AS first_open",
+    "max(last_close) AS last_close",
+]
+
+
 # --- expressions over the columns of trade_stats -------------------------------------------
 
 _MEANS = [
@@ -186,19 +188,24 @@ def date_range(prepared: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_comment(prepared: DataFrame, keys: list[str]) -> DataFrame:
-    """First non-missing comment in close order; keys without any are absent."""
+    """First non-missing comment in close order; keys without any are absent.
+
+    The first instant of a key is a fixed-width buffer, so no trade is sorted for it; only the
+    trades of that instant are compared by id.
+    """
+    commented = prepared.where("comment IS NOT NULL").select(*keys, "close_time", "id", "comment")
+    first = commented.groupBy(*keys).agg(F.expr("min(close_time) AS close_time"))
     return (
-        prepared.where("comment IS NOT NULL")
+        join_on_keys(commented, first, [*keys, "close_time"], "left_semi")
         .groupBy(*keys)
-        .agg(F.expr("min_by(comment, struct(close_time, id)) AS comment"))
+        .agg(F.expr("min_by(comment, id) AS comment"))
     )
 
 
 def strategy_labels(prepared: DataFrame) -> DataFrame:
     """magic_number, comment and display name ``EA <magic>`` where no comment exists."""
-    first = "min_by(comment, CASE WHEN comment IS NOT NULL THEN struct(close_time, id) END)"
-    return (
-        prepared.groupBy("magic_number")
-        .agg(F.expr(f"{first} AS comment"))
-        .selectExpr("*", "coalesce(comment, concat('EA ', magic_number)) AS ea_name")
+    keys = ["magic_number"]
+    every = prepared.select(*keys).distinct()
+    return join_on_keys(every, first_comment(prepared, keys), keys, "left").selectExpr(
+        "*", f"{LABEL} AS ea_name"
     )

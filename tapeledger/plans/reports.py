@@ -11,7 +11,9 @@ from tapeledger.operators import path as P
 from tapeledger.operators import stats as S
 from tapeledger.operators.enrich import iso_time
 from tapeledger.operators.joins import join_on_keys
-from tapeledger.operators.ordered import DEFAULT_POLICY, ChunkPolicy, path_figures
+from tapeledger.operators.ordered import (
+    DEFAULT_POLICY, FIRST_COMMENT, ChunkPolicy, Extra, path_figures,
+)
 
 EA = ["magic_number"]
 
@@ -32,11 +34,12 @@ def with_metrics(
     keys: list[str],
     initial: float | str = P.INITIAL_BALANCE,
     risk_free_rate: float = 0.0,
+    extras: tuple[Extra, ...] = (),
 ) -> DataFrame:
     """All summary and advanced figures, from statistics and path figures of the keys."""
     both = join_on_keys(stats, figures.drop("n"), keys)
     measured = P.with_drawdown(S.with_ratios(both, risk_free_rate), initial)
-    return measured.selectExpr(*quoted(keys), *FULL)
+    return measured.selectExpr(*quoted(keys), *FULL, *[extra.name for extra in extras])
 
 
 def full_metrics(
@@ -45,15 +48,16 @@ def full_metrics(
     initial: float | str = P.INITIAL_BALANCE,
     risk_free_rate: float = 0.0,
     policy: ChunkPolicy = DEFAULT_POLICY,
+    extras: tuple[Extra, ...] = (),
 ) -> DataFrame:
-    """All summary and advanced figures of every key.
+    """All summary and advanced figures of every key, and the extras of its path pass.
 
     The order-free half is combined map-side and moves one row per key and task; only the
     narrow path half (key, order, net) is shuffled row by row.
     """
     stats = S.trade_stats(prepared, keys)
-    figures = path_figures(prepared, keys, policy)
-    return with_metrics(stats, figures, keys, initial, risk_free_rate)
+    figures = path_figures(prepared, keys, policy, extras)
+    return with_metrics(stats, figures, keys, initial, risk_free_rate, extras)
 
 
 def strategy_summary(
@@ -62,8 +66,8 @@ def strategy_summary(
     policy: ChunkPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """One line per strategy: name, headline figures, date range."""
-    metrics = full_metrics(prepared, EA, initial, policy=policy)
-    return join_on_keys(metrics, S.first_comment(prepared, EA), EA, "left").selectExpr(
+    metrics = full_metrics(prepared, EA, initial, policy=policy, extras=(FIRST_COMMENT,))
+    return metrics.selectExpr(
         "magic_number",
         "comment",
         "total_trades",
@@ -153,8 +157,8 @@ def report_documents(
     The curve of a strategy has one point per trade and no bound; it is delivered in pages of a
     fixed size by curve_pages.
     """
-    metrics = full_metrics(prepared, EA, initial, policy=policy)
-    named = join_on_keys(metrics, S.strategy_labels(prepared).drop("comment"), EA)
+    metrics = full_metrics(prepared, EA, initial, policy=policy, extras=(FIRST_COMMENT,))
+    named = metrics.selectExpr("*", f"{S.LABEL} AS ea_name")
     whole = join_on_keys(named, time_analysis(prepared, EA), EA)
     sections = [
         "magic_number",

@@ -15,35 +15,52 @@ from tapeledger.operators import stats as S
 from tapeledger.operators.ingest import restrict_to
 from tapeledger.operators.joins import join_on_keys
 from tapeledger.operators.ordered import (
-    CHUNK, DEFAULT_POLICY, PATH_FIELDS, ChunkPolicy, figures, merge, path_summary,
+    CHUNK, DEFAULT_POLICY, FOLDED_PATH, PATH_FIELDS, ChunkPolicy, Extra, figures, path_summary, placed,
 )
 from tapeledger.session import durable
 from tapeledger.plans.reports import with_metrics
 
 LAST = "last_position"
+_LAST = Extra(
+    LAST,
+    f"max_by(struct(close_time, id), rn) AS {LAST}",
+    f"max_by({LAST}, `{CHUNK}`) AS {LAST}",
+)
+_PATH = f"struct({listed(PATH_FIELDS)}) AS path"
+# types of a stored state do not depend on how it came about
+_STATS = [
+    f"cast({c} AS DECIMAL(38,4)) AS {c}" if c in S.STATS_SUMS else c for c in S.STATS_FIELDS
+]
 
 
 def summarise(
     prepared: DataFrame, keys: list[str], policy: ChunkPolicy = DEFAULT_POLICY
 ) -> DataFrame:
     """State of every key: statistics, path summary and position of the last trade."""
-    stats = S.trade_stats(prepared, keys)
-    path = path_summary(prepared, keys, policy).selectExpr(
-        *quoted(keys), f"struct({listed(PATH_FIELDS)}) AS path"
-    )
-    last = prepared.groupBy(*keys).agg(F.expr(f"max(struct(close_time, id)) AS {LAST}"))
-    return join_on_keys(join_on_keys(stats, path, keys), last, keys)
+    stats = S.trade_stats(prepared, keys).selectExpr(*quoted(keys), *_STATS)
+    path = path_summary(prepared, keys, policy, (_LAST,)).selectExpr(*quoted(keys), _PATH, LAST)
+    return join_on_keys(stats, path, keys)
 
 
 def fold(earlier: DataFrame, later: DataFrame, keys: list[str]) -> DataFrame:
-    """State after both: every trade of ``later`` closes after those of ``earlier``."""
-    both = earlier.withColumn(CHUNK, F.lit(0)).unionByName(later.withColumn(CHUNK, F.lit(1)))
-    stats = S.merge_stats(both.select(*keys, *S.STATS_FIELDS), keys)
-    path = merge(both.select(*keys, CHUNK, "path.*"), keys).selectExpr(
-        *quoted(keys), f"struct({listed(PATH_FIELDS)}) AS path"
+    """State after both: every trade of ``later`` closes after those of ``earlier``.
+
+    One shuffle by the keys serves the windows and the aggregate. Statistics and path share the
+    count of trades, so it is folded once.
+    """
+    path = [f"path.{name}" for name in PATH_FIELDS if name != "n"]
+    both = (
+        earlier.withColumn(CHUNK, F.lit(0))
+        .unionByName(later.withColumn(CHUNK, F.lit(1)))
+        .selectExpr(*quoted(keys), f"`{CHUNK}`", *S.STATS_FIELDS, *path, LAST)
+    )
+    wanted = [*S.FOLDED_STATS, *[e for e in FOLDED_PATH if not e.endswith(" AS n")], _LAST.merged]
+    return (
+        placed(S.with_squares(both, keys), keys)
+        .groupBy(*keys)
+        .agg(*[F.expr(e) for e in wanted])
+        .selectExpr(*quoted(keys), *_STATS, _PATH, LAST)
     )
-    last = both.groupBy(*keys).agg(F.expr(f"max({LAST}) AS {LAST}"))
-    return join_on_keys(join_on_keys(stats, path, keys), last, keys)
 
 
 def advance(
@@ -55,22 +72,22 @@ def advance(
 ) -> DataFrame:
     """State after a batch; history is the full prepared history including the batch.
 
-    Any keys do, pairs and NULL included. The summary of the batch, one row per key, is written
-    once, since fold reads it three times.
+    Any keys do, pairs and NULL included. The history is read for keys with late trades only, and
+    not at all where there are none.
     """
     first = batch.groupBy(*keys).agg(F.expr("min(struct(close_time, id)) AS first_position"))
-    late = (
+    late = durable(
         join_on_keys(first, state.select(*keys, LAST), keys)
         .where(f"first_position <= {LAST}")
         .select(*keys)
     )
-    late = durable(late)
     late_rows = late.count()
+    if not late_rows:
+        return fold(state, summarise(batch, keys, policy), keys)
     kept = join_on_keys(state, late, keys, "left_anti")
-    on_time = durable(summarise(join_on_keys(batch, late, keys, "left_anti"), keys, policy))
+    on_time = summarise(join_on_keys(batch, late, keys, "left_anti"), keys, policy)
     again = summarise(restrict_to(history, late, late_rows, keys), keys, policy)
-    columns = state.columns
-    return fold(kept, on_time, keys).select(*columns).unionByName(again.select(*columns))
+    return fold(kept, on_time, keys).unionByName(again)
 
 
 def running_metrics(
