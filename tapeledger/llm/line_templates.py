@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import BLANKS, WORD, release, same, staged, table, text_or_empty
+from .common import BLANKS, WORD, clustered, release, staged, table, text_or_empty
 
 LEADING = 3
 MIN_TOKENS = 4
@@ -18,7 +18,7 @@ FIXED_SHARE = 0.5
 WHOLE_SHARE = 0.5
 FIELD = "<*>"
 DIGIT_TOKEN = f"[^{BLANKS}]*[0-9][^{BLANKS}]*"
-KEY = ["doc_id", "tag"]
+KEY = ["__id", "__tag"]
 LINE = ["line_a", "line_b"]
 
 
@@ -30,10 +30,16 @@ def _tokens(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt by document: __id is never null, __tag tells texts and missing ids apart, so plain equality joins."""
+    none = F.lit("0").cast(docs.schema["doc_id"].dataType)
+    tag = F.xxhash64(text_or_empty(), F.col("doc_id").isNull())
+    return clustered(docs.withColumns({"__id": F.coalesce("doc_id", none), "__tag": tag}), KEY, "keyed-documents")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, line_no, n tokens, leaf and the two digests of each masked line; a line here is what lies between line feeds."""
-    text = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tag"), text_or_empty().alias("text"))
-    cut = text.select(*KEY, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """Key, line_no, n tokens, leaf and the two digests of each masked line; a line here is what lies between line feeds."""
+    cut = docs.select(*KEY, F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
     cut = cut.select(*KEY, "line_no", _masked(F.col("line")).alias("line")).select("*", _tokens(F.col("line")).alias("tokens"))
     path = [F.get("tokens", F.lit(i)) for i in range(LEADING)]
     joined = F.array_join("tokens", " ")
@@ -57,8 +63,8 @@ def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, fixed_share: fl
     distinct = staged(distinct.select("leaf", *LINE, "docs", "at.*"), "distinct-lines")
     # the text of one line of each kind, from the document where it stands
     wanted = distinct.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "leaf", *LINE, "docs")).alias("wanted"))
-    text = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("tag"), text_or_empty().alias("text"))
-    held = same(text, wanted, KEY).select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
+    held = docs.select(*KEY, text_or_empty().alias("text")).join(wanted, KEY)
+    held = held.select(F.split("text", "\n", -1).alias("all"), F.explode("wanted").alias("w"))
     held = held.select("w.leaf", "w.line_a", "w.line_b", "w.docs", _tokens(_masked(F.get("all", F.col("w.line_no")))).alias("tokens")).distinct()
     tokens = held.select("leaf", *LINE, "docs", F.posexplode("tokens").alias("at", "token"))
     tokens = staged(tokens, "line-tokens")
@@ -74,7 +80,7 @@ def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, fixed_share: fl
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, fixed_share: float = FIXED_SHARE,
                     whole_share: float = WHOLE_SHARE) -> DataFrame:
-    """doc_id, tag, n_lines, dropped (line numbers from 0, null for none), whole (the document is left as it is)."""
+    """Of the documents of ``keyed``: key, n_lines, dropped (line numbers from 0, null for none), whole (left as it is)."""
     lines = staged(_lines(docs), "lines")
     useful = lines.where(F.col("n") >= min_tokens)
     kinds = staged(_templates(docs, useful, min_docs, fixed_share), "templates")
@@ -86,7 +92,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
         F.sort_array(F.collect_list("line_no")).alias("dropped"), F.sum("n").alias("lost"))
     totals = lines.groupBy(*KEY, "line_no").agg(F.max("n").alias("n")).groupBy(*KEY).agg(
         F.count("*").alias("n_lines"), F.sum("n").alias("words"))
-    out = same(totals, drops, KEY, "left")
+    out = totals.join(drops, KEY, "left")
     whole = F.coalesce(F.col("lost") > whole_share * F.col("words"), F.lit(False))
     return out.select(*KEY, "n_lines", F.when(~whole, F.col("dropped")).alias("dropped"), whole.alias("whole"))
 
@@ -100,15 +106,15 @@ def drop_templates(docs: DataFrame, **parameters) -> DataFrame:
     Rows that repeat doc_id and text count as one document and share their result; a null doc_id is an id like any other.
     An empty table gives no row. Input columns named like the added ones are replaced; others pass through.
     """
-    marks = staged(recurring_lines(docs, **parameters), "line-marks")
-    keyed = docs.drop("n_lines", "n_dropped", "whole").withColumn("__tag", F.xxhash64(text_or_empty()))
-    marks = marks.withColumnsRenamed({"doc_id": "__id", "tag": "__mark", "dropped": "__dropped"})
-    out = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["__id"]) & (keyed["__tag"] == marks["__mark"]))
+    rows = keyed(docs.drop("n_lines", "n_dropped", "whole"))  # texts move here, once
+    release(docs.sparkSession)
+    marks = staged(recurring_lines(rows, **parameters), "line-marks")
+    out = rows.join(marks.withColumnRenamed("dropped", "__dropped"), KEY)
     kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.array_contains(F.col("__dropped"), i))
     out = out.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     out = out.withColumn("n_dropped", F.coalesce(F.size("__dropped"), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.when(F.col("__dropped").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_dropped")))
-    return out.drop("__tag", "__id", "__mark", "__dropped")
+    return out.drop(*KEY, "__dropped")
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
