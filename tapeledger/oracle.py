@@ -387,6 +387,23 @@ def _upsert() -> str:
     )
 
 
+REPORT = """total_trades, winning_trades, losing_trades, win_rate_pct, profit_factor, total_net_profit,
+  gross_profit, gross_loss, avg_win, avg_loss, avg_trade, best_trade, worst_trade, payoff_ratio,
+  total_commissions, total_swaps, avg_duration_min, max_drawdown_usd, max_drawdown_pct, recovery_factor,
+  initial_balance, final_balance, return_pct, sharpe_ratio, sortino_ratio, calmar_ratio, expectancy,
+  expectancy_per_dollar, max_consecutive_wins, max_consecutive_losses, current_streak, current_streak_type,
+  profit_std_dev, coefficient_of_variation"""
+
+
+def report_values(where: str, initial: int) -> str:
+    """Figures and name of every strategy; the name is the first comment in close order."""
+    return with_trades(full("magic_number", where, initial)) + f"""SELECT magic_number,
+  coalesce(comment, 'EA ' || magic_number) AS ea_name, {REPORT} FROM m LEFT JOIN (
+    SELECT magic_number, arg_min(comment, place) AS comment FROM (
+      SELECT magic_number, comment, row_number() OVER (PARTITION BY magic_number ORDER BY {ORDER}) AS place FROM p)
+    WHERE comment IS NOT NULL GROUP BY magic_number) USING (magic_number)"""
+
+
 def oracle() -> dict[str, str]:
     ea, every = "magic_number", with_trades(full("magic_number", EA_ONLY))
     metrics = every + "SELECT * FROM m"
@@ -396,7 +413,7 @@ def oracle() -> dict[str, str]:
     date_range = with_trades() + f"""SELECT ticket, account_id, magic_number, symbol,
   {iso('close_time')} AS close_time, {units('profit')} AS profit FROM t WHERE {CLOSED}
   AND close_time >= TIMESTAMP '1996-01-01' AND close_time <= TIMESTAMP '1998-12-31 12:00:00'"""
-    return {
+    queries = {
         "ea_summary": every + f"""SELECT magic_number, comment, total_trades, total_net_profit AS net_profit,
   win_rate_pct AS win_rate, profit_factor, max_drawdown_pct, sharpe_ratio, date_from, date_to FROM m
   LEFT JOIN (SELECT magic_number, comment FROM (SELECT magic_number, comment, row_number() OVER
@@ -553,6 +570,11 @@ UNION ALL SELECT ticket, 'api_key: unknown or inactive account' FROM ok
   FROM ranked WHERE arrival = 1),
 {full(ea, EA_ONLY).replace("FROM t WHERE", "FROM fresh WHERE")}
 SELECT * FROM m""",
+        "ea_report_values": report_values(EA_ONLY, 10_000),
+        "ea_report_values_filtered": report_values(
+            f"{EA_ONLY} AND symbol = 'SYM3' AND close_time >= TIMESTAMP '1994-01-01' "
+            "AND close_time <= TIMESTAMP '1997-12-31'", 25_000
+        ),
         "running_metrics": metrics,
         "running_metrics_late": metrics,
         "running_metrics_account": with_trades(full("account_id", ANY)) + "SELECT * FROM m",
@@ -566,3 +588,5 @@ SELECT * FROM m""",
   count(*) AS trades, CASE WHEN sum(profit) >= 0 THEN 'profit' ELSE 'loss' END AS cell FROM t
   WHERE magic_number IS NOT NULL GROUP BY magic_number, strftime(coalesce(close_time, open_time), '%Y-%m-%d')""",
     }
+    # however the records are split into batches, the store and the figures are the same
+    return queries | {f"{name}_batches": queries[name] for name in ("stream_ingest", "stream_metrics")}

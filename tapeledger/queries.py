@@ -21,9 +21,9 @@ from tapeledger.plans.jobs import run_snapshot
 from tapeledger.plans import snapshot as N
 from tapeledger.session import durable, scratch_path
 from tapeledger.sources import adapter
-from tapeledger.sources.sinks import read_store, write_trades
+from tapeledger.sources.sinks import merge_store, read_store, write_trades
 from tapeledger.sources.trades import (
-    closed_strategy_trades, load_trades, read_inbound, read_trades, scan,
+    closed_strategy_trades, load_trades, read_inbound, read_trades, scan, stream_inbound,
 )
 from tapeledger.streaming import running
 from tapeledger.streaming.ingest import IngestJob, current_metrics
@@ -349,6 +349,65 @@ def stream_metrics(spark, sf):
     return current_metrics(spark, job.metrics)
 
 
+def _batched_job(spark, sf, metrics: bool) -> IngestJob:
+    """Two runs of the stream over files: what arrived before 1997, then all records, so that the early
+    ones come again as duplicates. The first batch is merged before the second comes."""
+    source = scratch_path(spark, "inbound")
+    job = IngestJob(
+        accounts=lambda: adapter.accounts(spark, sf),
+        root=scratch_path(spark, "ingest"),
+        refresh_metrics=metrics,
+    )
+    records = adapter.inbound(spark, sf)
+    for part in (records.where("received_at < timestamp_ntz'1997-01-01'"), records):
+        part.write.mode("append").json(source)
+        job.start(stream_inbound(spark, source, files_per_trigger=100_000)).awaitTermination()
+        merge_store(spark, job.store, upto=0)
+    return job
+
+
+def stream_ingest_batches(spark, sf):
+    job = _batched_job(spark, sf, metrics=False)
+    return read_store(spark, job.store).select(*I.STORED_COLUMNS)
+
+
+def stream_metrics_batches(spark, sf):
+    job = _batched_job(spark, sf, metrics=True)
+    return current_metrics(spark, job.metrics)
+
+
+def _report_values(documents: DataFrame) -> DataFrame:
+    """The figures of report documents, read back from their JSON into typed columns."""
+    whole = {
+        "total_trades", "winning_trades", "losing_trades", "max_consecutive_wins",
+        "max_consecutive_losses", "current_streak",
+    }
+    fields = [("summary", name) for name in R.SUMMARY_FIELDS] + [("advanced", name) for name in R.ADVANCED_FIELDS]
+
+    def value(section: str, name: str):
+        text = F.get_json_object("document", f"$.{section}.{name}")
+        if name == "current_streak_type":
+            return text.alias(name)
+        return text.cast("long" if name in whole else "double").alias(name)
+
+    return documents.select(
+        "magic_number", F.get_json_object("document", "$.ea_name").alias("ea_name"),
+        *[value(section, name) for section, name in fields],
+    )
+
+
+def ea_report_values(spark, sf):
+    return _report_values(R.report_documents(_closed(spark, sf)))
+
+
+def ea_report_values_filtered(spark, sf):
+    """The report cut by symbol and dates, from another initial balance."""
+    trades = closed_strategy_trades(
+        adapter.trades(spark, sf), symbol="sym3", date_from="1994-01-01", date_to="1997-12-31"
+    )
+    return _report_values(R.report_documents(prepare(trades), 25_000.0))
+
+
 def _folded(history: DataFrame, keys: list[str]) -> DataFrame:
     """Metrics from a state folded over two consecutive batches, cut at the start of 1997."""
     border = F.expr("timestamp_ntz'1997-01-01'")
@@ -465,6 +524,10 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ingest": stream_ingest,
         "stream_rejects": stream_rejects,
         "stream_metrics": stream_metrics,
+        "stream_ingest_batches": stream_ingest_batches,
+        "stream_metrics_batches": stream_metrics_batches,
+        "ea_report_values": ea_report_values,
+        "ea_report_values_filtered": ea_report_values_filtered,
         "running_metrics": lambda s, d: _folded(_closed(s, d), EA),
         "running_metrics_account": lambda s, d: _folded(_all_closed(s, d), ["account_id"]),
         "running_metrics_pair": lambda s, d: _folded(_closed(s, d), ["magic_number", "symbol"]),

@@ -7,7 +7,9 @@ from tapeledger.operators.enrich import prepare
 from tapeledger.plans.jobs import run_snapshot
 from tapeledger.plans.snapshot import merge_snapshots, snapshot_rows
 from tapeledger.schema import SNAPSHOT_COLUMNS, SNAPSHOT_REFRESHED
-from tapeledger.sources.sinks import read_snapshots, write_trades
+from tapeledger.sources.sinks import (
+    account_bucket, merge_store, read_snapshots, read_store, remove_merged, store_trades, write_trades,
+)
 from tapeledger.sources.trades import load_trades, read_trades, scan
 
 
@@ -31,6 +33,41 @@ def test_stored_trades_prune_and_push_down(spark, make_trades, tmp_path):
     assert scan(trades).count() == 12 and len(scan(trades).columns) == 17
 
 
+def test_store_is_pruned_and_merged(spark, make_trades, tmp_path):
+    """Batches, their merge and what remains after the clean-up hold the same trades."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    root = str(tmp_path / "trades")
+    rows = [{"account_id": i, "close_time": f"2024-{1 + i % 12:02d}-05T00:00:00"} for i in range(1, 31)]
+    for batch in range(3):
+        store_trades(make_trades(rows[batch * 10:batch * 10 + 10]), root, batch)
+
+    def held(**limits):
+        return sorted((r.account_id, r.batch_id) for r in read_store(spark, root, **limits).collect())
+
+    want = [(i, (i - 1) // 10) for i in range(1, 31)]
+    assert held() == want and held(before=1) == want[:10]
+    bucket = make_trades([{"account_id": 7}]).select(account_bucket()).first()[0]
+    plan = plan_of(read_store(spark, root, 2, [bucket]))
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "account_bucket" in filters and "batch_id" in filters
+    assert (7, 0) in held(buckets=[bucket]) and len(held(buckets=[bucket])) < 30
+
+    # a merge that died: its folder is not read, and the next one replaces it
+    left = tmp_path / "trades_merged" / "upto=1" / "account_bucket=0" / "close_month=2024-01"
+    left.mkdir(parents=True)
+    (left / "part-0.parquet").write_text("unfinished")
+    assert held() == want
+    for _ in range(2):
+        merge_store(spark, root, 1)
+        assert held() == want and held(before=1) == want[:10] and held(before=2) == want[:20]
+    found = load_trades(read_store(spark, root), date_from="2024-03-01", date_to="2024-04-30")
+    assert sorted(r.account_id for r in found.collect()) == [2, 3, 14, 15, 26, 27]
+    assert "close_month" in plan_of(found).split("upto=1")[0].rsplit("PartitionFilters: [", 1)[1]
+    remove_merged(spark, root)
+    assert held() == want
+    assert [p.name for p in sorted((tmp_path / "trades").iterdir())] == ["batch_id=2"]
+
+
 def as_dict(df):
     return {(r.magic_number, r.snapshot_date): r.asDict() for r in df.collect()}
 
