@@ -1,14 +1,16 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
 Every distinct shingle set has a label of ``DEPTH`` minimum hashes in each of ``TREES`` trees. The labels of a tree,
-sorted, are the leaves of a prefix trie. From the full label, prefixes are shortened to the depth at which a pair at
-the threshold meets in some tree with the target probability; at each depth, the texts below a node are paired with one
-leader of the node, which is another one in each tree. Pairs are then verified on their whole shingle sets, the most
-promising pair of each text first, afterwards all that would join two classes.
+sorted, are the leaves of a prefix trie. Prefixes are shortened to the depth at which a pair at the threshold meets in
+some tree with the target probability. Texts that meet below a node, directly or through others, form a group, and
+every pair of a group is compared on its whole shingle sets; groups are cut into blocks, and pairs of blocks are compared
+apart. Only pairs whose sizes rule the threshold out are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,7 +24,8 @@ THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
 RECALL = 0.99
-PART = 1 << 18
+BLOCK_TEXTS = 512
+BLOCK_SHINGLES = 1 << 19
 
 
 def shortest_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -91,48 +94,126 @@ def _labelled(size: int, trees: int, depth: int):
     return run
 
 
-def candidates(nodes: DataFrame, trees: int, depth: int, shortest: int) -> DataFrame:
-    """a < b, votes: nodes paired with the leaders of the trie nodes above them, and in how many they meet.
+def meetings(nodes: DataFrame, shortest: int) -> DataFrame:
+    """a, b: nodes and the least node that they meet below a trie node of depth ``shortest``; deeper ones lie below those.
 
-    A trie node is named by 64 bits of its tree and prefix; two that share a name only add candidates.
+    A trie node is named by 64 bits of its tree and prefix; two that share a name only make groups larger.
     """
-    leaves = staged(nodes.select("node", F.posexplode("labels").alias("tree", "label")), "leaves")
-    prefixes = F.transform(F.sequence(F.lit(shortest), F.lit(depth)), lambda d: F.xxhash64("tree", F.substring("label", F.lit(1), 4 * d)))
-    below = leaves.select("node", F.explode(prefixes).alias("trie"), F.xxhash64("tree", "node").alias("h"))
-    # least hash, then its node: two aggregates of fixed width, which Spark need not sort for
-    leaders = below.groupBy("trie").agg(F.min_by("node", "h").alias("leader"), F.count("*").alias("n")).where("n > 1").select("trie", "leader")
+    leaves = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
+    below = staged(leaves.select("node", F.xxhash64("tree", F.substring("label", 1, 4 * shortest)).alias("trie")), "leaves")
+    leaders = below.groupBy("trie").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("trie", "leader")
     leaders = staged(leaders, "leaders")  # a table of its own, so that Spark may split the join
-    pairs = below.select("node", "trie").join(leaders, "trie").where("node <> leader")
-    return pairs.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count("*").alias("votes"))
-
-
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    return below.join(leaders, "trie").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def common(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``one`` shares with each set of ``other`` (sets as of ``shingle_sets``)."""
+    (values, at), (others, ends) = one, other
+    n, m = len(at) - 1, len(ends) - 1
+    row, column = np.repeat(np.arange(n), np.diff(at)), np.repeat(np.arange(m), np.diff(ends))
+    order = np.argsort(others, kind="stable")
+    others, column = others[order], column[order]
+    low = np.searchsorted(others, values, "left")
+    per = np.searchsorted(others, values, "right") - low
+    out = np.zeros(n * m, np.int64)
+    often = per > max(8, m // 16)
+    kinds = np.unique(low[often])
+    for i in range(0, len(kinds), 4096):  # shingles that many have: a product of 0/1 matrices
+        some = kinds[i:i + 4096]
+        mine = np.flatnonzero(often & (low >= some[0]) & (low <= some[-1]))
+        left, right = np.zeros((n, len(some)), np.float32), np.zeros((m, len(some)), np.float32)
+        left[row[mine], np.searchsorted(some, low[mine])] = 1
+        many = np.searchsorted(others, others[some], "right") - some
+        place = np.repeat(some, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        right[column[place], np.repeat(np.arange(len(some)), many)] = 1
+        out += (left @ right.T).astype(np.int64).ravel()
+    rest = np.flatnonzero(~often & (per > 0))
+    share = np.cumsum(per[rest]) >> 22
+    for some in np.split(rest, np.flatnonzero(np.diff(share)) + 1) if len(rest) else []:  # the others: pair by pair
+        many = per[some]
+        place = np.repeat(low[some], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out += np.bincount(np.repeat(row[some], many) * m + column[place], minlength=n * m)
+    return out.reshape(n, m)
+
+
+def linked(one, other, threshold: float) -> np.ndarray:
+    """Whether each set of ``one`` and each set of ``other`` reach the threshold."""
+    both = common(one, other)
+    either = np.diff(one[1])[:, None] + np.diff(other[1])[None, :] - both
+    return both / np.maximum(either, 1) >= threshold
+
+
+def reached(links: np.ndarray, mine: np.ndarray, others: np.ndarray, one_side: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Least label that each row and each column gets to over the links, from labels that tell them apart."""
+    none = np.iinfo(np.int64).max
+    while True:
+        rows = np.minimum(mine, np.where(links, others[None, :], none).min(1, initial=none))
+        columns = rows if one_side else np.minimum(others, np.where(links, rows[:, None], none).min(0, initial=none))
+        if (rows == mine).all() and (columns == others).all():
+            return rows, columns
+        mine, others = rows, columns
+
+
+LINKS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
+
+
+def _linked(size: int, threshold: float):
+    """Of each block (texts), or pair of blocks (texts, others): node, a node it is connected with, number of its links there."""
+    def sets_of(texts):
+        return np.array([t["node"] for t in texts], np.int64), shingle_sets(*utf8(pa.array([t["text"] for t in texts], pa.string())), size)
 
-
-def _verified(size: int, threshold: float):
     def run(batches):
         for batch in batches:
-            rows = batch.to_pydict() if batch.num_rows else {"a": []}
-            if not rows["a"]:
-                continue
-            out = []
-            for a, b, left, right in zip(rows["a"], rows["b"], rows["left"], rows["right"]):
-                values, at = shingle_sets(*utf8(pa.array([left, right], pa.string())), size)
-                one, other = values[:at[1]], values[at[1]:]
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                similarity = both / max(1, len(one) + len(other) - both)
-                if similarity >= threshold:
-                    out.append((a, b, similarity))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), PAIRS)], schema=PAIRS)
+            for i in range(batch.num_rows):
+                nodes, sets = sets_of(batch.column("texts")[i].as_py())
+                if one_side := "others" not in batch.schema.names:
+                    links = linked(sets, sets, threshold)
+                    np.fill_diagonal(links, False)
+                    label, _ = reached(links, nodes, nodes, True)
+                    count = links.sum(1)
+                else:
+                    more, others = sets_of(batch.column("others")[i].as_py())
+                    links = linked(sets, others, threshold)
+                    label = np.concatenate(reached(links, nodes, more, one_side))
+                    nodes, count = np.concatenate([nodes, more]), np.concatenate([links.sum(1), links.sum(0)])
+                has = count > 0
+                if has.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(c[has], pa.int64()) for c in (nodes, label, count)], schema=LINKS)
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
-    """a, b, similarity of the pairs whose whole texts (node, text) reach the threshold."""
-    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("left")), texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return both.mapInArrow(_verified(size, threshold), "a long, b long, similarity double")
+def links_within(groups: DataFrame, text: DataFrame, size: int, threshold: float) -> DataFrame:
+    """node, root, n: links of each node of ``groups`` (node, root, shingles, doc_id, tag) within its group, in parts to be summed.
+
+    A group over the size of a block is cut by size band, so that a pair at the threshold is in one band or two successive
+    ones, and by hash; each pair of its blocks that may hold links is a row of work of bounded size.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("shingles") / BLOCK_SHINGLES)).cast("long")
+    step = max(-math.log(threshold), 1e-9) * (1 + 1e-9) if threshold > 0 else math.inf
+    large = staged(groups.groupBy("root").agg(parts.alias("parts")).where("parts > 1").select("root", F.lit(True).alias("large")), "large-groups")
+    banded = groups.join(large, "root", "left").withColumn("large", F.coalesce("large", F.lit(False))).withColumn(
+        "band", F.when(F.col("large"), F.floor(F.log("shingles") / F.lit(step))).otherwise(0).cast("long"))
+    banded = staged(banded, "banded")
+    bands = staged(banded.groupBy("root", "band", "large").agg(parts.alias("parts")), "bands")
+    placed = banded.join(bands.drop("large"), ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    placed = staged(placed.select("node", "doc_id", "tag", "root", "band", "part", "large"), "placed-texts")
+    key = ["root", "band", "part", "large"]
+    held = same(text, placed, ["doc_id", "tag"]).groupBy("node", *key).agg(F.first("text").alias("text"))
+    blocks = staged(held.groupBy(*key).agg(F.collect_list(F.struct("node", "text")).alias("texts")), "blocks")
+    release(text.sparkSession)
+    run, schema = _linked(size, threshold), "node long, root long, n long"
+    within = staged(blocks.select("texts").mapInArrow(run, schema), "links")
+    numbered = bands.where("large").select("root", "band", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    same_band = numbered.where("part + 1 < parts").select("root", "band", "part", F.col("band").alias("band2"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part2"))
+    after = numbered.select("root", (F.col("band") - 1).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"))
+    next_band = numbered.select("root", "band", "part").join(after, ["root", "band"]).select("root", "band", "part", "band2", "part2")
+    pairs = staged(same_band.unionByName(next_band), "block-pairs")
+    if is_empty(pairs):
+        return within
+    cut = blocks.where("large").select("root", "band", "part", "texts")
+    others = cut.withColumnsRenamed({"band": "band2", "part": "part2", "texts": "others"})
+    both = pairs.join(cut, ["root", "band", "part"]).join(others, ["root", "band2", "part2"]).select("texts", "others")
+    return within.unionByName(staged(both.mapInArrow(run, schema), "links-between"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -154,49 +235,35 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL,
             trees: int = TREES, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): doc_id, tag, node of each row, and the verified links a, b, similarity between nodes.
+    """(rows, links): doc_id, tag, node of each row, and node, root, n: a node it is connected with, and its verified links, in parts.
 
-    A node is a distinct shingle set. Rows are shuffled by node, prefix or pair, never by class; a crowded key only adds
+    A node is a distinct shingle set. Rows are shuffled by node, prefix or block, never by class; a crowded key only adds
     to sums and minimums, or to a join that Spark may split.
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tag"), text_or_empty().alias("text"))
     rows = staged(text.mapInArrow(_labelled(size, trees, depth), "doc_id long, tag long, node long, shingles long, labels array<binary>"), "labels")
-    nodes = rows.where("shingles > 0").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("at"), F.first("labels").alias("labels"))
+    nodes = rows.where("shingles > 0").groupBy("node").agg(
+        F.min(F.struct("doc_id", "tag")).alias("at"), F.first("labels").alias("labels"), F.first("shingles").alias("shingles"))
     nodes = staged(nodes, "nodes")
-    pairs = staged(candidates(nodes.select("node", "labels"), trees, depth, shortest_depth(threshold, recall, trees, depth)), "pairs")
-    release(spark)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(wanted, "node", "left_semi").select("node", "at.doc_id", "at.tag")
-    texts = staged(same(text, wanted, ["doc_id", "tag"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    groups = components(meetings(nodes.select("node", "labels"), shortest_depth(threshold, recall, trees, depth)))
     release(spark)
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
-    first = both.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    links = staged(verified(first, texts, size, threshold), "links")
-    roots = components(links)
-    side = lambda n: pairs_at(n, roots)
-    open_ = pairs.select("a", "b").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    open_ = open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = staged(verified(staged(open_, "open-pairs"), texts, size, threshold), "more-links")
-    return rows.select("doc_id", "tag", "node"), links.unionByName(more)
-
-
-def pairs_at(column: str, roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias(column), F.col("root").alias(f"root_{column}"))
+    groups = nodes.select("node", "at.doc_id", "at.tag", "shingles").join(groups, "node")
+    links = links_within(staged(groups, "groups"), text, size, threshold)
+    return rows.select("doc_id", "tag", "node"), links
 
 
 def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, tag, class_key, class_id, class_size, n_links of every row; a class is connected by links of similarity at least ``threshold``.
 
     class_key tells classes apart, class_id is the least doc_id of the class, tag the digest of the row's text. Texts with the same shingle set are copies: one node, not a link. n_links is
-    the number of verified links that the forest holds for the text; links within a class that is already connected are
-    not all searched for. A null text is an empty one, and empty texts are copies of each other. Fewer than ``size`` words
+    the number of other shingle sets that reach the threshold with the text's: all that meet it in the forest are counted. A null text is an empty one, and empty texts are copies of each other. Fewer than ``size`` words
     are one shingle. Rows that repeat a doc_id are rows of their own; a null doc_id is the least, so a class with one has
     a null class_id only if it has no other id. An empty table gives no row. Other columns are not read.
     """
     rows, links = similar(docs, **parameters)
-    roots = components(links)
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    roots = components(links.where("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")))
+    ends = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     placed = rows.join(roots, "node", "left").join(ends, "node", "left").select(
         "doc_id", "tag", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = staged(placed, "placed")

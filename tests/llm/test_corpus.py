@@ -191,6 +191,26 @@ def test_near_duplicates_equal_brute_force(make_docs, prose):
     assert kept == sorted(set(want.values()))
 
 
+def hub_and_copies(n):
+    """An original, and copies edited at own places: each reaches 0.8 with the original, hardly any two with each other."""
+    pick = random.Random(8)
+    hub = [f"w{i}" for i in range(220)]
+    texts = [" ".join(hub)]
+    for c in range(n):
+        words = list(hub)
+        for at in pick.sample(range(5, 215, 7), 4):
+            words[at] = f"edit{c}x{at}"
+        texts.append(" ".join(words))
+    return texts
+
+
+def test_near_duplicates_around_one_original(make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", 150)
+    texts = hub_and_copies(1000)
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(make_docs(texts)).collect()}
+    assert {r.class_id for r in got.values()} == {0} and got[0].n_links == 1000
+
+
 def test_near_duplicates_edges(make_docs, prose):
     assert jaccard_join.near_duplicates(make_docs([])).collect() == []
     text = " ".join(prose(1, 40))
