@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -211,6 +212,30 @@ def test_near_duplicates_around_one_original(make_docs, monkeypatch):
     assert {r.class_id for r in got.values()} == {0} and got[0].n_links == 1000
 
 
+def shingle_links(texts):
+    """Per text, how many other shingle sets reach 0.8 with its own."""
+    sets, number = [], {}
+    for t in texts:
+        w = WORD.findall(t or "")
+        sets.append(frozenset(number.setdefault(tuple(w[i:i + 5]), len(number)) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    kinds = list(set(sets))
+    count = dict.fromkeys(kinds, 0)
+    for a, b in itertools.combinations(kinds, 2):
+        both = len(a & b)
+        if both and both / (len(a) + len(b) - both) >= 0.8:
+            count[a] += 1
+            count[b] += 1
+    return [count[s] for s in sets]
+
+
+@pytest.mark.parametrize("block", [40, 512])
+def test_link_counts_equal_brute_force(make_docs, prose, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", block)
+    texts = hub_and_copies(120) + edited_texts(prose)
+    got = {r.doc_id: r.n_links for r in jaccard_join.near_duplicates(make_docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == shingle_links(texts)
+
+
 def test_near_duplicates_edges(make_docs, prose):
     assert jaccard_join.near_duplicates(make_docs([])).collect() == []
     text = " ".join(prose(1, 40))
