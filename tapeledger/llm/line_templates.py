@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import BLANKS, WORD, clustered, release, staged, table, text_or_empty
 
 LEADING = 3
-MIN_TOKENS = 4
 MIN_DOCS = 5
 FIXED_SHARE = 0.5
 WHOLE_SHARE = 0.5
@@ -78,11 +77,11 @@ def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, fixed_share: fl
     return shape.select(*LINE, F.sha2(F.to_json(F.struct("leaf", "shape.token")), 256).alias("template"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, fixed_share: float = FIXED_SHARE,
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE,
                     whole_share: float = WHOLE_SHARE) -> DataFrame:
     """Of the documents of ``keyed``: key, n_lines, dropped (line numbers from 0, null for none), whole (left as it is)."""
     lines = staged(_lines(docs), "lines")
-    useful = lines.where(F.col("n") >= min_tokens)
+    useful = lines.where("n > 0")  # the path of a line of up to LEADING tokens is all of it
     kinds = staged(_templates(docs, useful, min_docs, fixed_share), "templates")
     release(docs.sparkSession)
     found = staged(useful.join(kinds, LINE).select(*KEY, "line_no", "n", "template"), "template-lines")
@@ -100,7 +99,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int =
 def drop_templates(docs: DataFrame, **parameters) -> DataFrame:
     """All columns of ``docs`` with the recurring lines taken out of text, and n_lines, n_dropped, whole.
 
-    A template must recur in ``min_docs`` documents, have ``min_tokens`` tokens and ``fixed_share`` of them fixed. A
+    A template must recur in ``min_docs`` documents and have ``fixed_share`` of its tokens fixed; lines of a word or two count like others. A
     document that would lose more than ``whole_share`` of its words is a copy rather than a document with boilerplate:
     it stays whole, for near-duplicate removal. A text without a dropped line stays as it is, null included (one empty line).
     Rows that repeat doc_id and text count as one document and share their result; a null doc_id is an id like any other.

@@ -273,6 +273,17 @@ def test_line_templates(make_docs, prose):
     assert out[23].n_lines == 3
 
 
+def test_short_lines_recur_like_others(make_docs, prose):
+    short = ["All rights reserved.", "And ornd.", "Of."]
+    own = [" ".join(prose(700 + i, 20)) for i in range(8)]
+    texts = ["\n".join([own[i], *short, f"mine {i + 1}x{own[i][:5]} only", f"just{'abcdefgh'[i]}"]) for i in range(8)]
+    texts[7] = texts[7].replace("\nOf.", "\nOf")
+    out = {r.doc_id: r.text for r in line_templates.drop_templates(make_docs(texts)).collect()}
+    for i in range(8):
+        gone = {*short, texts[i].split("\n")[4]}  # 'mine <*> only' is one template
+        assert out[i].split("\n") == [x for x in texts[i].split("\n") if x not in gone]
+
+
 def test_line_templates_edges(make_docs):
     assert line_templates.drop_templates(make_docs([])).collect() == []
     line = "the footer of every page here"
