@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, exact_dedup, jaccard_join, lexical_search, line_templates, mixing, packing, passages, suffix_dedup, toxicity, vector_search, warc
+from . import centroids, exact_dedup, jaccard_join, learned_partitions, lexical_search, line_templates, mixing, packing, passages, suffix_dedup, toxicity, vector_search, warc
 
 
 def registry() -> dict:
@@ -17,6 +17,7 @@ def registry() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_templates": line_templates.op9_line_templates,
         "op10_vector_search": vector_search.op10_vector_search,
+        "op11_learned_partitions": learned_partitions.op11_learned_partitions,
         "op12_lexical_search": lexical_search.op12_lexical_search,
         "op13_centroids": centroids.op13_centroids,
     }
