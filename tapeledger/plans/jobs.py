@@ -10,9 +10,8 @@ from tapeledger.operators.enrich import prepare
 from tapeledger.operators.ordered import DEFAULT_POLICY, ChunkPolicy
 from tapeledger.operators.path import INITIAL_BALANCE
 from tapeledger.plans.snapshot import merge_snapshots, snapshot_rows
-from tapeledger.sources.sinks import (
-    newest_snapshots, next_snapshot_version, read_snapshots, write_snapshot_day,
-)
+from tapeledger.session import durable
+from tapeledger.sources.sinks import read_snapshots, upsert_snapshot_day
 from tapeledger.sources.trades import closed_strategy_trades
 
 
@@ -26,13 +25,10 @@ def run_snapshot(
 ) -> DataFrame:
     """Snapshot all strategies under a date (default today), merged into what that date holds.
 
-    Only the folder of that date is read and written. When to run it, hourly or daily, is up to
-    the caller; running it again is harmless, also after a run that died half-way: what that left
-    behind is neither read nor in the way.
+    Only the folder of that date is read and written. When to run it, hourly or daily, is up to the caller; running it
+    again is harmless, also after a run that died half-way, and so is running it twice at the same time.
     """
     day = str(target_date or date.today())
-    merged = snapshot_rows(prepare(closed_strategy_trades(trades)), day, initial, policy)
-    if newest_snapshots(spark, root, day):
-        merged = merge_snapshots(read_snapshots(spark, root, day), merged)
-    write_snapshot_day(merged, root, day, next_snapshot_version(spark, root, day))
+    rows = durable(snapshot_rows(prepare(closed_strategy_trades(trades)), day, initial, policy))
+    upsert_snapshot_day(rows, root, day, merge_snapshots)
     return read_snapshots(spark, root)

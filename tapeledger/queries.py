@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tapeledger.operators import accounts as A
 from tapeledger.operators import buckets as B
+from tapeledger.operators import history as H
 from tapeledger.operators import ingest as I
 from tapeledger.operators import path as P
 from tapeledger.operators import stats as S
@@ -21,6 +22,7 @@ from tapeledger.plans.jobs import run_snapshot
 from tapeledger.plans import snapshot as N
 from tapeledger.session import durable, scratch_path
 from tapeledger.sources import adapter
+from tapeledger.sources.commits import KeyedTable
 from tapeledger.sources.sinks import merge_store, read_store, write_trades
 from tapeledger.sources.trades import (
     closed_strategy_trades, load_trades, read_inbound, read_trades, scan, stream_inbound,
@@ -418,12 +420,16 @@ def _folded(history: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def running_metrics_late(spark, sf):
-    """The same with the batches swapped, so that every strategy has late trades."""
-    history = _closed(spark, sf)
-    border = F.expr("timestamp_ntz'1997-01-01'")
-    state = durable(running.summarise(history.where(F.col("close_time") >= border), EA))
-    late = history.where(F.col("close_time") < border)
-    return running.running_metrics(running.advance(state, late, history, EA), EA)
+    """Three batches into a stored month tree: the trades outside 1996, those of two months of 1996 and a half, which all
+    are late, and the rest of 1996, some of it late within its month. Only the months of late trades are read again."""
+    history = _closed(spark, sf).withColumn("close_month", F.col("month"))
+    trees = KeyedTable(spark, scratch_path(spark, "trees"), H.node_key(EA), fan=2)
+    year, part = "year(close_time) = 1996", "close_time BETWEEN '1996-03-10' AND '1996-05-20'"
+    trees.put(H.build(history.where(f"NOT {year}"), EA), 0)
+    for batch, which, seen in ((1, f"{year} AND {part}", f"NOT {year} OR {part}"), (2, f"{year} AND NOT ({part})", "true")):
+        rows = history.where(seen)
+        trees.put(H.advance(trees.read(), history.where(which), lambda months: rows.where(H.within(months)), EA), batch)
+    return H.metrics(trees.read(), EA)
 
 
 def _shown(build) -> Callable[[SparkSession, str], DataFrame]:

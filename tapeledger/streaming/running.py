@@ -1,66 +1,27 @@
-"""Running metrics: fold new trades into a stored state instead of reading the history again.
+"""Running metrics: fold new trades into one stored summary of each key instead of reading the history again.
 
-The state of a strategy is its statistics and its path summary, the same row a chunk has. A batch
-of trades that all close after the state is one more chunk, so state and batch merge like chunks.
-Strategies with a late trade in the batch are summarised again from their full history.
+A batch of trades that all close after the summary is one more chunk, so summary and batch merge like chunks. Keys with
+a late trade in the batch are summed up again from their history; operators.history reads only the months of late trades.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tapeledger.functions.numeric import listed, quoted
 from tapeledger.operators import path as P
-from tapeledger.operators import stats as S
+from tapeledger.operators.history import LAST, folded, summarised
 from tapeledger.operators.ingest import restrict_to
 from tapeledger.operators.joins import join_on_keys
-from tapeledger.operators.ordered import (
-    CHUNK, DEFAULT_POLICY, FOLDED_PATH, PATH_FIELDS, ChunkPolicy, Extra, figures, path_summary, placed,
-)
-from tapeledger.session import durable
+from tapeledger.operators.ordered import DEFAULT_POLICY, ChunkPolicy, figures
 from tapeledger.plans.reports import with_metrics
+from tapeledger.session import durable
 
-LAST = "last_position"
-_LAST = Extra(
-    LAST,
-    f"max_by(struct(close_time, id), rn) AS {LAST}",
-    f"max_by({LAST}, `{CHUNK}`) AS {LAST}",
-)
-_PATH = f"struct({listed(PATH_FIELDS)}) AS path"
-# types of a stored state do not depend on how it came about
-_STATS = [
-    f"cast({c} AS DECIMAL(38,4)) AS {c}" if c in S.STATS_SUMS else c for c in S.STATS_FIELDS
-]
-
-
-def summarise(
-    prepared: DataFrame, keys: list[str], policy: ChunkPolicy = DEFAULT_POLICY
-) -> DataFrame:
-    """State of every key: statistics, path summary and position of the last trade."""
-    stats = S.trade_stats(prepared, keys).selectExpr(*quoted(keys), *_STATS)
-    path = path_summary(prepared, keys, policy, (_LAST,)).selectExpr(*quoted(keys), _PATH, LAST)
-    return join_on_keys(stats, path, keys)
+summarise = summarised
 
 
 def fold(earlier: DataFrame, later: DataFrame, keys: list[str]) -> DataFrame:
-    """State after both: every trade of ``later`` closes after those of ``earlier``.
-
-    One shuffle by the keys serves the windows and the aggregate. Statistics and path share the
-    count of trades, so it is folded once.
-    """
-    path = [f"path.{name}" for name in PATH_FIELDS if name != "n"]
-    both = (
-        earlier.withColumn(CHUNK, F.lit(0))
-        .unionByName(later.withColumn(CHUNK, F.lit(1)))
-        .selectExpr(*quoted(keys), f"`{CHUNK}`", *S.STATS_FIELDS, *path, LAST)
-    )
-    wanted = [*S.FOLDED_STATS, *[e for e in FOLDED_PATH if not e.endswith(" AS n")], _LAST.merged]
-    return (
-        placed(S.with_squares(both, keys), keys)
-        .groupBy(*keys)
-        .agg(*[F.expr(e) for e in wanted])
-        .selectExpr(*quoted(keys), *_STATS, _PATH, LAST)
-    )
+    """State after both: every trade of ``later`` closes after those of ``earlier``."""
+    return folded(earlier.withColumn("__at", F.lit(0)).unionByName(later.withColumn("__at", F.lit(1))), keys, "__at")
 
 
 def advance(

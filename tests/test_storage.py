@@ -2,11 +2,14 @@
 
 from datetime import date
 
+import pytest
+
 from tapeledger.operators import accounts as A
 from tapeledger.operators.enrich import prepare
 from tapeledger.plans.jobs import run_snapshot
 from tapeledger.plans.snapshot import merge_snapshots, snapshot_rows
 from tapeledger.schema import SNAPSHOT_COLUMNS, SNAPSHOT_REFRESHED
+from tapeledger.sources.commits import CommitLog, Conflict, Head, KeyedTable, Part
 from tapeledger.sources.sinks import (
     account_bucket, merge_store, read_snapshots, read_store, remove_merged, store_trades, write_trades,
 )
@@ -101,22 +104,80 @@ def test_snapshot_job_is_idempotent_and_keeps_other_days(spark, make_trades, tmp
 
 
 def test_snapshot_job_survives_a_run_that_died(spark, make_trades, tmp_path):
-    """Leftovers of an unfinished version: of the first run of a day, and after a good one."""
+    """What an unfinished run left is in no commit: before the first run of a day, and after a good one."""
     root = tmp_path / "metrics"
     trades = make_trades([{"profit": 10}, {"profit": -4}])
     for day, version in (("2024-05-01", 1), ("2024-05-02", 2)):
         if version == 2:
             run_snapshot(spark, trades, str(root), day)
-        left = root / f"snapshot_date={day}" / f"version={version}"
+        left = root / f"part-died{version}"
         (left / "_temporary" / "0").mkdir(parents=True)
         (left / "part-0.parquet").write_bytes(b"half a file")
-        if version == 2:  # readers keep to the published version
+        (root / "_commits").mkdir(exist_ok=True)
+        (root / "_commits" / f"draft-died{version}").write_text("[")
+        if version == 2:  # readers keep to the committed version
             assert [r.version for r in read_snapshots(spark, str(root), day).collect()] == [1]
         run_snapshot(spark, trades, str(root), day)
-        assert [r.version for r in read_snapshots(spark, str(root), day).collect()] == [version + 1]
+        assert [r.version for r in read_snapshots(spark, str(root), day).collect()] == [version]
     assert read_snapshots(spark, str(root)).count() == 2
 
 
+def test_snapshot_jobs_at_the_same_time_keep_both_updates(spark, make_trades, tmp_path, monkeypatch):
+    """While one run merges, others commit the same day and another day; nothing of the three is lost."""
+    root = str(tmp_path / "metrics")
+    base = make_trades([{"profit": 10}, {"profit": -4}])
+    run_snapshot(spark, base, root, "2024-05-01")
+    mine = base.unionByName(make_trades([{"id": 50, "profit": 3, "magic_number": 8}]))
+    others = base.unionByName(make_trades([{"id": 60, "profit": 5, "magic_number": 9}, {"id": 61, "profit": 90}]))
+    merges, commit = [], CommitLog.commit
+
+    def interleaved(log, seen, parts):
+        if not merges:
+            merges.append(seen.version)
+            run_snapshot(spark, others, root, "2024-05-01")
+            run_snapshot(spark, base, root, "2024-05-02")
+        return commit(log, seen, parts)
+
+    monkeypatch.setattr(CommitLog, "commit", interleaved)
+    run_snapshot(spark, mine, root, "2024-05-01")
+    day = {r.magic_number: r for r in read_snapshots(spark, root, "2024-05-01").collect()}
+    assert set(day) == {7, 8, 9} and {r.version for r in day.values()} == {3}
+    assert day[7].winning_trades == 1  # the first run's, which no later one refreshes
+    assert read_snapshots(spark, root, "2024-05-02").count() == 1
+    # of the two folders that the interrupted run wrote, the stale one is gone
+    assert len(list((tmp_path / "metrics").glob("part-*"))) == 4
+
+
+def test_commits_conflict_and_expire(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path / "t"), kept=2)
+    seen = log.head()
+    for number in range(4):
+        folder = log.fresh_folder()
+        spark.range(number).write.parquet(folder)
+        seen = log.commit(seen, [Part(folder, number, number)])
+    assert log.head() == seen and seen.version == 4
+    with pytest.raises(Conflict):
+        log.commit(Head(3), [])
+    assert sorted(p.name for p in (tmp_path / "t" / "_commits").glob("*.json")) == [f"{v:012d}.json" for v in (3, 4)]
+    assert len(list((tmp_path / "t").glob("part-*"))) == 2
+
+
+def test_keyed_table_holds_the_newest_rows_in_few_folders(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], fan=3)
+    assert table.read() is None
+    want = {}
+    for batch in range(50):
+        rows = [(None if k == 0 else k, batch * 100 + k) for k in {batch % 7, batch % 5, 0 if batch % 10 == 0 else 1}]
+        want |= dict(rows)
+        table.put(spark.createDataFrame(rows, "k long, v long").coalesce(1), batch)
+        assert len(table.log.head().parts) <= 2 * 4 + 1
+    table.put(spark.createDataFrame([(1, -1)], "k long, v long"), 49)  # a replay
+    assert {r.k: r.v for r in table.read().collect()} == want
+    assert len(table.log.head().parts) <= 8
+    plan = plan_of(table.read().where("k = 3"))
+    assert plan.count("EqualTo(k,3)") == len(table.log.head().parts)
+
+
 def test_account_maintenance(spark, make_accounts):
     accounts = make_accounts([{"id": 1}, {"id": 2, "phase": "Fase 2"}, {"id": 3, "type": "Propfirm", "phase": ""}])
     ids = spark.createDataFrame([(2,), (2,), (9,)], "id long")
