@@ -1,10 +1,11 @@
 """N-gram Jaccard join by a MinHash LSH forest.
 
-Every distinct shingle set has a label of ``DEPTH`` minimum hashes in each of ``TREES`` trees. The labels of a tree,
-sorted, are the leaves of a prefix trie. Prefixes are shortened to the depth at which a pair at the threshold meets in
-some tree with the target probability. Texts that meet below a node, directly or through others, form a group, and
-every pair of a group is compared on its whole shingle sets; groups are cut into blocks, and pairs of blocks are compared
-apart. Only pairs whose sizes rule the threshold out are left out.
+Every distinct shingle set has a label of minimum hashes in each of ``TREES`` trees; the labels of a tree are the leaves
+of a prefix trie. The prefix by which a text looks for others is shortened tree by tree: to the depth at which a pair at
+the threshold meets in some tree with the target probability, and further, down to ``LEAST`` hashes, as long as
+the trie node stays uncrowded. So crowded nodes stay as deep as the target recall allows. All pairs below a node are
+compared on their whole shingle sets, a pair that meets in several trees in one of them only; nodes are cut into blocks,
+and pairs of blocks are compared apart. Only pairs whose sizes rule the threshold out are left out.
 """
 
 from __future__ import annotations
@@ -16,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import (
-    chunks, is_empty, mixed, prefix_hash, release, same, signed, span_hash, staged, table, text_or_empty, utf8, word_hashes, words_of,
+    chunks, discard, is_empty, mixed, prefix_hash, release, same, signed, span_hash, staged, table, text_or_empty, utf8, word_hashes, words_of,
 )
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 16
-DEPTH = 8
-RECALL = 0.99
+DEPTH = 4
+RECALL = 0.999
+LEAST = 3
+CROWD = 64
+FILTER_BITS = 1 << 27
 BLOCK_TEXTS = 512
 BLOCK_SHINGLES = 1 << 19
 
@@ -94,16 +98,41 @@ def _labelled(size: int, trees: int, depth: int):
     return run
 
 
-def meetings(nodes: DataFrame, shortest: int) -> DataFrame:
-    """a, b: nodes and the least node that they meet below a trie node of depth ``shortest``; deeper ones lie below those.
+def _named(depth: int):
+    """A trie node, named by 64 bits of its tree and prefix; two that share a name only make a node larger."""
+    return F.xxhash64(F.lit(depth), "tree", F.substring("label", 1, 4 * depth))
 
-    A trie node is named by 64 bits of its tree and prefix; two that share a name only make groups larger.
+
+def _shared(members: DataFrame, key: str, name: str) -> DataFrame:
+    """key, how many members: of the trie nodes with several. A table of its own, so that Spark may split joins with it."""
+    return staged(members.groupBy(key).agg(F.count("*").alias(name)).where(F.col(name) > 1), "trie-nodes")
+
+
+def meetings(nodes: DataFrame, shortest: int, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
+    """node, trie: in each tree, the trie node below which a text meets others; none where it is alone.
+
+    ``shortest`` is the depth that the target recall asks for. From there on a prefix is shortened for as long as at most
+    ``crowd`` texts share it, down to ``least``; texts that share a prefix share its crowd, so they stop at the same node.
+    Trie nodes with the very same members are one.
     """
+    least = min(least, shortest)
     leaves = nodes.select("node", F.posexplode("labels").alias("tree", "label"))
-    below = staged(leaves.select("node", F.xxhash64("tree", F.substring("label", 1, 4 * shortest)).alias("trie")), "leaves")
-    leaders = below.groupBy("trie").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("trie", "leader")
-    leaders = staged(leaders, "leaders")  # a table of its own, so that Spark may split the join
-    return below.join(leaders, "trie").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    below = staged(leaves.select("node", "tree", F.substring("label", 1, 4 * shortest).alias("label"), _named(least).alias("trie")), "leaves")
+    found = _shared(below, "trie", "n")
+    # of a text that is alone at the shortest prefix, nothing more is asked in this tree
+    members = staged(below.join(found, "trie").select("node", "tree", "label", F.when((F.col("n") <= crowd) | F.lit(least == shortest), F.col("trie")).alias("trie")), "members")
+    discard(below, found)
+    for depth in range(least + 1, shortest + 1):
+        at = members.where("trie is null").withColumn("at", _named(depth))
+        counts = _shared(at, "at", "n")
+        fits = F.lit(True) if depth == shortest else F.col("n") <= crowd
+        deeper = at.drop("trie").join(counts, "at").select("node", "tree", "label", F.when(fits, F.col("at")).alias("trie"))
+        old, members = members, staged(members.where("trie is not null").unionByName(deeper), "members")
+        discard(old, counts)
+    sets = members.groupBy("trie").agg(F.count("*").alias("n"), *[
+        F.sum(F.xxhash64(F.lit(i), "node").cast("decimal(38,0)")).alias(f"h{i}") for i in (0, 1)]).where("n > 1")
+    kept = staged(sets.groupBy("n", "h0", "h1").agg(F.min("trie").alias("trie")).select("trie"), "trie-nodes")
+    return staged(members.select("node", "trie").join(kept, "trie").select("node", "trie"), "met")
 
 
 def common(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -157,23 +186,49 @@ def reached(links: np.ndarray, mine: np.ndarray, others: np.ndarray, one_side: b
 LINKS = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("n", pa.int64())])
 
 
+def first_meets(keys: np.ndarray, others: np.ndarray, here: int) -> np.ndarray:
+    """Whether ``here`` is the least of the trie nodes that two texts share, given the trie nodes of each (rows padded with -1)."""
+    out = np.ones((len(keys), len(others)), bool)
+    for column in range(keys.shape[1]):
+        earlier = (keys[:, column] < here) & (keys[:, column] != PADDING)
+        if earlier.any():
+            rows = np.flatnonzero(earlier)
+            for other in range(others.shape[1]):
+                out[rows] &= keys[rows, column][:, None] != others[None, :, other]
+    return out
+
+
+PADDING = np.iinfo(np.int64).max
+
+
 def _linked(size: int, threshold: float):
     """Of each block (texts), or pair of blocks (texts, others): node, a node it is connected with, number of its links there."""
-    def sets_of(texts):
-        return np.array([t["node"] for t in texts], np.int64), shingle_sets(*utf8(pa.array([t["text"] for t in texts], pa.string())), size)
+    def sets_of(texts: pa.Array):
+        at = texts.field("keys")
+        count = np.diff(at.offsets.to_numpy())
+        keys = np.full((len(texts), max(count.max(initial=0), 1)), PADDING)
+        keys[np.repeat(np.arange(len(count)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)] = at.flatten().to_numpy()
+        return texts.field("node").to_numpy(), shingle_sets(*utf8(texts.field("text")), size), keys
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                nodes, sets = sets_of(batch.column("texts")[i].as_py())
+                here = batch.column("root")[i].as_py()
+                nodes, sets, keys = sets_of(batch.column("texts")[i].values)
                 if one_side := "others" not in batch.schema.names:
-                    links = linked(sets, sets, threshold)
+                    links = first_meets(keys, keys, here)
                     np.fill_diagonal(links, False)
+                    if not links.any():
+                        continue
+                    links &= linked(sets, sets, threshold)
                     label, _ = reached(links, nodes, nodes, True)
                     count = links.sum(1)
                 else:
-                    more, others = sets_of(batch.column("others")[i].as_py())
-                    links = linked(sets, others, threshold)
+                    more, others, more_keys = sets_of(batch.column("others")[i].values)
+                    links = first_meets(keys, more_keys, here)
+                    if not links.any():
+                        continue
+                    links &= linked(sets, others, threshold)
                     label = np.concatenate(reached(links, nodes, more, one_side))
                     nodes, count = np.concatenate([nodes, more]), np.concatenate([links.sum(1), links.sum(0)])
                 has = count > 0
@@ -182,8 +237,34 @@ def _linked(size: int, threshold: float):
     return run
 
 
+def _holding(keys: DataFrame, limit: int = FILTER_BITS):
+    """A bit for each (doc_id, tag) of ``keys``: map function that lets only rows pass that may be among them.
+
+    The bits follow the number of keys up to ``limit``, beyond which more rows pass that are not.
+    """
+    n = keys.count()
+    size = min(limit, 1 << max(10, (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(size)).cast("long")
+    words = keys.select(at.alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 AS INT)) AS bit")
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+
+    def run(batches):
+        for batch in batches:
+            where = batch.column("at").to_numpy()
+            yield batch.filter(pa.array((bits[where >> 6] >> (where & 63)) & 1 == 1))
+
+    def held(rows: DataFrame) -> DataFrame:
+        with_place = rows.withColumn("at", at)
+        return with_place.mapInArrow(run, with_place.schema).drop("at")
+    return held
+
+
 def links_within(groups: DataFrame, text: DataFrame, size: int, threshold: float) -> DataFrame:
-    """node, root, n: links of each node of ``groups`` (node, root, shingles, doc_id, tag) within its group, in parts to be summed.
+    """node, root, n: links of each node of ``groups`` (node, root, shingles, doc_id, tag, keys) within its group, in parts to be summed.
+
+    Root names the group, keys holds all groups of a node: a pair that shares several is linked in the least of them.
 
     A group over the size of a block is cut by size band, so that a pair at the threshold is in one band or two successive
     ones, and by hash; each pair of its blocks that may hold links is a row of work of bounded size.
@@ -196,24 +277,32 @@ def links_within(groups: DataFrame, text: DataFrame, size: int, threshold: float
     banded = staged(banded, "banded")
     bands = staged(banded.groupBy("root", "band", "large").agg(parts.alias("parts")), "bands")
     placed = banded.join(bands.drop("large"), ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    placed = staged(placed.select("node", "doc_id", "tag", "root", "band", "part", "large"), "placed-texts")
+    placed = staged(placed.select("node", "doc_id", "tag", "keys", "root", "band", "part", "large"), "placed-texts")
     key = ["root", "band", "part", "large"]
-    held = same(text, placed, ["doc_id", "tag"]).groupBy("node", *key).agg(F.first("text").alias("text"))
-    blocks = staged(held.groupBy(*key).agg(F.collect_list(F.struct("node", "text")).alias("texts")), "blocks")
+    # few texts meet any other: the rest stays where it is, and the join that follows moves texts at every size of input
+    wanted = staged(placed.groupBy("node", "doc_id", "tag", "keys").agg(F.collect_list(F.struct(*key)).alias("at")), "wanted-texts")
+    some = _holding(wanted.select("doc_id", "tag"))(text)
+    held = same(some, wanted.hint("merge"), ["doc_id", "tag"]).groupBy("node").agg(F.first(F.struct("text", "keys", "at")).alias("r"))
+    held = held.select("node", "r.text", "r.keys", F.explode("r.at").alias("at")).select("node", "text", "keys", "at.*")
+    blocks = staged(held.groupBy(*key).agg(F.collect_list(F.struct("node", "text", "keys")).alias("texts")), "blocks")
+    discard(banded, placed, wanted)
     release(text.sparkSession)
     run, schema = _linked(size, threshold), "node long, root long, n long"
-    within = staged(blocks.select("texts").mapInArrow(run, schema), "links")
+    within = staged(blocks.select("root", "texts").mapInArrow(run, schema), "links")
     numbered = bands.where("large").select("root", "band", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     same_band = numbered.where("part + 1 < parts").select("root", "band", "part", F.col("band").alias("band2"), F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("part2"))
     after = numbered.select("root", (F.col("band") - 1).alias("band"), F.col("band").alias("band2"), F.col("part").alias("part2"))
     next_band = numbered.select("root", "band", "part").join(after, ["root", "band"]).select("root", "band", "part", "band2", "part2")
     pairs = staged(same_band.unionByName(next_band), "block-pairs")
     if is_empty(pairs):
+        discard(blocks)
         return within
     cut = blocks.where("large").select("root", "band", "part", "texts")
     others = cut.withColumnsRenamed({"band": "band2", "part": "part2", "texts": "others"})
-    both = pairs.join(cut, ["root", "band", "part"]).join(others, ["root", "band2", "part2"]).select("texts", "others")
-    return within.unionByName(staged(both.mapInArrow(run, schema), "links-between"))
+    both = pairs.join(cut, ["root", "band", "part"]).join(others, ["root", "band2", "part2"]).select("root", "texts", "others")
+    between = staged(both.mapInArrow(run, schema), "links-between")
+    discard(blocks)
+    return within.unionByName(between)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -225,16 +314,17 @@ def components(links: DataFrame) -> DataFrame:
         up = both.groupBy(F.col("a").alias("from")).agg(F.min("b").alias("least")).select("from", F.least("from", "least").alias("to"))
         up = staged(up, "parents")
         above = up.select(F.col("from").alias("to"), F.col("to").alias("top"))
-        up = staged(up.join(above, "to", "left").select("from", F.coalesce("top", "to").alias("to")), "parents")
-        roots = staged(roots.join(up, roots["root"] == up["from"], "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
-        edges = staged(
-            edges.join(up.withColumnsRenamed({"from": "a", "to": "x"}), "a").join(up.withColumnsRenamed({"from": "b", "to": "y"}), "b")
+        twice = staged(up.join(above, "to", "left").select("from", F.coalesce("top", "to").alias("to")), "parents")
+        old, roots = roots, staged(roots.join(twice, roots["root"] == twice["from"], "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        done, edges = edges, staged(
+            edges.join(twice.withColumnsRenamed({"from": "a", "to": "x"}), "a").join(twice.withColumnsRenamed({"from": "b", "to": "y"}), "b")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
+        discard(up, twice, old, done)
     return roots
 
 
 def similar(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL,
-            trees: int = TREES, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+            trees: int = TREES, depth: int = DEPTH, least: int = LEAST, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(rows, links): doc_id, tag, node of each row, and node, root, n: a node it is connected with, and its verified links, in parts.
 
     A node is a distinct shingle set. Rows are shuffled by node, prefix or block, never by class; a crowded key only adds
@@ -242,34 +332,50 @@ def similar(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD,
     """
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tag"), text_or_empty().alias("text"))
-    rows = staged(text.mapInArrow(_labelled(size, trees, depth), "doc_id long, tag long, node long, shingles long, labels array<binary>"), "labels")
-    nodes = rows.where("shingles > 0").groupBy("node").agg(
+    labelled = staged(text.mapInArrow(_labelled(size, trees, depth), "doc_id long, tag long, node long, shingles long, labels array<binary>"), "labels")
+    rows = staged(labelled.select("doc_id", "tag", "node"), "rows")
+    nodes = labelled.where("shingles > 0").groupBy("node").agg(
         F.min(F.struct("doc_id", "tag")).alias("at"), F.first("labels").alias("labels"), F.first("shingles").alias("shingles"))
     nodes = staged(nodes, "nodes")
-    groups = components(meetings(nodes.select("node", "labels"), shortest_depth(threshold, recall, trees, depth)))
+    discard(labelled)
+    met = meetings(nodes.select("node", "labels"), shortest_depth(threshold, recall, trees, depth), least, crowd)
     release(spark)
-    groups = nodes.select("node", "at.doc_id", "at.tag", "shingles").join(groups, "node")
-    links = links_within(staged(groups, "groups"), text, size, threshold)
-    return rows.select("doc_id", "tag", "node"), links
-
-
-def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, tag, class_key, class_id, class_size, n_links of every row; a class is connected by links of similarity at least ``threshold``.
-
-    class_key tells classes apart, class_id is the least doc_id of the class, tag the digest of the row's text. Texts with the same shingle set are copies: one node, not a link. n_links is
-    the number of other shingle sets that reach the threshold with the text's: all that meet it in the forest are counted. A null text is an empty one, and empty texts are copies of each other. Fewer than ``size`` words
-    are one shingle. Rows that repeat a doc_id are rows of their own; a null doc_id is the least, so a class with one has
-    a null class_id only if it has no other id. An empty table gives no row. Other columns are not read.
-    """
+    # a text is in one trie node of each tree at most, so its list is short
+    keys = met.groupBy("node").agg(F.array_sort(F.collect_list("trie")).alias("keys"))
+    groups = nodes.select("node", "at.doc_id", "at.tag", "shingles").join(keys, "node").withColumn("root", F.explode("keys"))
+    groups = staged(groups, "groups")
+    discard(met, nodes)
+    links = links_within(groups, text, size, threshold)
+    discard(groups)
+    return rows, links
+
+
+def _classes(docs: DataFrame, **parameters) -> tuple[DataFrame, DataFrame]:
+    """(placed, classes): every row with the root of its class, and of each class its least id, size and the row that stays."""
     rows, links = similar(docs, **parameters)
     roots = components(links.where("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")))
     ends = links.groupBy("node").agg(F.sum("n").alias("n_links"))
     placed = rows.join(roots, "node", "left").join(ends, "node", "left").select(
         "doc_id", "tag", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     placed = staged(placed, "placed")
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    classes = staged(classes, "classes")  # a table of its own, so that Spark may split the join
-    return placed.join(classes, "root").select("doc_id", "tag", F.col("root").alias("class_key"), "class_id", "class_size", "n_links")
+    classes = placed.groupBy("root").agg(
+        F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("stays"))
+    return placed, staged(classes, "classes")  # a table of its own, so that Spark may split joins with it
+
+
+def near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, tag, class_key, class_id, class_size, n_links of every row; a class is connected by links of similarity at least ``threshold``.
+
+    class_key tells classes apart, class_id is the least doc_id of the class, tag the digest of the row's text. Texts with
+    the same shingle set are copies: one node, not a link. n_links is the number of other shingle sets that reach the
+    threshold with the text's: all that meet it in the forest are counted, and a pair at the threshold meets with
+    probability ``recall`` at least. A null text is an empty one, and empty texts are copies of each other. Fewer than
+    ``size`` words are one shingle; texts of any length are compared whole. Rows that repeat a doc_id are rows of their
+    own; a null doc_id is the least, so a class with one has a null class_id only if it has no other id. An empty table
+    gives no row. Other columns are not read.
+    """
+    placed, classes = _classes(docs, **parameters)
+    return placed.join(classes.drop("stays"), "root").select("doc_id", "tag", F.col("root").alias("class_key"), "class_id", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
@@ -277,9 +383,8 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
 
     A row with a null doc_id stays only if its class has no other; of rows that repeat doc_id and text, one stays.
     """
-    classes = near_duplicates(docs, **parameters)
-    chosen = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("r"), F.count("*").alias("n"))
-    chosen = staged(chosen.select("r.doc_id", F.col("r.tag").alias("__tag")), "chosen")
+    _, classes = _classes(docs, **parameters)
+    chosen = classes.select("stays.doc_id", F.col("stays.tag").alias("__tag"))
     kept = same(docs.withColumn("__tag", F.xxhash64(text_or_empty())), chosen, ["doc_id", "__tag"])
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("__tag"))
     if not is_empty(rows.groupBy("doc_id", "__tag").count().where("count > 1")):

@@ -42,8 +42,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def neighbours_of(vectors: np.ndarray, among: np.ndarray, k: int, own: bool) -> np.ndarray:
     """The k rows of ``among`` nearest to each row; ``own``: row i of both is the same vector, and not its own neighbour."""
     out = []
-    for start in range(0, len(vectors), 1024):
-        alike = vectors[start:start + 1024] @ among.T
+    for start in range(0, len(vectors), 256):
+        alike = vectors[start:start + 256] @ among.T
         if own:
             alike[np.arange(len(alike)), np.arange(start, start + len(alike))] = -2
         out.append(np.argpartition(-alike, k - 1, axis=1)[:, :k])
@@ -161,7 +161,7 @@ def fit(sample: np.ndarray, parts: int, k: int = K, recall: float = RECALL, seed
         return None
     near = neighbours_of(vectors, vectors, NEIGHBOURS, True)
     label = balanced_parts(near, parts, rng)
-    targets = np.zeros((n, parts))
+    targets = np.zeros((n, parts), np.float32)
     np.add.at(targets, (np.repeat(np.arange(n), NEIGHBOURS), label[near].ravel()), 1)
     targets[np.arange(n), label] += 1
     targets /= targets.sum(1, keepdims=True)
@@ -250,8 +250,10 @@ def _searched(k: int):
 def sampled(rows: DataFrame, n: int, dim: int, size: int) -> np.ndarray:
     """About ``size`` of the n vectors of a length, by the hash of their rows; never over a quarter more."""
     share = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, size / n))
-    got = rows.where(F.col("dim") == dim).where(share).select("vec_id", "v").limit(size + size // 4).collect()
-    return np.array([r.v for r in sorted(got)], np.float64).reshape(len(got), dim)
+    got = rows.where(F.col("dim") == dim).where(share).select("vec_id", "v").limit(size + size // 4).toArrow().combine_chunks()
+    values = got["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    order = np.lexsort((*values.T[::-1], got["vec_id"].to_numpy()))
+    return values[order]
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, sample: int = SAMPLE, recall: float = RECALL, parts: int | None = None,
