@@ -2,7 +2,8 @@
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, where a token with
 a digit is a variable field. Within a leaf, a token that fewer than ``min_docs`` documents have at its position is
-a variable field too; what remains is the line's template. Lines whose template recurs in ``min_docs`` documents go.
+a variable field too; what remains is the line's template. Lines whose template recurs in ``min_docs`` documents go;
+documents of the same text count once.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from .common import BLANKS, WORD, clustered, release, staged, table, text_or_emp
 LEADING = 3
 MIN_DOCS = 5
 FIXED_SHARE = 0.5
-WHOLE_SHARE = 0.5
 FIELD = "<*>"
 DIGIT_TOKEN = f"[^{BLANKS}]*[0-9][^{BLANKS}]*"
 KEY = ["__id", "__tag"]
@@ -30,10 +30,9 @@ def _tokens(line: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` dealt by document: __id is never null, __tag tells texts and missing ids apart, so plain equality joins."""
+    """``docs`` dealt by document: __id is never null, __tag tells texts apart, so plain equality joins."""
     none = F.lit("0").cast(docs.schema["doc_id"].dataType)
-    tag = F.xxhash64(text_or_empty(), F.col("doc_id").isNull())
-    return clustered(docs.withColumns({"__id": F.coalesce("doc_id", none), "__tag": tag}), KEY, "keyed-documents")
+    return clustered(docs.withColumns({"__id": F.coalesce("doc_id", none), "__tag": F.xxhash64(text_or_empty())}), KEY, "keyed-documents")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -49,16 +48,16 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _in_documents(rows: DataFrame, by: list[str], name: str = "docs") -> DataFrame:
-    """Number of documents of each ``by``; the document is part of the first grouping, so no group is gathered."""
-    return rows.select(*by, *KEY).distinct().groupBy(*by).agg(F.count("*").alias(name))
+    """Number of different texts of each ``by``; the text is part of the first grouping, so no group is gathered."""
+    return rows.select(*by, "__tag").distinct().groupBy(*by).agg(F.count("*").alias(name))
 
 
 def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
     """line_a, line_b, template of the lines in leaves that ``min_docs`` documents reach and that keep enough fixed tokens."""
     leaves = _in_documents(lines, ["leaf"]).where(F.col("docs") >= min_docs).select("leaf")
     leaves = staged(leaves, "leaves")  # a table of its own, so that Spark may split the join
-    among = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", *LINE, *KEY).agg(F.min("line_no").alias("line_no"))
-    distinct = among.groupBy("leaf", *LINE).agg(F.count("*").alias("docs"), F.min(F.struct(*KEY, "line_no")).alias("at"))
+    among = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", *LINE, "__tag").agg(F.min(F.struct("__id", "line_no")).alias("at"))
+    distinct = among.groupBy("leaf", *LINE).agg(F.count("*").alias("docs"), F.min(F.struct("__tag", F.col("at.__id"), F.col("at.line_no"))).alias("at"))
     distinct = staged(distinct.select("leaf", *LINE, "docs", "at.*"), "distinct-lines")
     # the text of one line of each kind, from the document where it stands
     wanted = distinct.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "leaf", *LINE, "docs")).alias("wanted"))
@@ -77,8 +76,7 @@ def _templates(docs: DataFrame, lines: DataFrame, min_docs: int, fixed_share: fl
     return shape.select(*LINE, F.sha2(F.to_json(F.struct("leaf", "shape.token")), 256).alias("template"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE,
-                    whole_share: float = WHOLE_SHARE) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed_share: float = FIXED_SHARE) -> DataFrame:
     """Of the documents of ``keyed``: key, n_lines, dropped (line numbers from 0, null for none), whole (left as it is)."""
     lines = staged(_lines(docs), "lines")
     useful = lines.where("n > 0")  # the path of a line of up to LEADING tokens is all of it
@@ -92,17 +90,18 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed_share: floa
     totals = lines.groupBy(*KEY, "line_no").agg(F.max("n").alias("n")).groupBy(*KEY).agg(
         F.count("*").alias("n_lines"), F.sum("n").alias("words"))
     out = totals.join(drops, KEY, "left")
-    whole = F.coalesce(F.col("lost") > whole_share * F.col("words"), F.lit(False))
+    whole = F.coalesce(F.col("lost") >= F.col("words"), F.lit(False))
     return out.select(*KEY, "n_lines", F.when(~whole, F.col("dropped")).alias("dropped"), whole.alias("whole"))
 
 
 def drop_templates(docs: DataFrame, **parameters) -> DataFrame:
     """All columns of ``docs`` with the recurring lines taken out of text, and n_lines, n_dropped, whole.
 
-    A template must recur in ``min_docs`` documents and have ``fixed_share`` of its tokens fixed; lines of a word or two count like others. A
-    document that would lose more than ``whole_share`` of its words is a copy rather than a document with boilerplate:
-    it stays whole, for near-duplicate removal. A text without a dropped line stays as it is, null included (one empty line).
-    Rows that repeat doc_id and text count as one document and share their result; a null doc_id is an id like any other.
+    A template must recur in ``min_docs`` documents and have ``fixed_share`` of its tokens fixed; lines of a word or two count like others.
+    Texts that are equal count as one document. A document all of whose words lie in recurring lines has nothing of its
+    own, so it is a copy rather than a document with boilerplate: it stays whole, for near-duplicate removal; any other
+    loses its recurring lines, however many they are. Texts of any length are read whole. A text without a dropped line stays as it is, null included (one empty line).
+    Rows that repeat doc_id and text share their result; a null doc_id is an id like any other.
     An empty table gives no row. Input columns named like the added ones are replaced; others pass through.
     """
     rows = keyed(docs.drop("n_lines", "n_dropped", "whole"))  # texts move here, once

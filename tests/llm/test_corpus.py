@@ -268,11 +268,21 @@ def test_line_templates(make_docs, prose):
     for i in range(12):
         lines = texts[i].split("\n")
         assert out[i].text == "\n".join(x for x in lines if not x.startswith(("Posted", "All rights"))) and out[i].n_dropped == 2
-    assert all(out[i].whole and out[i].text == copy and out[i].n_dropped == 0 for i in range(12, 19))
+    assert all(out[i].text == copy and out[i].n_dropped == 0 for i in range(12, 19))  # seven times one text
     assert out[19].whole and (out[20].text, out[21].text, out[22].text, out[23].text) == ("", None, "a b", "\n\n")
     assert out[23].n_lines == 3
 
 
+def test_recurring_lines_go_however_many_they_are(make_docs, prose):
+    """Texts that are mostly boilerplate lose it; near copies keep what is theirs, and the text that has nothing else stays."""
+    boiler = [" ".join(prose(50 + j, 30)) for j in range(4)]
+    own = [" ".join(prose(400 + i, 4)) for i in range(9)]
+    texts = ["\n".join([*boiler, o]) for o in own] + ["\n".join(boiler), boiler[0]]
+    out = {r.doc_id: r for r in line_templates.drop_templates(make_docs(texts)).collect()}
+    assert [out[i].text for i in range(9)] == own and all(out[i].n_dropped == 4 and not out[i].whole for i in range(9))
+    assert all(out[i].text == texts[i] and out[i].whole for i in (9, 10))
+
+
 def test_short_lines_recur_like_others(make_docs, prose):
     short = ["All rights reserved.", "And ornd.", "Of."]
     own = [" ".join(prose(700 + i, 20)) for i in range(8)]
