@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tapeledger.functions.numeric import listed, quoted
 from tapeledger.operators.enrich import RECOMPUTE_GATE
@@ -120,17 +120,27 @@ def _active_keys(accounts: DataFrame) -> DataFrame:
     return accounts.where("is_active").groupBy("api_key").agg(F.expr("min(id) AS account_id"))
 
 
+def _joined_by_key(records: DataFrame, accounts: DataFrame, how: str) -> DataFrame:
+    """``accounts`` is the accounts table, or the keys of its change log over time (sources.account_log.keys_over_time):
+    then a record gets the account that had its key when it arrived."""
+    if "valid_from" not in accounts.columns:
+        return records.join(_active_keys(accounts), "api_key", how)
+    spans = accounts.withColumnRenamed("api_key", "__key")
+    then = F.expr("api_key = __key AND valid_from <= received_at AND received_at < valid_to")
+    return records.join(spans, then, how).drop("__key", "valid_from", "valid_to")
+
+
 def resolve_account(records: DataFrame, accounts: DataFrame) -> DataFrame:
     """Give each record the active account of its key; others drop out.
 
     No hint: accounts is a plain scan, so Spark knows its size and broadcasts it only while it
     is below spark.sql.autoBroadcastJoinThreshold.
     """
-    return records.join(_active_keys(accounts), "api_key")
+    return _joined_by_key(records, accounts, "inner")
 
 
 def unknown_keys(records: DataFrame, accounts: DataFrame) -> DataFrame:
-    return records.join(_active_keys(accounts), "api_key", "left_anti")
+    return _joined_by_key(records, accounts, "left_anti")
 
 
 def stored_keys(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataFrame:
@@ -180,6 +190,9 @@ def ingest_status(batch: DataFrame, stored: DataFrame, batch_rows: int) -> DataF
     return settled_status(settle(batch, stored, batch_rows))
 
 
+TOTALS = {"total": "received", "saved": "CASE WHEN known THEN 0L ELSE 1L END", "duplicates": "received - CASE WHEN known THEN 0L ELSE 1L END"}
+
+
 def ingest_totals(status: DataFrame) -> DataFrame:
     return status.agg(
         F.expr("coalesce(sum(received), 0L) AS total"),
@@ -188,6 +201,12 @@ def ingest_totals(status: DataFrame) -> DataFrame:
     )
 
 
+def counted(settled: DataFrame) -> tuple[DataFrame, Observation]:
+    """``settled``, with the totals of the batch taken along by whatever job reads it."""
+    totals = Observation()
+    return settled.observe(totals, *[F.expr(f"coalesce(sum({e}), 0L) AS {name}") for name, e in TOTALS.items()]), totals
+
+
 def touched_strategies(new: DataFrame) -> DataFrame:
     return new.where(RECOMPUTE_GATE).select("magic_number").distinct()
 

@@ -404,6 +404,16 @@ def report_values(where: str, initial: int) -> str:
     WHERE comment IS NOT NULL GROUP BY magic_number) USING (magic_number)"""
 
 
+# accounts by the moments at which they open and close; a second account of a key, and a successor
+SPANS = """spans AS (
+  SELECT *, f + to_days(1200) AS u FROM (SELECT *, TIMESTAMP '1994-06-01' + to_days(CAST(id % 700 AS INTEGER)) AS f FROM a) WHERE id % 3 = 0
+  UNION ALL SELECT *, TIMESTAMP '9999-12-31' FROM (SELECT *, TIMESTAMP '1994-06-01' + to_days(CAST(id % 700 AS INTEGER)) AS f FROM a) WHERE id % 3 <> 0
+  UNION ALL SELECT * REPLACE (id + 1000000 AS id), TIMESTAMP '1994-06-01' + to_days(CAST(id % 700 + 1500 AS INTEGER)), TIMESTAMP '9999-12-31'
+    FROM a WHERE id % 6 = 0
+  UNION ALL SELECT * REPLACE (id + 2000000 AS id), TIMESTAMP '1994-06-01' + to_days(CAST(id % 700 + 300 AS INTEGER)), TIMESTAMP '9999-12-31'
+    FROM a WHERE id % 5 = 0)"""
+
+
 def oracle() -> dict[str, str]:
     ea, every = "magic_number", with_trades(full("magic_number", EA_ONLY))
     metrics = every + "SELECT * FROM m"
@@ -446,6 +456,12 @@ UNION ALL SELECT id, name, NULL, type, platform, NULL, initial_balance::DOUBLE,
   is_active AND id NOT IN (SELECT s_suppkey FROM supplier) AS is_active FROM a""",
         "accounts_deactivate_missing": """SELECT DISTINCT p_partkey AS id FROM part
   WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)""",
+        "accounts_as_of": f"""WITH {ACCOUNTS}, {SPANS} SELECT id, name, phase, api_key, TIMESTAMP '1998-01-01' < u AS is_active
+  FROM spans WHERE f <= TIMESTAMP '1998-01-01'""",
+        "ingest_resolve_as_of": with_inbound() + f""", {SPANS}
+SELECT min(s.id) AS account_id, o.ticket, any_value(o.symbol) AS symbol, {units('any_value(o.profit)')} AS profit
+FROM (SELECT *, row_number() OVER () AS r FROM ok) o
+JOIN spans s ON s.api_key = o.api_key AND s.f <= o.received_at AND o.received_at < s.u GROUP BY o.r, o.ticket""",
         "account_badges": f"""WITH {ACCOUNTS} SELECT id, coalesce(nullif(phase, ''), type, '—') AS label,
   CASE WHEN phase = 'Fondeada' THEN 'badge-funded' WHEN phase LIKE 'Fase%' THEN 'badge-phase'
        WHEN type = 'Propfirm' THEN 'badge-propfirm' ELSE 'badge-default' END AS badge FROM a""",
@@ -576,6 +592,13 @@ SELECT * FROM m""",
             "AND close_time <= TIMESTAMP '1997-12-31'", 25_000
         ),
         "running_metrics": metrics,
+        "stream_state_metrics": metrics,
+        "stream_dedupe_within": with_inbound() + """SELECT DISTINCT account_id, ticket, 1 + (newest <
+  (SELECT max(received_at) FROM t) - to_days(30))::BIGINT AS passed
+FROM res JOIN (SELECT ticket, max(received_at) AS newest FROM t GROUP BY ticket) USING (ticket)""",
+        "ea_guarded_metrics": every + """SELECT magic_number, total_trades, total_net_profit, max_drawdown_usd, sharpe_ratio,
+  NULL AS error FROM m WHERE magic_number <> 5
+UNION ALL SELECT DISTINCT magic_number, NULL, NULL, NULL, NULL, 'net_profit: sum out of range' FROM m WHERE magic_number = 5""",
         "running_metrics_late": metrics,
         "running_metrics_account": with_trades(full("account_id", ANY)) + "SELECT * FROM m",
         "running_metrics_pair": with_trades(full("magic_number, symbol", EA_ONLY)) + "SELECT * FROM m",

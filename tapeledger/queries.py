@@ -6,6 +6,7 @@ Results are made comparable with any SQL engine: money as double, times as ISO t
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,19 +17,23 @@ from tapeledger.operators import ingest as I
 from tapeledger.operators import path as P
 from tapeledger.operators import stats as S
 from tapeledger.operators.enrich import prepare
+from tapeledger.operators.guarded import apart
 from tapeledger.operators.ordered import ChunkPolicy, running_total_by_time
 from tapeledger.plans import reports as R
 from tapeledger.plans.jobs import run_snapshot
 from tapeledger.plans import snapshot as N
 from tapeledger.session import durable, scratch_path
+from tapeledger.sources import account_log as L
 from tapeledger.sources import adapter
+from tapeledger.sources.account_log import AccountLog
 from tapeledger.sources.commits import KeyedTable
 from tapeledger.sources.sinks import merge_store, read_store, write_trades
 from tapeledger.sources.trades import (
     closed_strategy_trades, load_trades, read_inbound, read_trades, scan, stream_inbound,
 )
 from tapeledger.streaming import running
-from tapeledger.streaming.ingest import IngestJob, current_metrics
+from tapeledger.streaming.ingest import IngestJob, current_metrics, dedupe_within
+from tapeledger.streaming.stateful import keep_tree, tree_metrics
 
 EA = ["magic_number"]
 SYMBOL = ["symbol"]
@@ -189,6 +194,31 @@ def account_curve_range(spark, sf):
     return A.curve_range(_account_curve(spark, sf))
 
 
+def _account_log(spark, sf) -> AccountLog:
+    """Accounts that open over two years, of which each third is closed after 1200 days; some keys pass to a second account
+    while the first is active, some to a successor once it is not."""
+    log = AccountLog(spark, scratch_path(spark, "accounts"))
+    accounts = adapter.accounts(spark, sf)
+    opened = "timestampadd(DAY, cast(id % 700 AS INT) + {}, timestamp_ntz'1994-06-01')"
+    log.append(accounts, opened.format(0))
+    log.deactivate(accounts.where("id % 3 = 0").select("id"), opened.format(1200))
+    for part, offset, days in (("id % 6 = 0", 1_000_000, 1500), ("id % 5 = 0", 2_000_000, 300)):
+        log.append(accounts.where(part).withColumn("id", F.col("id") + offset), opened.replace("id", f"(id - {offset})").format(days))
+    return log
+
+
+def accounts_as_of(spark, sf):
+    """The accounts table as it was at the start of 1998, from its change log."""
+    held = L.accounts_at(_account_log(spark, sf).events(), "1998-01-01 00:00:00")
+    return held.select("id", "name", "phase", "api_key", "is_active")
+
+
+def ingest_resolve_as_of(spark, sf):
+    """Records resolved by the account that had their key when they arrived, though all that came after is known."""
+    keys = L.keys_over_time(_account_log(spark, sf).events())
+    return I.resolve_account(I.valid(_checked(spark, sf)), keys).select("account_id", "ticket", "symbol", "profit")
+
+
 # --- ingest --------------------------------------------------------------------------------
 
 
@@ -315,6 +345,16 @@ def ea_curve_pages(spark, sf):
     return pages.selectExpr("magic_number", "page", f"{points} AS points")
 
 
+def ea_guarded_metrics(spark, sf):
+    """Strategy 5 gets profits whose sum no column holds: it is reported with its error, the others with their figures."""
+    wide = _closed(spark, sf).withColumn("net_profit", F.expr(
+        "CASE WHEN magic_number = 5 THEN cast('9e32' AS DECIMAL(38,4)) ELSE cast(net_profit AS DECIMAL(38,4)) END"))
+    sound, failing = apart(wide, EA)
+    figures = ["total_trades", "total_net_profit", "max_drawdown_usd", "sharpe_ratio"]
+    return R.full_metrics(sound, EA).select(*EA, *figures).unionByName(
+        failing.selectExpr(*EA, "array_join(errors, '; ') AS error"), allowMissingColumns=True)
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -378,6 +418,40 @@ def stream_metrics_batches(spark, sf):
     return current_metrics(spark, job.metrics)
 
 
+def stream_state_metrics(spark, sf):
+    """Month summaries held by Spark's state over three batches, the stream stopped and started again before the last, in
+    which some trades come late."""
+    source, root = scratch_path(spark, "trades"), scratch_path(spark, "state")
+    trades, history = adapter.trades(spark, sf), _closed(spark, sf)
+    late = "close_time >= timestamp_ntz'1998-02-02' AND close_time < timestamp_ntz'1998-02-20'"
+    parts = ["close_time < timestamp_ntz'1997-03-15'", f"close_time >= timestamp_ntz'1997-03-15' AND NOT ({late}) AND year(close_time) < 1999",
+             f"({late}) OR year(close_time) >= 1999"]
+    for number, part in enumerate(parts):
+        trades.where(part).coalesce(1).write.parquet(f"{source}/part={number}")
+        if number:
+            stream = spark.readStream.schema(trades.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
+            keep_tree(prepare(closed_strategy_trades(stream)), EA, root, lambda _, months: history.where(H.within(months, "month"))).awaitTermination()
+    return tree_metrics(spark, root, EA)
+
+
+def stream_dedupe_within(spark, sf):
+    """How often each trade passes the bounded duplicate removal: repeats a day later do not, repeats after months do."""
+    source, root = scratch_path(spark, "inbound"), scratch_path(spark, "unique")
+    records = adapter.inbound(spark, sf)
+    newest = records.agg(F.max("received_at")).first()[0]
+    old = records.groupBy("ticket").agg(F.max("received_at").alias("last")).where(F.col("last") < newest - timedelta(days=30))
+    repeats = [records.withColumn("received_at", F.expr("received_at + INTERVAL 1 DAY")),
+               records.join(old.select("ticket"), "ticket", "left_semi").withColumn("received_at", F.lit(newest + timedelta(days=60)))]
+    for part in (records.unionByName(repeats[0]), repeats[1]):
+        part.write.mode("append").json(source)
+        stream = stream_inbound(spark, source, files_per_trigger=100_000)
+        known = I.resolve_account(I.valid(I.validate(stream)), adapter.accounts(spark, sf))
+        unique = dedupe_within(known.withColumn("received_at", F.col("received_at").cast("timestamp")))
+        unique.select("account_id", "ticket").writeStream.format("parquet").option("path", f"{root}/out").option(
+            "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("account_id", "ticket").agg(F.count("*").alias("passed"))
+
+
 def _report_values(documents: DataFrame) -> DataFrame:
     """The figures of report documents, read back from their JSON into typed columns."""
     whole = {
@@ -451,6 +525,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "account_rejects": account_rejects,
         "accounts_deactivate": accounts_deactivate,
         "accounts_deactivate_missing": accounts_deactivate_missing,
+        "accounts_as_of": accounts_as_of,
+        "ingest_resolve_as_of": ingest_resolve_as_of,
         "account_badges": lambda s, d: A.badges(adapter.accounts(s, d)),
         "account_overview": account_overview,
         "account_strategies": account_strategies,
@@ -527,6 +603,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "account_equity_curve_cut": lambda s, d: _account_curve(s, d, _cut(s, d)),
         "symbol_running_total_cut": symbol_running_total_cut,
+        "ea_guarded_metrics": ea_guarded_metrics,
+        "stream_state_metrics": stream_state_metrics,
+        "stream_dedupe_within": stream_dedupe_within,
         "stream_ingest": stream_ingest,
         "stream_rejects": stream_rejects,
         "stream_metrics": stream_metrics,
