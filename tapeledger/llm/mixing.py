@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed 60-bit hash. Tokens are summed by source and leading hash bits; a source's budget
+Every row has a fixed 60-bit hash. Tokens are summed by source and leading hash bits; a source's budget
 then falls into one bucket, and only the rows of that bucket are summed again by the next bits, until the
 bucket is a single hash value. A document is in the mix if its hash is below its source's threshold, so the
 mix is filtered, not sorted, and a larger budget only ever adds documents.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import is_empty, same, staged, table, word_count
+from .common import is_empty, same, staged, table, text_or_empty, word_count
 
 HASH_BITS = 60
 STEP_BITS = 12
@@ -18,13 +18,33 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with __h, a fixed 60-bit hash of doc_id, text, source and, among rows that repeat these, a number.
+
+    Which of some equal rows gets which number cannot be told, but the numbers, and so the hashes, are always the same.
+    Only rows that repeat meet: they are numbered within their partition, then shifted by the partitions before.
+    """
+    keyed = docs.withColumn("__key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_or_empty()), F.coalesce("source", F.lit("")))))
+    again = staged(keyed.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1").select("__key"), "repeats")
+    number = lambda digest: F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
+    if is_empty(again):
+        return keyed.withColumn("__h", number(F.col("__key"))).drop("__key")
+    marked = staged(keyed.join(again.withColumn("__again", F.lit(True)), "__key", "left"), "marked")
+    several = marked.where("__again").withColumn("__part", F.spark_partition_id())
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each key and partition
+    counts = several.groupBy("__key", "__part").count().withColumn("__before", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    counts = staged(counts.select("__key", "__part", "__before"), "repeat-counts")
+    within = Window.partitionBy("__key", "__part").orderBy(F.lit(0))
+    several = several.withColumn("__at", F.row_number().over(within)).join(counts, ["__key", "__part"])
+    several = several.withColumn("__h", number(F.md5(F.concat_ws(":", "__key", (F.col("__at") + F.col("__before")).cast("string")))))
+    once = marked.where("__again is null").withColumn("__h", number(F.col("__key")))
+    return once.select(*docs.columns, "__h").unionByName(several.select(*docs.columns, "__h"))
+
+
 def sized(docs: DataFrame, size=None) -> DataFrame:
     """doc_id, source, size and the 60-bit hash of each row."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select(
-        "doc_id", "source", (word_count() if size is None else size).alias("size"),
-        F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
-    )
+    return hashed(docs).select("doc_id", "source", (word_count() if size is None else size).alias("size"), F.col("__h").alias("h"))
 
 
 def ranked(names: DataFrame, column: str) -> DataFrame:
@@ -109,8 +129,8 @@ def plan_of(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_REPEAT) -
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_REPEAT, size=None) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row: ``taken`` words are in the mix, repeats counted.
 
-    A null text has size 0, a null source is a source of its own and comes last. Rows that repeat a doc_id (or
-    have none) share its hash, so they are in the mix together. An empty table gives no row; sources of size 0
+    A null text has size 0, a null source is a source of its own and comes last. Rows that repeat a doc_id, have none, or
+    repeat another row whole are in the mix each for itself. Texts of any length are counted whole. An empty table gives no row; sources of size 0
     have target 0. Columns other than doc_id, source and text are not read.
     """
     rows = staged(sized(docs, size), "sized")
@@ -121,11 +141,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_REPEAT, size=
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_REPEAT) -> DataFrame:
     """The rows of ``docs`` that the mix holds, each as often as the mix repeats it (at most ``most`` times); columns as they are."""
-    rows = staged(sized(docs), "sized")
+    docs_h = hashed(docs)
+    rows = staged(docs_h.select("source", word_count().alias("size"), F.col("__h").alias("h")), "sized")
     aim = plan_of(rows, weights, most).select("source", "repeats", "threshold")
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    hashed = docs.withColumn("__h", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
-    out = same(hashed, aim.withColumnsRenamed({"repeats": "__repeats", "threshold": "__threshold"}), ["source"])
+    out = same(docs_h, aim.withColumnsRenamed({"repeats": "__repeats", "threshold": "__threshold"}), ["source"])
     times = (F.col("__repeats") + (F.col("__h") < F.col("__threshold")).cast("long")).cast("int")
     out = out.withColumn("__times", times).where("__times > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
@@ -138,8 +157,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
-  FROM documents),
+         ('0x' || substr(CASE WHEN copies = 1 THEN key ELSE md5(key || ':' || number) END, 1, 15))::BIGINT AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY key) AS copies, row_number() OVER (PARTITION BY key) AS number
+        FROM (SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':' || coalesce(source, '')) AS key FROM documents))),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
              [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
       FROM d GROUP BY source),

@@ -198,6 +198,18 @@ def test_mixing_targets_and_taken_words(make_docs, prose):
     assert all(copies.get(r.doc_id, 0) * r.size == r.taken for r in got)
 
 
+def test_mixing_of_rows_that_ids_do_not_tell_apart(make_docs, prose):
+    """Two sources of 500 words whose ids are null, and a third whose rows are all the same."""
+    texts = [(None, " ".join(prose(i, 5))) for i in range(200)] + [(7, "the same five words again")] * 100
+    docs = make_docs(texts, ["a"] * 100 + ["b"] * 100 + ["c"] * 100)
+    got = mixing.mix(docs).groupBy("target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert {r.n for r in got} == {100} and len(got) == 3
+    assert all(abs(r.taken - r.target) <= 5 for r in got)
+    again = mixing.mix(docs.repartition(5)).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert {(r.target, r.taken) for r in again} == {(r.target, r.taken) for r in got}
+    assert mixing.mixed_documents(docs).count() * 5 == sum(r.taken for r in got)
+
+
 def test_mixing_edges(make_docs):
     assert mixing.mix(make_docs([])).collect() == []
     assert [(r.taken, r.target) for r in mixing.mix(make_docs([None, ""])).collect()] == [(0, 0.0)] * 2
