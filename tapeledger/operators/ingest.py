@@ -24,10 +24,10 @@ def _tests(name: str) -> list[tuple[str, str]]:
         tests.append((f"{raw} IS NULL", f"{name}: missing"))
     if kind.startswith("decimal"):
         # a number that the column cannot hold as it was sent is refused, never rounded
-        scale, absent = INBOUND_FIELDS[name].scale, f"{raw} IS NOT NULL AND `{name}` IS NULL"
-        inexact = f"coalesce({_decimals(raw)} > {scale} AND try_cast({raw} AS DOUBLE) IS NOT NULL, false)"
+        field, absent = INBOUND_FIELDS[name], f"{raw} IS NOT NULL AND `{name}` IS NULL"
+        inexact = f"coalesce(abs(try_cast({raw} AS DOUBLE)) < 1e{field.precision - field.scale}, false)"
         tests.append((f"{absent} AND NOT {inexact}", f"{name}: not a number"))
-        tests.append((f"{absent} AND {inexact}", f"{name}: more than {scale} decimals"))
+        tests.append((f"{absent} AND {inexact}", f"{name}: more than {field.scale} decimals"))
     elif kind != "string":
         tests.append((f"{raw} IS NOT NULL AND `{name}` IS NULL", f"{name}: not a {_KIND[kind]}"))
     if name == "order_type":
@@ -59,29 +59,52 @@ def _decimals(text: str) -> str:
 
 
 def _time(text: str) -> str:
-    """A time without zone as it stands; one with a zone or an offset in UTC."""
+    """A time without zone as it stands; one with a zone or an offset in UTC. One of 19 characters with seconds has none."""
     micros = f"unix_micros(try_cast({text} AS TIMESTAMP))"
     return (
-        f"CASE WHEN substring(trim({text}), 12) RLIKE '[A-Za-z+-]' "
+        f"CASE WHEN length({text}) = 19 AND substring({text}, 17, 1) = ':' THEN try_cast({text} AS TIMESTAMP_NTZ) "
+        f"WHEN substring(trim({text}), 12) RLIKE '[A-Za-z+-]' "
         f"THEN timestampadd(MICROSECOND, {micros}, timestamp_ntz'1970-01-01 00:00:00') "
         f"ELSE try_cast({text} AS TIMESTAMP_NTZ) END"
     )
 
 
+# holds every number of up to 20 characters without an exponent as it was written
+_WIDE = "DECIMAL(38,18)"
+
+
+def _plain(text: str) -> str:
+    return f"(length({text}) <= 20 AND locate('e', {text}) = 0 AND locate('E', {text}) = 0)"
+
+
 def _typed(name: str) -> str:
+    """A field as its type, NULL where it cannot be held as it was sent. ``__wide_`` is its only cast in the plain case."""
+    raw, wide = f"`__raw_{name}`", f"`__wide_{name}`"
     if name == "order_type":
-        return "upper(order_type)"
+        return f"upper({raw})"
     if name == "comment":
-        return "nullif(comment, '')"
+        return f"nullif({raw}, '')"
     kind = INBOUND_FIELDS[name].simpleString()
     if kind == "string":
-        return f"`{name}`"
+        return raw
     if kind == "timestamp_ntz":
-        return _time(f"`{name}`")
+        return _time(raw)
     if kind == "bigint":  # 7.0 is a whole number
-        return f"CASE WHEN {_decimals(f'`{name}`')} <= 0 THEN try_cast(try_cast(`{name}` AS DECIMAL(38,6)) AS BIGINT) END"
+        return f"coalesce({wide}, CASE WHEN {_decimals(raw)} <= 0 THEN try_cast(try_cast({raw} AS DECIMAL(38,6)) AS BIGINT) END)"
     scale = INBOUND_FIELDS[name].scale
-    return f"CASE WHEN {_decimals(f'`{name}`')} <= {scale} THEN try_cast(`{name}` AS {kind}) END"
+    return (
+        f"CASE WHEN {_plain(raw)} THEN CASE WHEN {wide} = bround({wide}, {scale}) THEN try_cast({wide} AS {kind}) END "
+        f"WHEN {_decimals(raw)} <= {scale} THEN try_cast({raw} AS {kind}) END"
+    )
+
+
+def _wide() -> list[str]:
+    out = []
+    for name, field in INBOUND_FIELDS.items():
+        kind = field.simpleString()
+        if kind == "bigint" or kind.startswith("decimal"):
+            out.append(f"try_cast(`{name}` AS {'BIGINT' if kind == 'bigint' else _WIDE}) AS `__wide_{name}`")
+    return out
 
 
 def validate(inbound: DataFrame) -> DataFrame:
@@ -91,11 +114,8 @@ def validate(inbound: DataFrame) -> DataFrame:
     reasons = ", ".join(f"CASE WHEN {condition} THEN '{text}' END" for condition, text in tests)
     others = quoted(c for c in inbound.columns if c not in INBOUND_FIELDS)
     return (
-        inbound.selectExpr(
-            *others,
-            *[f"{_typed(n)} AS `{n}`" for n in INBOUND_FIELDS],
-            *[f"`{n}` AS `__raw_{n}`" for n in INBOUND_FIELDS],
-        )
+        inbound.selectExpr(*others, *[f"`{n}` AS `__raw_{n}`" for n in INBOUND_FIELDS], *_wide())
+        .selectExpr(*others, *[f"{_typed(n)} AS `{n}`" for n in INBOUND_FIELDS], *[f"`__raw_{n}`" for n in INBOUND_FIELDS])
         .selectExpr("*", f"{fine} AS is_valid")
         .selectExpr(
             *others,

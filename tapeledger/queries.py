@@ -216,7 +216,7 @@ def accounts_as_of(spark, sf):
 def ingest_resolve_as_of(spark, sf):
     """Records resolved by the account that had their key when they arrived, though all that came after is known."""
     keys = L.keys_over_time(_account_log(spark, sf).events())
-    return I.resolve_account(I.valid(_checked(spark, sf)), keys).select("account_id", "ticket", "symbol", "profit")
+    return I.resolve_account(I.valid(_typed(spark, sf)), keys).select("account_id", "ticket", "symbol", "profit")
 
 
 # --- ingest --------------------------------------------------------------------------------
@@ -237,8 +237,13 @@ def ingest_validate(spark, sf):
     return _checked(spark, sf).drop("api_key", "received_at", "is_valid")
 
 
+def _typed(spark, sf):
+    """The typed batch, written once: what reads it neither casts again nor pushes its filters below the casts."""
+    return durable(_checked(spark, sf))
+
+
 def _resolved(spark, sf):
-    return I.resolve_account(I.valid(_checked(spark, sf)), adapter.accounts(spark, sf)).drop("api_key")
+    return I.resolve_account(I.valid(_typed(spark, sf)), adapter.accounts(spark, sf)).drop("api_key")
 
 
 def ingest_resolve_account(spark, sf):
@@ -246,7 +251,7 @@ def ingest_resolve_account(spark, sf):
 
 
 def ingest_rejected_keys(spark, sf):
-    return I.unknown_keys(I.valid(_checked(spark, sf)), adapter.accounts(spark, sf)).select(
+    return I.unknown_keys(I.valid(_typed(spark, sf)), adapter.accounts(spark, sf)).select(
         "api_key", "ticket", "symbol"
     )
 
