@@ -524,6 +524,7 @@ FROM (SELECT count(*) AS received, CASE WHEN any_value(s.ticket) IS NULL THEN 1
         + f"SELECT magic_number, {STREAKS} FROM streak",
         "ea_streak_runs": streak_runs(ea, EA_ONLY),
         "ea_equity_curve": equity_curve(ea, EA_ONLY),
+        "ea_equity_curve_batches": equity_curve(ea, EA_ONLY),
         "ea_drawdown_series": drawdown_series(ea, EA_ONLY),
         "ea_curve_header": with_trades(prepared(), path(ea), figures(ea, 10_000))
         + f"""SELECT magic_number, 10000.0::DOUBLE AS initial_balance,

@@ -32,6 +32,7 @@ from tapeledger.sources.trades import (
     closed_strategy_trades, load_trades, read_inbound, read_trades, scan, stream_inbound,
 )
 from tapeledger.streaming import running
+from tapeledger.streaming.curve import CurveTable
 from tapeledger.streaming.ingest import IngestJob, current_metrics, dedupe_within
 from tapeledger.streaming.stateful import keep_tree, tree_metrics
 
@@ -350,6 +351,17 @@ def ea_curve_pages(spark, sf):
     return pages.selectExpr("magic_number", "page", f"{points} AS points")
 
 
+def ea_equity_curve_batches(spark, sf):
+    """The curve kept over three batches, the second of which is late; what is written follows the batch."""
+    history = _closed(spark, sf).withColumn("close_month", F.col("month"))
+    curve = CurveTable(spark, scratch_path(spark, "curve"), EA)
+    year, part = "year(close_time) = 1996", "close_time BETWEEN '1996-03-10' AND '1996-05-20'"
+    for number, (which, seen) in enumerate(((f"NOT {year}", f"NOT {year}"), (f"{year} AND {part}", f"NOT {year} OR {part}"), (f"{year} AND NOT ({part})", "true"))):
+        rows = history.where(seen)
+        curve.put(history.where(which), lambda months: rows.where(H.within(months)), number)
+    return curve.read()
+
+
 def ea_guarded_metrics(spark, sf):
     """Strategy 5 gets profits whose sum no column holds: it is reported with its error, the others with their figures."""
     wide = _closed(spark, sf).withColumn("net_profit", F.expr(
@@ -608,6 +620,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "account_equity_curve_cut": lambda s, d: _account_curve(s, d, _cut(s, d)),
         "symbol_running_total_cut": symbol_running_total_cut,
+        "ea_equity_curve_batches": ea_equity_curve_batches,
         "ea_guarded_metrics": ea_guarded_metrics,
         "stream_state_metrics": stream_state_metrics,
         "stream_dedupe_within": stream_dedupe_within,
