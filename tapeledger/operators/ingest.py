@@ -69,17 +69,17 @@ def _time(text: str) -> str:
     )
 
 
-# holds every number of up to 20 characters without an exponent as it was written
-_WIDE = "DECIMAL(38,18)"
-
-
-def _plain(text: str) -> str:
-    return f"(length({text}) <= 20 AND locate('e', {text}) = 0 AND locate('E', {text}) = 0)"
+def _plainly_within(text: str, scale: int) -> str:
+    """Whether a number is written without exponent and with at most ``scale`` decimals: no pattern is needed to tell."""
+    return (
+        f"(locate('e', {text}) = 0 AND locate('E', {text}) = 0 "
+        f"AND (locate('.', {text}) = 0 OR length({text}) - locate('.', {text}) <= {scale}))"
+    )
 
 
 def _typed(name: str) -> str:
-    """A field as its type, NULL where it cannot be held as it was sent. ``__wide_`` is its only cast in the plain case."""
-    raw, wide = f"`__raw_{name}`", f"`__wide_{name}`"
+    """A field as its type, NULL where it cannot be held as it was sent. A field is cast once."""
+    raw = f"`__raw_{name}`"
     if name == "order_type":
         return f"upper({raw})"
     if name == "comment":
@@ -90,21 +90,9 @@ def _typed(name: str) -> str:
     if kind == "timestamp_ntz":
         return _time(raw)
     if kind == "bigint":  # 7.0 is a whole number
-        return f"coalesce({wide}, CASE WHEN {_decimals(raw)} <= 0 THEN try_cast(try_cast({raw} AS DECIMAL(38,6)) AS BIGINT) END)"
+        return f"coalesce(try_cast({raw} AS BIGINT), CASE WHEN {_decimals(raw)} <= 0 THEN try_cast(try_cast({raw} AS DECIMAL(38,6)) AS BIGINT) END)"
     scale = INBOUND_FIELDS[name].scale
-    return (
-        f"CASE WHEN {_plain(raw)} THEN CASE WHEN {wide} = bround({wide}, {scale}) THEN try_cast({wide} AS {kind}) END "
-        f"WHEN {_decimals(raw)} <= {scale} THEN try_cast({raw} AS {kind}) END"
-    )
-
-
-def _wide() -> list[str]:
-    out = []
-    for name, field in INBOUND_FIELDS.items():
-        kind = field.simpleString()
-        if kind == "bigint" or kind.startswith("decimal"):
-            out.append(f"try_cast(`{name}` AS {'BIGINT' if kind == 'bigint' else _WIDE}) AS `__wide_{name}`")
-    return out
+    return f"CASE WHEN {_plainly_within(raw, scale)} OR {_decimals(raw)} <= {scale} THEN try_cast({raw} AS {kind}) END"
 
 
 def validate(inbound: DataFrame) -> DataFrame:
@@ -114,7 +102,7 @@ def validate(inbound: DataFrame) -> DataFrame:
     reasons = ", ".join(f"CASE WHEN {condition} THEN '{text}' END" for condition, text in tests)
     others = quoted(c for c in inbound.columns if c not in INBOUND_FIELDS)
     return (
-        inbound.selectExpr(*others, *[f"`{n}` AS `__raw_{n}`" for n in INBOUND_FIELDS], *_wide())
+        inbound.selectExpr(*others, *[f"`{n}` AS `__raw_{n}`" for n in INBOUND_FIELDS])
         .selectExpr(*others, *[f"{_typed(n)} AS `{n}`" for n in INBOUND_FIELDS], *[f"`__raw_{n}`" for n in INBOUND_FIELDS])
         .selectExpr("*", f"{fine} AS is_valid")
         .selectExpr(
