@@ -193,6 +193,31 @@ def binary(parts: list[bytes]) -> pa.Array:
 # ---- rows that a document id does not tell apart ------------------------------------------------
 
 
+def shared_ids(docs: DataFrame) -> DataFrame | None:
+    """doc_id of the ids that several rows have; None if there is none."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
+    several = staged(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "shared-ids")
+    return None if is_empty(several) else several
+
+
+def tagged(rows: DataFrame, several: DataFrame | None, tag: str = "tag", text: str = "text") -> DataFrame:
+    """Rows with a tag that with doc_id tells texts apart: 0, or for an id that several rows have the hash of the text."""
+    if several is None:
+        return rows.withColumn(tag, F.lit(0).cast("long"))
+    several = several.withColumnRenamed("doc_id", "__several")
+    out = rows.join(several, F.col("doc_id") == F.col("__several"), "left")
+    return out.withColumn(tag, F.when(F.col("__several").isNotNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop("__several")
+
+
+def texts_by_id(docs: DataFrame, several: DataFrame | None) -> DataFrame:
+    """doc_id, tag, text of the rows with an id; of equal rows one. ``several``: the ``shared_ids`` of ``docs``."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    if several is None:
+        return tagged(rows, None)
+    shared = tagged(rows.join(several, "doc_id", "left_semi"), several).dropDuplicates(["doc_id", "tag"])
+    return tagged(rows.join(several, "doc_id", "left_anti"), None).unionByName(shared)
+
+
 def one_text_per_id(docs: DataFrame) -> DataFrame:
     """doc_id, text of the rows with an id; of rows that share one, those with one text (that of the least digest)."""
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
