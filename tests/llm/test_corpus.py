@@ -113,7 +113,11 @@ def test_passages_edges(make_docs, prose):
     assert got[4] == [(0, 70, 1, 0, 70)] and got[7] == [(0, 70, 1, 0, 70)] and 1 not in got and 2 not in got
 
 
-def test_passages_around_gaps_and_of_many_holders(make_docs, prose):
+@pytest.mark.parametrize("heavy", [False, True])
+def test_passages_around_gaps_and_of_many_holders(make_docs, prose, monkeypatch, heavy):
+    if heavy:  # every seed goes the way of the frequent ones
+        monkeypatch.setattr(passages, "HEAVY_COUNT", 0)
+        monkeypatch.setattr(passages, "SAMPLE_OF", 1)
     p, q, r = prose(1, 60), prose(2, 60), prose(3, 70)
     texts = {0: p + prose(4, 100) + q, 3: p + prose(5, 100) + q}  # two passages, nothing alike between
     texts |= {1: r[:35] + prose(6, 20), 2: prose(7, 20) + r[35:], 10: prose(8, 20) + r, 20: r + prose(9, 20)}  # pieces come first
