@@ -22,7 +22,7 @@ from tapeledger.operators.ordered import ChunkPolicy, running_total_by_time
 from tapeledger.plans import reports as R
 from tapeledger.plans.jobs import run_snapshot
 from tapeledger.plans import snapshot as N
-from tapeledger.session import durable, scratch_path
+from tapeledger.session import durable, scratch_path, staged
 from tapeledger.sources import account_log as L
 from tapeledger.sources import adapter
 from tapeledger.sources.account_log import AccountLog
@@ -240,7 +240,7 @@ def ingest_validate(spark, sf):
 
 def _typed(spark, sf):
     """The typed batch, written once: what reads it neither casts again nor pushes its filters below the casts."""
-    return durable(_checked(spark, sf))
+    return staged(_checked(spark, sf), scratch_path(spark, "typed"))
 
 
 def _resolved(spark, sf):
