@@ -358,7 +358,8 @@ def ea_curve_pages(spark, sf):
 
 def ea_equity_curve_batches(spark, sf):
     """The curve kept over three batches, the second of which is late; what is written follows the batch."""
-    history = _closed(spark, sf).withColumn("close_month", F.col("month"))
+    # read for every batch and its late months, so made once
+    history = staged(_closed(spark, sf).withColumn("close_month", F.col("month")), scratch_path(spark, "history"))
     curve = CurveTable(spark, scratch_path(spark, "curve"), EA)
     year, part = "year(close_time) = 1996", "close_time BETWEEN '1996-03-10' AND '1996-05-20'"
     for number, (which, seen) in enumerate(((f"NOT {year}", f"NOT {year}"), (f"{year} AND {part}", f"NOT {year} OR {part}"), (f"{year} AND NOT ({part})", "true"))):
@@ -527,7 +528,8 @@ def _folded(history: DataFrame, keys: list[str]) -> DataFrame:
 def running_metrics_late(spark, sf):
     """Three batches into a stored month tree: the trades outside 1996, those of two months of 1996 and a half, which all
     are late, and the rest of 1996, some of it late within its month. Only the months of late trades are read again."""
-    history = _closed(spark, sf).withColumn("close_month", F.col("month"))
+    # read for every batch and its late months, so made once
+    history = staged(_closed(spark, sf).withColumn("close_month", F.col("month")), scratch_path(spark, "history"))
     trees = KeyedTable(spark, scratch_path(spark, "trees"), H.node_key(EA), fan=2)
     year, part = "year(close_time) = 1996", "close_time BETWEEN '1996-03-10' AND '1996-05-20'"
     trees.put(H.build(history.where(f"NOT {year}"), EA), 0)
