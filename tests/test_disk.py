@@ -89,3 +89,12 @@ def test_tree_in_turns(make_trades):
         [{"magic_number": 1 + i % 3, "close_time": datetime(2024, 1 + i % 12, 1 + i % 28), "profit": i - 20} for i in range(60)])))
     whole, turns = (H.metrics(H.build(trades, ["magic_number"], turns=n), ["magic_number"]) for n in (1, 5))
     assert rows_of(whole) == rows_of(turns)
+
+
+def lines(spark, folder):
+    return spark.read.text(str(folder)).count()
+
+
+def test_files_of_a_batch_go_before_the_next(spark, small_tables, scratch):  # noqa: F811
+    Q.stream_ingest_batches(spark, small_tables)
+    assert lines(spark, scratch / "inbound") == spark.read.parquet(f"{small_tables}/lineitem.parquet").count()
