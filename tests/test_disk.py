@@ -98,3 +98,10 @@ def lines(spark, folder):
 def test_files_of_a_batch_go_before_the_next(spark, small_tables, scratch):  # noqa: F811
     Q.stream_ingest_batches(spark, small_tables)
     assert lines(spark, scratch / "inbound") == spark.read.parquet(f"{small_tables}/lineitem.parquet").count()
+
+
+def test_bounded_dedupe_keeps_one_part(spark, small_tables, scratch):  # noqa: F811
+    found = Q.stream_dedupe_within(spark, small_tables)
+    items = spark.read.parquet(f"{small_tables}/lineitem.parquet")
+    assert 0 < lines(spark, scratch / "inbound") <= items.count()
+    assert found.count() > 0 and data_files(scratch / "inbound")
